@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .line_dedup import drop_repeated_lines
+from .ngram_join import jaccard_groups
 from .url_filter import Rule, judge_urls
 
 #: The rules that the URL query applies, as (verdict, host, path).
@@ -18,6 +19,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard_groups(_table(spark, sf_dir, "documents"), k=3, percent=90)
+    return out.select(F.col("d").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
     return out.select("page_id", "url_filter.host", "url_filter.path", "url_filter.rule", "url_filter.verdict")
@@ -29,6 +35,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op8_url_filter": op8_url_filter,
     "op9_line_dedup": op9_line_dedup,
 }
