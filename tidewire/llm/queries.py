@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe_automaton
 from .line_dedup import drop_repeated_lines
 from .ngram_join import jaccard_groups
 from .url_filter import Rule, judge_urls
@@ -24,6 +25,18 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("d").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
+def tokenizer_path() -> str:
+    """Where the vocabulary file lies; it is never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe_automaton.digests(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
     return out.select("page_id", "url_filter.host", "url_filter.path", "url_filter.rule", "url_filter.verdict")
@@ -36,6 +49,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op6_bpe": op6_bpe,
     "op8_url_filter": op8_url_filter,
     "op9_line_dedup": op9_line_dedup,
 }
