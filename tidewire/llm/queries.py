@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe_automaton
+from .decontaminate import build_index, contaminated, search
 from .line_dedup import drop_repeated_lines
 from .ngram_join import jaccard_groups
 from .url_filter import Rule, judge_urls
@@ -20,6 +21,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = search(build_index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
+    return out.select(F.col("d").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jaccard_groups(_table(spark, sf_dir, "documents"), k=3, percent=90)
     return out.select(F.col("d").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
@@ -48,12 +54,29 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op6_bpe": op6_bpe,
     "op8_url_filter": op8_url_filter,
     "op9_line_dedup": op9_line_dedup,
 }
 
+_SQL1 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+q AS (SELECT DISTINCT item_id, least(len(w), 13) AS k, array_to_string(list_slice(w, i, i + 12), ' ') AS g
+  FROM (SELECT item_id, w, unnest(generate_series(1, greatest(1, len(w) - 12))) AS i FROM b WHERE len(w) > 0)),
+s AS (SELECT DISTINCT k FROM q),
+p AS (SELECT doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM d, s WHERE len(w) >= k),
+g AS (SELECT doc_id, k, i, array_to_string(list_slice(w, i, i + k - 1), ' ') AS g FROM p),
+m AS (SELECT g.doc_id, g.i, g.k, q.item_id FROM g JOIN q ON g.k = q.k AND g.g = q.g),
+h AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + k - 1)) AS pos FROM (SELECT DISTINCT doc_id, i, k FROM m)) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM m) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(d.w), false) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
 _SQL8 = r"""
 WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -75,4 +98,4 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM j GROUP BY doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_url_filter": _SQL8, "op9_line_dedup": _SQL9}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": _SQL1, "op8_url_filter": _SQL8, "op9_line_dedup": _SQL9}
