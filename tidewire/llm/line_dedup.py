@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower
+from .common import SPACE, ascii_lower, written
 
 
 def _hashes(line):
@@ -44,7 +44,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     A line's key is the line without ASCII white space at its ends and with A-Z lower-cased. A key of at least min_chars code points
     in at least min_docs documents loses all its lines but those of the largest id that holds it.
     """
-    bad = repeated_lines(docs, id_col, text_col, min_chars, min_docs)
+    bad = written(repeated_lines(docs, id_col, text_col, min_chars, min_docs), "lines")
     numbered = F.filter(F.transform(_lines(F.col(text_col)), lambda x, i: F.struct(i.alias("i"), _key(x).alias("k"))), lambda p: F.char_length(p["k"]) >= min_chars)
     hashed = F.transform(numbered, lambda p: F.struct(p["i"].alias("i"), F.xxhash64(F.lit(11), p["k"]).alias("a"), F.xxhash64(F.lit(77), p["k"]).alias("b")))
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("d"), F.inline(hashed))
