@@ -11,6 +11,7 @@ from . import bpe_automaton
 from .decontaminate import build_index, contaminated, search
 from .line_dedup import drop_repeated_lines
 from .ngram_join import jaccard_groups
+from .substring_dedup import drop_repeated_passages
 from .url_filter import Rule, judge_urls
 
 #: The rules that the URL query applies, as (verdict, host, path).
@@ -43,6 +44,11 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drop_repeated_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "substring_dedup.n_words", "substring_dedup.n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
     return out.select("page_id", "url_filter.host", "url_filter.path", "url_filter.rule", "url_filter.verdict")
@@ -57,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op6_bpe": op6_bpe,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_url_filter": op8_url_filter,
     "op9_line_dedup": op9_line_dedup,
 }
@@ -77,6 +84,18 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
+_SQL7 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 34), ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 34)) AS i FROM d WHERE len(w) >= 35)),
+r AS (SELECT g FROM p GROUP BY g HAVING count(*) > 1),
+h AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 34)) AS pos FROM p WHERE g IN (SELECT g FROM r)),
+u AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+k AS (SELECT u.doc_id, count(*) FILTER (WHERE h.pos IS NOT NULL) AS n_removed, string_agg(word, ' ' ORDER BY u.pos) FILTER (WHERE h.pos IS NULL) AS kept
+  FROM u LEFT JOIN h ON u.doc_id = h.doc_id AND u.pos = h.pos GROUP BY u.doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
 _SQL8 = r"""
 WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -98,4 +117,4 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM j GROUP BY doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": _SQL1, "op8_url_filter": _SQL8, "op9_line_dedup": _SQL9}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": _SQL1, "op7_substring_dedup": _SQL7, "op8_url_filter": _SQL8, "op9_line_dedup": _SQL9}
