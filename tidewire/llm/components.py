@@ -23,7 +23,7 @@ def component_ids(edges: DataFrame) -> DataFrame:
     folder, so lineage stays short. A node with very many edges meets only a partial aggregate (its minimum) and sort-merge joins,
     which AQE splits. Null ends are ignored.
     """
-    ends = edges.where("u is not null and v is not null and u != v").select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
+    ends = written(edges.where("u is not null and v is not null and u != v").select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")), "ends")
     names = ends.select(F.explode(F.array("u", "v")).alias("d")).distinct()
     now = written(ends.select(_scrambled(F.col("u")).alias("u"), _scrambled(F.col("v")).alias("v")).select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))).distinct(), "edges")
     whole: DataFrame | None = None
