@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton
+from . import bpe_automaton, warc_index
 from .decontaminate import build_index, contaminated, search
 from .line_dedup import drop_repeated_lines
 from .ngram_join import jaccard_groups
@@ -32,6 +32,12 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("d").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, captures = warc_index.write_archives(_table(spark, sf_dir, "pages"))
+    out = warc_index.read_all(folder, warc_index.build_index(folder, captures))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def tokenizer_path() -> str:
     """Where the vocabulary file lies; it is never copied."""
     import public_tokenizers
@@ -62,6 +68,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_warc": op5_warc,
     "op6_bpe": op6_bpe,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_url_filter": op8_url_filter,
@@ -84,6 +91,13 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
+_SQL5 = r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+w AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS keep FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN keep <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN keep <> page_id THEN keep END AS refers_to FROM w
+"""
+
 _SQL7 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 p AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 34), ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 34)) AS i FROM d WHERE len(w) >= 35)),
@@ -117,4 +131,4 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM j GROUP BY doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": _SQL1, "op7_substring_dedup": _SQL7, "op8_url_filter": _SQL8, "op9_line_dedup": _SQL9}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": _SQL1, "op5_warc": _SQL5, "op7_substring_dedup": _SQL7, "op8_url_filter": _SQL8, "op9_line_dedup": _SQL9}
