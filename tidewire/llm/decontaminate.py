@@ -117,12 +117,12 @@ class Queries:
         rows = np.where(inside, counts[self.windows], np.iinfo(np.int64).max)
         for q in np.flatnonzero(rows.min(axis=1) > 0).tolist():
             order = np.argsort(rows[q], kind="stable")[: self.sizes[q]].tolist()
-            found = segment.of_term(here[self.windows[q, order[0]]]).astype(np.int64) - order[0]
+            found = segment.of_term(here[self.windows[q, order[0]]]) - np.int32(order[0])
             for place in order[1:]:
                 other = segment.of_term(here[self.windows[q, place]])
-                target = found + place
+                target = found + np.int32(place)
                 if slop:
-                    k = np.searchsorted(other, target - slop)
+                    k = np.searchsorted(other, target - np.int32(slop))
                     found = found[(k < len(other)) & (other[np.minimum(k, len(other) - 1)] <= target + slop)]
                 elif len(other) > 4 * len(found):
                     k = np.minimum(np.searchsorted(other, target), len(other) - 1)
@@ -195,17 +195,19 @@ def search(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col
                     ids = batch.column("ids")[i].values
                     key = hashlib.sha256(segment.postings.tobytes()[:1 << 16] + segment.starts.tobytes() + str(ids.to_pylist()[:64]).encode()).hexdigest()[:24]
                     total = int(segment.starts[-1] + segment.lengths[-1]) + 1
-                    cover = np.zeros(total + window + slop + 1, dtype=np.int32)
                     held: dict[int, set[str]] = defaultdict(set)
+                    begun, ended = [], []
                     for q, starts in queries.matches(segment, slop):
-                        size = int(queries.sizes[q])
                         starts = np.maximum(starts, 0)
-                        cover[: total] += np.bincount(starts, minlength=total)[:total].astype(np.int32)
-                        ends = np.bincount(np.minimum(starts + size, total), minlength=total + 1)
-                        cover[: total + 1] -= ends[: total + 1].astype(np.int32)
+                        begun.append(starts)
+                        ended.append(np.minimum(starts + int(queries.sizes[q]), total))
                         for d in np.unique(np.searchsorted(segment.starts, starts, side="right") - 1).tolist():
                             held[d].update(queries.items[q])
-                    hit = np.cumsum(cover)[:total] > 0
+                    # hit words lie where more windows have begun than ended
+                    hit = np.zeros(total, dtype=bool)
+                    if begun:
+                        opened = np.bincount(np.concatenate(begun), minlength=total + 1) - np.bincount(np.concatenate(ended), minlength=total + 1)
+                        hit = np.cumsum(opened)[:total] > 0
                     edges = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
                     first, last = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1) - 1
                     owner = np.searchsorted(segment.starts, first, side="right") - 1
