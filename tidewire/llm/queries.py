@@ -12,6 +12,7 @@ from .decontaminate import build_index, contaminated, search
 from .line_dedup import drop_repeated_lines
 from .mtree_search import top_k
 from .ngram_join import jaccard_groups
+from .quality import classify, fit
 from .substring_dedup import drop_repeated_passages
 from .url_filter import Rule, judge_urls
 
@@ -32,6 +33,11 @@ def op2_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return classify(docs, fit(docs)[1]).select("doc_id", F.round("quality_model.score", 6).alias("score"), "quality_model.keep")
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jaccard_groups(_table(spark, sf_dir, "documents"), k=3, percent=90)
     return out.select(F.col("d").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
@@ -73,6 +79,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_mtree_topk": op2_mtree_topk,
+    "op3_quality": op3_quality,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_warc": op5_warc,
     "op6_bpe": op6_bpe,
