@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, warc_index
+from . import bpe_automaton, license_scan, warc_index
 from .decontaminate import build_index, contaminated, search
 from .line_dedup import drop_repeated_lines
 from .mtree_search import top_k
@@ -76,6 +76,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"))
+    return license_scan.scan(docs).select("doc_id", "license_scan.license", "license_scan.score", "license_scan.origin", "license_scan.directory")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_mtree_topk": op2_mtree_topk,
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_substring_dedup": op7_substring_dedup,
     "op8_url_filter": op8_url_filter,
     "op9_line_dedup": op9_line_dedup,
+    "op10_license_scan": op10_license_scan,
 }
 
 _SQL1 = r"""
@@ -152,4 +158,29 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM j GROUP BY doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": _SQL1, "op2_mtree_topk": _SQL2, "op5_warc": _SQL5, "op7_substring_dedup": _SQL7, "op8_url_filter": _SQL8, "op9_line_dedup": _SQL9}
+_SQL10 = r"""
+WITH tpl AS (SELECT * FROM (VALUES %s) AS v(template, license, body)),
+tt AS (SELECT template, license, term, count(*) AS c FROM (SELECT template, license, unnest(regexp_extract_all(lower(body), '[a-z0-9]+(?:[.][0-9]+)*')) AS term FROM tpl) GROUP BY ALL),
+docs AS (SELECT doc_id, concat_ws('/', source, lang) AS dir, coalesce(text, '') AS text FROM documents),
+n AS (SELECT count(*) AS n FROM docs),
+low AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM docs),
+df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(t, '[a-z0-9]+(?:[.][0-9]+)*')) AS term FROM low) WHERE term IN (SELECT term FROM tt) GROUP BY term),
+idf AS (SELECT DISTINCT tt.term, ln((1 + n) / (1 + coalesce(df, 0))) + 1 AS idf FROM tt CROSS JOIN n LEFT JOIN df USING (term)),
+w AS (SELECT template, license, term, c * idf / sqrt(sum((c * idf) * (c * idf)) OVER (PARTITION BY template)) AS weight FROM tt JOIN idf USING (term)),
+seg AS (SELECT doc_id, 'header' AS kind, i, unnest(string_split(regexp_replace(text, '([.!?])[ \t]+([A-Z])', '\1' || chr(10) || '\2', 'g'), chr(10))) AS body FROM docs, (SELECT 1 AS i)
+  UNION ALL SELECT doc_id, 'header', 2, unnest(regexp_split_to_array(text, '\n[ \t]*\n')) FROM docs
+  UNION ALL SELECT doc_id, 'file', 3, text FROM docs),
+ns AS (SELECT *, row_number() OVER () AS ord FROM seg),
+tf AS (SELECT doc_id, kind, ord, term, count(*) AS c FROM (SELECT doc_id, kind, ord, unnest(regexp_extract_all(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+(?:[.][0-9]+)*')) AS term FROM ns) GROUP BY ALL),
+sw AS (SELECT tf.*, c * coalesce(idf, ln(1 + n) + 1) AS w FROM tf CROSS JOIN n LEFT JOIN idf USING (term)),
+nm AS (SELECT ord, sqrt(sum(w * w)) AS norm FROM sw GROUP BY ord),
+sc AS (SELECT doc_id, kind, license, template, round(sum(w * weight) / any_value(norm), 6) AS score FROM sw JOIN w USING (term) JOIN nm USING (ord) GROUP BY doc_id, kind, ord, license, template),
+b AS (SELECT doc_id, kind, license, score FROM sc WHERE score >= 0.7 QUALIFY row_number() OVER (PARTITION BY doc_id, kind ORDER BY score DESC, template) = 1),
+fl AS (SELECT dir, license, score FROM b JOIN docs USING (doc_id) WHERE kind = 'file' QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, dir || '/' || doc_id::VARCHAR || '.txt') = 1)
+SELECT d.doc_id, coalesce(h.license, f.license, fl.license) AS license, coalesce(h.score, f.score, fl.score) AS score,
+  CASE WHEN coalesce(h.license, f.license) IS NOT NULL THEN 'header' WHEN fl.license IS NOT NULL THEN 'directory' END AS origin,
+  CASE WHEN coalesce(h.license, f.license) IS NULL AND fl.license IS NOT NULL THEN d.dir END AS directory
+FROM docs d LEFT JOIN b h ON h.doc_id = d.doc_id AND h.kind = 'header' LEFT JOIN b f ON f.doc_id = d.doc_id AND f.kind = 'file' LEFT JOIN fl ON fl.dir = d.dir
+""" % ", ".join(f"({k}, '{name}', '{body}')" for k, (name, body) in enumerate(license_scan.TEMPLATES))
+
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": _SQL1, "op2_mtree_topk": _SQL2, "op5_warc": _SQL5, "op7_substring_dedup": _SQL7, "op8_url_filter": _SQL8, "op9_line_dedup": _SQL9, "op10_license_scan": _SQL10}
