@@ -37,7 +37,7 @@ PIVOTS = 256
 SAMPLE = 2048
 BLOCK_ROWS = 4096
 QUERY_ROWS = 512
-PAGE_ROWS = 128
+PAGE_ROWS = 512
 FANOUT = 16
 #: Relative and absolute margin of a bound before it prunes.
 MARGIN = 1e-9, 1e-6
@@ -132,11 +132,14 @@ class Tree:
                 for i in np.flatnonzero(low <= bound).tolist():
                     heapq.heappush(heap, (float(low[i]), int(self.child[near[i]]), float(d[i])))
                 continue
-            rows = self.child[near]
+            # a page's rows lie side by side
+            rows = slice(int(self.child[begin]), int(self.child[end - 1]) + 1) if len(near) == end - begin else self.child[near]
             s = self.x[rows] @ q
-            fit = (self.ids[rows] != own) & ((s >= scores[-1]) if len(scores) >= k else True)
-            if fit.any():
-                ids, scores = np.concatenate([ids, self.ids[rows[fit]]]), np.concatenate([scores, s[fit]])
+            least_needed = scores[-1] if len(scores) >= k else np.partition(s, -k - 1)[-k - 1] if len(s) > k else -np.inf
+            fit = np.flatnonzero(s >= least_needed)
+            fit = fit[self.ids[rows][fit] != own]
+            if len(fit):
+                ids, scores = np.concatenate([ids, self.ids[rows][fit]]), np.concatenate([scores, s[fit]])
                 keep = np.lexsort((ids, -scores))[:k]
                 ids, scores = ids[keep], scores[keep]
                 if len(scores) >= k:
