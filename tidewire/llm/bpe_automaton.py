@@ -267,3 +267,15 @@ def digests(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
         return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(" ".join([w[1] for w in words]).encode()).hexdigest()
 
     return _spread(docs, text_col, path, [("n_tokens", pa.int64(), "long"), ("ids_sha256", pa.string(), "string"), ("decoded_sha256", pa.string(), "string")], make)
+
+
+def tokens(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """docs plus n_tokens, ids (array<int>), ids_sha256 and decoded_sha256, from one pass over the texts."""
+
+    def make(c: Codec, text: bytes) -> tuple[int, np.ndarray, str, str]:
+        words = c.encode_text(text.decode())
+        ids = b"".join([w[0] for w in words])
+        return len(ids) // 4, np.frombuffer(ids, dtype="<i4"), hashlib.sha256(ids).hexdigest(), hashlib.sha256(c.decode_ids(ids).encode()).hexdigest()
+
+    columns = [("n_tokens", pa.int64(), "long"), ("ids", pa.list_(pa.int32()), "array<int>"), ("ids_sha256", pa.string(), "string"), ("decoded_sha256", pa.string(), "string")]
+    return _spread(docs, text_col, path, columns, make)
