@@ -1,0 +1 @@
+"""Column functions: each takes and returns Columns, so that Catalyst sees plain expressions."""
