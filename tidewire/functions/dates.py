@@ -54,7 +54,7 @@ def shown_time(c: Column) -> Column:
 
 
 def local_time(c: Column, zone: str = "America/Lima") -> Column:
-    return F.date_format(F.from_utc_timestamp(c.cast("timestamp"), zone), "dd/MM/yyyy HH:mm:ss")
+    return F.date_format(F.from_utc_timestamp(c.cast("timestamp"), zone), "yyyy-MM-dd HH:mm:ss")
 
 
 def days_between(first: Column, last: Column) -> Column:

@@ -1,0 +1 @@
+"""Composite queries."""

@@ -1,0 +1 @@
+"""Structured Streaming forms of ingestion, windows and caches."""
