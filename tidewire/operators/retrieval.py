@@ -7,6 +7,8 @@ before the shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,12 +45,16 @@ def terms(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def _equal_to(value: str) -> Callable[[Column], Column]:
+    return lambda x: x == value
+
+
 def keyword_rank(text: Column, query: list[str]) -> Column:
     """Sum over the query's terms of ln(1 + tf) / ln(2 + terms of the text); null unless all terms occur."""
     t = terms(text)
     total, every = F.lit(0.0), F.lit(True)
     for q in query:
-        tf = F.size(F.filter(t, lambda x, q=q: x == q))
+        tf = F.size(F.filter(t, _equal_to(q)))
         total, every = total + F.log(1.0 + tf), every & (tf > 0)
     return F.when(every, total / F.log(2.0 + F.size(t)))
 

@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewire.functions.dates import date_in_name
 from tidewire.functions.text import brief_description, clean_paragraph, collapse, holds_email, is_header, strip_all, urls_in
@@ -152,7 +153,8 @@ def html_fields_of(html: str) -> tuple[str, str, str]:
     return " ".join(" ".join(p.parts).split()), "".join(p.title).strip(), p.description
 
 
-@F.pandas_udf("text string, title string, description string")
+# types as objects: text forms are parsed by the JVM, which a worker that imports this doesn't have
+@F.pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in ("text", "title", "description")]))
 def html_fields(s: pd.Series) -> pd.DataFrame:
     """html_fields_of by rows; nulls give empty fields."""
     return pd.DataFrame([html_fields_of(x) for x in s.fillna("")], columns=["text", "title", "description"])
