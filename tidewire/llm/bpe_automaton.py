@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, ship
+from .common import byte_rows, ship, with_row
 
 #: Entries of a worker's table of words, and of transitions; it starts anew beyond them.
 MAX_WORDS = 400_000
@@ -242,7 +242,7 @@ def _spread(docs: DataFrame, text_col: str, path: str, columns: list[tuple[str,
             arrays = [pa.array(c, type=kind) for c, (_, kind, _) in zip(cols, columns, strict=True)]
             yield pa.record_batch([batch.column("row"), *arrays], names=["row", *[name for name, _, _ in columns]])
 
-    out = inner.mapInArrow(run, f"row {inner.schema['row'].dataType.simpleString()}, {fields}")
+    out = inner.mapInArrow(run, with_row(inner, fields))
     return out.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], *[name for name, _, _ in columns])
 
 

@@ -12,6 +12,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII letters, for lower-casing that leaves every other character as it is.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -68,3 +69,8 @@ def byte_rows(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
 def ascii_lower(column):
     """A-Z lower-cased, all else unchanged; lower() alone would also change letters beyond ASCII."""
     return F.when(F.octet_length(column) == F.char_length(column), F.lower(column)).otherwise(F.translate(column, UPPER, LOWER))
+
+
+def with_row(rows: DataFrame, more: str) -> T.StructType:
+    """The schema of a column row, as rows has it, and of the columns that more names: its fields may have any names."""
+    return T.StructType([T.StructField("row", rows.schema["row"].dataType), *T._parse_datatype_string(more).fields])

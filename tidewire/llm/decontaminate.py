@@ -112,7 +112,8 @@ class Queries:
         if not len(self.windows):
             return
         here = segment.rank(self.terms)
-        counts = np.where(here >= 0, segment.offsets[here + 1] - segment.offsets[here], 0) if len(segment.terms) else np.zeros(len(here), dtype=np.int64)
+        sizes = np.append(np.diff(segment.offsets), 0).astype(np.int64)  # the last entry stands for terms that are not here
+        counts = sizes[here]
         inside = self.windows >= 0
         rows = np.where(inside, counts[self.windows], np.iinfo(np.int64).max)
         for q in np.flatnonzero(rows.min(axis=1) > 0).tolist():

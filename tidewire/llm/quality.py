@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, ship
+from .common import byte_rows, ship, with_row
 
 TRAIN_ROWS = 2000
 #: Buckets of the hashed trigrams, and of the hashed marks after them.
@@ -244,5 +244,5 @@ def classify(docs: DataFrame, scorer: Scorer, text_col: str = "text", keep: floa
             scores = np.array([own.score(t) for t in byte_rows(batch.column("t"))], dtype=np.float64)
             yield pa.record_batch([batch.column("row"), pa.array(scores)], names=["row", "score"])
 
-    out = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, score double")
+    out = rows.mapInArrow(run, with_row(rows, "score double"))
     return out.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], F.struct("score", (F.col("score") >= keep).alias("keep")).alias("quality_model"))

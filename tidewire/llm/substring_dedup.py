@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, ship
+from .common import byte_rows, ship, with_row
 from .words import hash_words, mix, run_hashes
 
 PREFIX = 8
@@ -246,5 +246,5 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
                 texts.append(b" ".join(words).decode())
             yield pa.record_batch([batch.column("row"), pa.array(texts, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=["row", "kept", "n_words", "n_removed"])
 
-    out = joined.mapInArrow(cut, f"row {rows.schema['row'].dataType.simpleString()}, kept string, n_words long, n_removed long")
+    out = joined.mapInArrow(cut, with_row(rows, "kept string, n_words long, n_removed long"))
     return out.select(*[F.col("kept").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in kept], F.struct("n_words", "n_removed").alias("substring_dedup"))
