@@ -74,7 +74,7 @@ def test_mtree(spark, monkeypatch):
     x = {i: (centers[i % 6] + 0.05 * g.normal(size=5)).tolist() for i in range(400)}
     for i in range(100, 200):
         x[i] = x[100]  # ties by the hundred
-    rows = [*x.items(), (400, None), (401, [1.0, float("nan"), 0, 0, 0]), (402, [1.0, None, 0, 0, 0]), (403, [float("inf"), 0, 0, 0, 0]), (404, [1.0, 2.0]), (450, [2.0, 1.0]), (None, x[1]), (50, x[50])]
+    rows = [*x.items(), (400, None), (401, [1.0, float("nan"), 0.0, 0.0, 0.0]), (402, [1.0, None, 0.0, 0.0, 0.0]), (403, [float("inf"), 0.0, 0.0, 0.0, 0.0]), (404, [1.0, 2.0]), (450, [2.0, 1.0]), (None, x[1]), (50, x[50])]
     df = spark.createDataFrame([(i, v, "e") for i, v in rows], "vec_id long, embedding array<double>, id string").repartition(3)
     ints = {i: [int(np.floor(256 * c)) for c in v] for i, v in x.items()} | {404: [256, 512], 450: [512, 256]}
     want = []

@@ -15,8 +15,8 @@ the longest; then files without a header join their directory's answer. A direct
 side of a join that AQE can split.
 
 Cases: null or empty text declares nothing; null paths have no directory and inherit nothing; rows that share an id are judged one by
-one; ties go to the template that sorts first, and among a directory's licence files to the higher score, then the smaller path. Input columns with the
-output's names are replaced.
+one; ties go to the template that sorts first, and among a directory's licence files to those named as one, then the
+higher score, then the smaller path. An input column named license_scan is replaced.
 """
 
 from __future__ import annotations
@@ -135,8 +135,8 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
     declared = written(best("header").join(best("file"), "key", "full"), "declared")
 
     directory = lambda p: F.when(p.contains("/"), F.regexp_extract(p, r"^(.*)/[^/]*$", 1)).otherwise(F.when(p.isNotNull(), F.lit("")))
-    own = declared.select(directory(F.col("key.p")).alias("dir"), F.coalesce("file_license", F.when(F.col("key.p").rlike(NAMED), F.col("header_license"))).alias("l"), F.coalesce("file_score", "header_score").alias("s"), F.col("key.p").alias("p"))
-    licensed = own.where("dir is not null and l is not null").groupBy("dir").agg(F.min(F.struct(-F.col("s"), "p", "l", "s")).alias("b")).select("dir", "b.l", "b.s")
+    own = declared.select(directory(F.col("key.p")).alias("dir"), F.coalesce("file_license", F.when(F.col("key.p").rlike(NAMED), F.col("header_license"))).alias("l"), F.coalesce("file_score", "header_score").alias("s"), F.col("key.p").alias("p"), (~F.col("key.p").rlike(NAMED)).alias("unnamed"))
+    licensed = own.where("dir is not null and l is not null").groupBy("dir").agg(F.min(F.struct("unnamed", (-F.col("s")).alias("down"), "p", "l", "s")).alias("b")).select("dir", "b.l", "b.s")
     dirs = files.select(directory(path).alias("d")).where("d is not null").distinct()
     steps = F.split("d", "/")
     above = dirs.select("d", F.explode(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/")))).alias("dir")).distinct()

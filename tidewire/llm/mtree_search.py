@@ -196,7 +196,7 @@ def _one_dimension(rows: DataFrame, dim: int, n: int, n_queries: int, top: float
         first += parts
     placed = dealt.join(F.broadcast(spark.createDataFrame(shape, "pivot int, first int, parts int")), "pivot").withColumn("block", F.col("first") + F.pmod(F.xxhash64("id"), "parts").cast("int"))
 
-    def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         ids, x = pdf["id"].to_numpy(np.int64), np.frombuffer(b"".join(pdf["x"]), dtype=np.int64).reshape(-1, dim).astype(np.float64)
         by_id = np.argsort(ids)
         t = Tree(ids[by_id], x[by_id], top)
@@ -206,7 +206,7 @@ def _one_dimension(rows: DataFrame, dim: int, n: int, n_queries: int, top: float
 
     pages = written(placed.select("block", "id", "x").groupBy("block").applyInPandas(build, "block int, ids binary, x binary, root int, nodes binary, child binary, radius binary, parent binary, inner binary, routers binary, center binary"), "pages")
 
-    def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         ids, x = pdf["id"].to_numpy(np.int64), np.frombuffer(b"".join(pdf["x"]), dtype=np.int64).reshape(-1, dim).astype(np.float64)
         scores = x @ sample.T if len(sample) else np.empty((len(ids), 0))
         scores[ids[:, None] == sample_ids[None, :]] = -np.inf

@@ -187,7 +187,7 @@ def _links(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, k: int,
     chunks = {b: -(-r["rows"] // max(64, min(CHUNK_ROWS, (CHUNK_MB << 20) // (8 * r["most"])))) for b, r in bands.items()}
     shape = spark.createDataFrame([(b, c, chunks.get(b - 1, 0), chunks.get(b + 1, 0)) for b, c in chunks.items()], "band int, own int, below int, above int")
 
-    def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(["d", "n"])
         sigs = [np.frombuffer(s, dtype=np.uint64) for s in pdf["sig"]]
         words = min(len(s) for s in sigs)
@@ -207,7 +207,7 @@ def _links(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, k: int,
     )
     sides = packed.join(F.broadcast(shape), "band").select(F.inline(tiles), "words", "ids", "ns", "sigs")
 
-    def ask(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def ask(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rows = [(np.frombuffer(r.ids, np.int64), np.frombuffer(r.ns, np.int64), np.frombuffer(r.sigs, np.uint64).reshape(-1, r.words)) for r in pdf.sort_values("side").itertuples()]
         same = len(rows) == 1
         t = str(key[0]).split(":")
@@ -239,7 +239,7 @@ def _links(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, k: int,
                             column.append(value)
             yield pa.record_batch([pa.array(r, type=f.type) for r, f in zip(rows, sent_schema, strict=True)], schema=sent_schema)
 
-    def verify(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def verify(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["side", "d"])
         arrays = [np.frombuffer(a, dtype=np.uint64) for a in pdf["a"]]
         t = str(key[0]).split(":")
