@@ -181,7 +181,9 @@ class Codec:
         split = spec["pre_tokenizer"]["pretokenizers"][0]
         if kinds != ["NFC", "Replace", "Lowercase"] or spec["decoder"] or spec["post_processor"] or not split["invert"] or model["dropout"] or model["continuing_subword_prefix"]:
             raise ValueError(f"{path}: not a lower-case word-end BPE file")
+        self.path, self.library = path, None
         self.white = regex.compile(f"[{WHITE}]+")
+        self.rare = regex.compile("[^\\x00-\\u052f]")
         self.words = regex.compile(split["pattern"]["Regex"].replace("\\s", WHITE))
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
@@ -198,6 +200,19 @@ class Codec:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return self.white.sub(" ", text).lower() if not text.isascii() else text.lower()
 
+    def split(self, text: str) -> list[str]:
+        """The normal form's words. Letters beyond Cyrillic are told from others by the tokenizer library's own tables, as its
+        version of Unicode is not the one of regex; encoding remains the automaton's."""
+        if text.isascii() or not self.rare.search(text):
+            return self.words.findall(self.normal(text))
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+            self.byte_of = {c: b for b, c in enumerate(byte_symbols())}
+        pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [bytes([self.byte_of[c] for c in piece]).decode() for piece, _ in pieces]
+
     def encode_text(self, text: str) -> list[tuple[bytes, str]]:
         """(ids, labels) of each word in turn."""
         get = self.table.__getitem__
@@ -207,9 +222,9 @@ class Codec:
                 if i % 2:
                     out.append((np.array([self.added[part]], dtype="<u4").tobytes(), part))
                 else:
-                    out += map(get, self.words.findall(self.normal(part)))
+                    out += map(get, self.split(part))
             return out
-        return list(map(get, self.words.findall(self.normal(text))))
+        return list(map(get, self.split(text)))
 
     def decode_ids(self, ids: bytes) -> str:
         """The labels of the arcs that ids stand for, joined by a space."""

@@ -201,7 +201,9 @@ def _heavy(rows: DataFrame, window: int, prefix: int, groups: int, limit: int) -
 
 
 def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> DataFrame:
-    """docs with text_col made of the words that stay, joined by one space, plus substring_dedup: struct<n_words, n_removed>.
+    """docs with text_col made of the words that stay, joined by one space, plus substring_dedup: struct<n_words, n_removed, spans>.
+
+    spans are the maximal repeats: runs of words that go, first to last, from 0.
 
     Words are [^\\x20\\x09-\\x0D]+. A word goes if a window of `window` consecutive words of its document that covers it also starts
     at another place of any document.
@@ -226,9 +228,11 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(3), F.col(f"`{id_col}`")).alias("k2"))
     joined = rows.select("row", key.alias("key")).join(per_row, "key", "left").select("row", F.col(f"row.`{text_col}`").alias("t"), "at")
 
+    span_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, n_words, n_removed = [], [], []
+            texts, n_words, n_removed, spans = [], [], [], []
             for text, runs in zip(byte_rows(batch.column("t")), batch.column("at").to_pylist(), strict=True):
                 words = text.split()
                 n_words.append(len(words))
@@ -240,11 +244,14 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
                         np.add.at(edge, starts + lengths + window - 1, -1)
                     gone = np.cumsum(edge)[:-1] > 0
                     n_removed.append(int(gone.sum()))
+                    cuts = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
+                    spans.append([{"first": a, "last": b - 1} for a, b in zip(cuts[::2].tolist(), cuts[1::2].tolist(), strict=True)])
                     words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 else:
                     n_removed.append(0)
+                    spans.append([])
                 texts.append(b" ".join(words).decode())
-            yield pa.record_batch([batch.column("row"), pa.array(texts, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=["row", "kept", "n_words", "n_removed"])
+            yield pa.record_batch([batch.column("row"), pa.array(texts, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, span_type)], names=["row", "kept", "n_words", "n_removed", "spans"])
 
-    out = joined.mapInArrow(cut, with_row(rows, "kept string, n_words long, n_removed long"))
-    return out.select(*[F.col("kept").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in kept], F.struct("n_words", "n_removed").alias("substring_dedup"))
+    out = joined.mapInArrow(cut, with_row(rows, "kept string, n_words long, n_removed long, spans array<struct<first:int,last:int>>"))
+    return out.select(*[F.col("kept").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in kept], F.struct("n_words", "n_removed", "spans").alias("substring_dedup"))
