@@ -6,6 +6,7 @@ A null is taken as an empty text, which is what the rules do with missing values
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
 
@@ -140,10 +141,21 @@ def is_irrelevant(c: Column) -> Column:
     return _text(c).rlike(shape) | short
 
 
+def _literal_of(pattern: str) -> str:
+    """The longest run of plain characters that every match of a boilerplate pattern holds."""
+    return max(re.split(r"\\d\+|\([^)]*\)\?|.\?|\.\*", pattern), key=len).lower()
+
+
 def clean_boilerplate(c: Column) -> Column:
-    """The text without boilerplate; '' if it says nothing or fewer than 20 characters are left."""
+    """The text without boilerplate; '' if it says nothing or fewer than 20 characters are left.
+
+    The fifty patterns run one after another, as what one leaves may match the next, but only over texts that hold the plain part
+    of one of them, which a substring search tells.
+    """
+    low = F.lower(_text(c))
+    any_part = reduce(lambda a, p: a | low.contains(_literal_of(p)), BOILERPLATE[1:], low.contains(_literal_of(BOILERPLATE[0])))
     cut = reduce(lambda t, p: F.regexp_replace(t, "(?iu)" + p.replace(r"\d", r"\p{Nd}"), ""), BOILERPLATE, _text(c))
-    cut = collapse(cut)
+    cut = collapse(F.when(any_part, cut).otherwise(_text(c)))
     return F.when((_text(c) == "") | is_irrelevant(c) | (F.char_length(cut) < 20), "").otherwise(cut)
 
 
@@ -209,9 +221,10 @@ def truncate_tokens(c: Column, most: int) -> Column:
 
 
 def char_ngrams(c: Column, n: int = 3) -> Column:
-    """The distinct character n-grams; none of shorter texts."""
+    """The distinct character n-grams; none of shorter texts. The text is cut into characters once, so its length counts once."""
     t = _text(c)
-    return F.when(F.char_length(t) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(t) - (n - 1)), lambda i: F.substring(t, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+    grams = F.transform(F.array(F.split(t, "")), lambda chars: F.transform(F.slice(chars, F.lit(1), F.size(chars) - (n - 1)), lambda x, i: F.array_join(F.slice(chars, i + 1, n), "")))
+    return F.when(F.char_length(t) >= n, F.array_distinct(F.element_at(grams, 1))).otherwise(F.array().cast("array<string>"))
 
 
 def title_of(c: Column, most: int = 70) -> Column:

@@ -12,10 +12,11 @@ from tidewire.functions.text import words
 
 def token_windows(df: DataFrame, text_col: str, size: int = 400, step: int = 350) -> DataFrame:
     """chunk_index, total_chunks, chunk for each window of words; the last may lie inside the one before."""
-    w = words(F.col(text_col))
-    starts = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    chunks = F.transform(starts, lambda s: F.array_join(F.slice(w, s + 1, size), " "))
-    return df.withColumn("_c", chunks).select("*", F.size("_c").alias("total_chunks"), F.posexplode("_c").alias("chunk_index", "chunk")).drop("_c")
+    # the words are a column of their own: inside the lambda they would be cut anew for each window
+    df = df.withColumn("_w", words(F.col(text_col)))
+    starts = F.when(F.size("_w") > 0, F.sequence(F.lit(0), F.size("_w") - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
+    df = df.withColumn("_c", F.transform(starts, lambda s: F.array_join(F.slice(F.col("_w"), s + 1, size), " ")))
+    return df.select("*", F.size("_c").alias("total_chunks"), F.posexplode("_c").alias("chunk_index", "chunk")).drop("_c", "_w")
 
 
 def pack_sentences(text: str, size: int = 512, overlap: int = 100) -> list[str]:

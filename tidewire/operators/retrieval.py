@@ -49,9 +49,8 @@ def _equal_to(value: str) -> Callable[[Column], Column]:
     return lambda x: x == value
 
 
-def keyword_rank(text: Column, query: list[str]) -> Column:
-    """Sum over the query's terms of ln(1 + tf) / ln(2 + terms of the text); null unless all terms occur."""
-    t = terms(text)
+def keyword_rank(t: Column, query: list[str]) -> Column:
+    """Of a text's terms: the sum over the query's terms of ln(1 + tf) / ln(2 + number of terms); null unless all occur."""
     total, every = F.lit(0.0), F.lit(True)
     for q in query:
         tf = F.size(F.filter(t, _equal_to(q)))
@@ -64,7 +63,8 @@ def keyword_top_k(df: DataFrame, query: list[str], k: int, id_col: str = "id", t
     low = F.lower(F.col(text_col))
     for q in query:
         df = df.where(low.contains(q))
-    return df.withColumn("rank_score", F.round(keyword_rank(F.col(text_col), query), 6)).where(F.col("rank_score").isNotNull()).orderBy(F.desc("rank_score"), id_col).limit(k)
+    ranked = df.withColumn("_t", terms(F.col(text_col))).withColumn("rank_score", F.round(keyword_rank(F.col("_t"), query), 6)).drop("_t")
+    return ranked.where(F.col("rank_score").isNotNull()).orderBy(F.desc("rank_score"), id_col).limit(k)
 
 
 def hybrid(vector: DataFrame, keyword: DataFrame, id_col: str, k: int, vector_weight: float = 0.6, keyword_weight: float = 0.4) -> DataFrame:
