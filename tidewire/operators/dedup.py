@@ -7,6 +7,7 @@ with an error of their size rather than collected silently; the scalable form wi
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 import pandas as pd
@@ -132,6 +133,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
     The transitive form of grouping. Each round also jumps to the label's own label, so chains close in logarithmically many rounds.
     """
+    if not edges.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        edges.sparkSession.sparkContext.setCheckpointDir(edges.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewire-"))
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u is not null and v is not null").distinct().checkpoint()
     labels = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.least("u", "m").alias("label")).checkpoint()
     for _ in range(rounds):
