@@ -39,7 +39,7 @@ from .words import hash_words, mix, run_hashes
 PREFIX = 8
 GROUP_MB = 16
 #: Words whose trees a task builds at once before it sends leaves.
-BATCH_WORDS = 2_000_000
+BATCH_WORDS = 800_000
 PATH = np.uint64((1 << 48) - 1)
 
 
