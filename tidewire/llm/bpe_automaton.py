@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from .common import byte_rows, ship, with_row
 
 #: Entries of a worker's table of words, and of transitions; it starts anew beyond them.
-MAX_WORDS = 400_000
-MAX_ARCS = 1_000_000
+MAX_WORDS = 300_000
+MAX_ARCS = 300_000
 #: Symbols of a word up to which positions are filled by recursion, as they are asked for.
 DEEP = 200
 #: White space as Unicode's property has it, which is what the file's \s means.
@@ -61,7 +61,9 @@ class Automaton:
         self.right: dict[int, int] = {}
         self.born: dict[int, int] = {}
         self.removed: dict[tuple[int, int], int] = {}
-        self.arcs: dict[tuple[int, int], bool] = {}
+        #: answers by x * size + y
+        self.arcs: dict[int, bool] = {}
+        self.size = max(vocab.values()) + 1
         for rank, (a, b) in enumerate(merges, 1):
             u, v = vocab[a], vocab[b]
             # the gadget is laid only where an arc v follows u by now, and a token has the gadget that made it first
@@ -101,11 +103,11 @@ class Automaton:
 
     def arc(self, x: int, y: int) -> bool:
         """The final automaton's transition, from the table."""
-        found = self.arcs.get((x, y))
+        found = self.arcs.get(x * self.size + y)
         if found is None:
             if len(self.arcs) >= MAX_ARCS:
                 self.arcs.clear()
-            self.arcs[x, y] = found = self.follows(x, y, 1 << 60)
+            self.arcs[x * self.size + y] = found = self.follows(x, y, 1 << 60)
         return found
 
     def encode(self, symbols: list[str]) -> list[int]:
@@ -137,13 +139,13 @@ class Automaton:
                     token[i], before[i] = end, 0
                     return end
                 found.append((end, at))
-        arcs = self.arcs
+        arcs, size = self.arcs, self.size
         for end, at in reversed(found):
             if at:
                 last = token[at]
                 if last is None:
                     last = self.last_token(symbols, at, token, before)
-                ok = arcs.get((last, end))
+                ok = arcs.get(last * size + end)
                 if ok is None:
                     ok = self.arc(last, end)
                 if not ok:

@@ -37,7 +37,9 @@ from .components import component_ids
 from .words import shingles
 
 CHUNK_ROWS = 4096
-CHUNK_MB = 32
+CHUNK_MB = 16
+#: Megabytes of arrays that a task hands over at a time.
+SEND_MB = 8
 #: Rows of a tile whose bit counts are taken at once.
 STEP = 256
 
@@ -229,14 +231,17 @@ def _links(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, k: int,
 
     def send(batches):
         for batch in batches:
-            rows = [], [], [], []
+            rows, size = ([], [], [], []), 0
             for (d, s), asks in zip(_read([batch], k), batch.column("asks").to_pylist(), strict=True):
-                if len(s):
-                    raw = s.tobytes()
-                    for ask_ in asks:
-                        at, side = ask_.rsplit("/", 1)
-                        for column, value in zip(rows, (at, int(side), d, raw), strict=True):
-                            column.append(value)
+                raw = s.tobytes()
+                for ask_ in asks if len(s) else ():
+                    at, side = ask_.rsplit("/", 1)
+                    for column, value in zip(rows, (at, int(side), d, raw), strict=True):
+                        column.append(value)
+                    size += len(raw)
+                    if size > SEND_MB << 20:
+                        yield pa.record_batch([pa.array(r, type=f.type) for r, f in zip(rows, sent_schema, strict=True)], schema=sent_schema)
+                        rows, size = ([], [], [], []), 0
             yield pa.record_batch([pa.array(r, type=f.type) for r, f in zip(rows, sent_schema, strict=True)], schema=sent_schema)
 
     def verify(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
