@@ -6,8 +6,9 @@ Inner products become distances by one more component: with M at least every nor
 1. Rows are dealt to blocks of about BLOCK_ROWS: to the nearest of at most PIVOTS pivots (a bounded sample, the rows of smallest id
    hash) and, where a pivot has more rows than a block, by the hash of the id. So a block is a metric neighbourhood, and a vector
    that a third of all rows share is spread over as many blocks as it fills.
-2. Each block is bulk-loaded into an M-tree: inner nodes hold routing objects with covering radius and distance to the parent, leaf
-   pages hold rows with their distance to the page's router. A block's tree is one row of the written page table.
+2. Each block is bulk-loaded into an M-tree: inner nodes hold routing objects with covering radius and distance to the parent,
+   leaf pages hold rows with their distance to the page's router. A block's tree is one row of the written page table, with the radius
+   that covers all of it, so a query that is too far from a block leaves it after one distance.
 3. Queries are packed in blocks of QUERY_ROWS; each meets each row block once. The search starts with the bound that the sample
    gives, pops nodes by their least possible distance, skips children and rows by |d(q, parent) - d(x, parent)| before their own
    distance is computed, and stops when the nearest node left is beyond the k-th best so far.
@@ -104,7 +105,7 @@ class Tree:
         self.ids, self.x = ids[where] if len(ids) else ids, x[where] if len(ids) else x
         self.child, self.radius, self.parent = np.array(child), np.array(radius), np.array(parent)
         self.routers = points[np.maximum(np.array(router, dtype=np.int64), 0)] if len(ids) else points
-        self.center = center
+        self.center, self.reach = center, float(_distances(points, center).max()) if len(ids) else 0.0
         self.computed = 0
 
     def best(self, q: np.ndarray, own: int, k: int, top: float, floor: float) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +117,8 @@ class Tree:
         bound = np.inf if floor == -np.inf else reach(floor)
         if self.root < 0:
             return ids, scores
-        heap = [(0.0, self.root, float(_distances(self.center[None], lift)[0]))]
+        away = float(_distances(self.center[None], lift)[0])
+        heap = [(max(away - self.reach, 0.0), self.root, away)]
         while heap:
             least, node, to_parent = heapq.heappop(heap)
             if least > bound:
@@ -202,9 +204,9 @@ def _one_dimension(rows: DataFrame, dim: int, n: int, n_queries: int, top: float
         t = Tree(ids[by_id], x[by_id], top)
         nodes = np.array([(*s, leaf) for s, leaf in zip(t.spans, t.leaf, strict=True)], dtype=np.int64)
         inner = np.flatnonzero(~np.isin(np.arange(len(t.child)), np.concatenate([np.arange(a, b) for a, b, leaf in nodes.tolist() if leaf]))) if len(nodes) else np.empty(0, np.int64)
-        return pd.DataFrame({"block": [key[0]], "ids": [t.ids.tobytes()], "x": [t.x.astype(np.int64).tobytes()], "root": [t.root], "nodes": [nodes.tobytes()], "child": [t.child.astype(np.int64).tobytes()], "radius": [t.radius.tobytes()], "parent": [t.parent.tobytes()], "inner": [inner.astype(np.int64).tobytes()], "routers": [t.routers[inner].tobytes()], "center": [t.center.tobytes()]})
+        return pd.DataFrame({"block": [key[0]], "ids": [t.ids.tobytes()], "x": [t.x.astype(np.int64).tobytes()], "root": [t.root], "nodes": [nodes.tobytes()], "child": [t.child.astype(np.int64).tobytes()], "radius": [t.radius.tobytes()], "parent": [t.parent.tobytes()], "inner": [inner.astype(np.int64).tobytes()], "routers": [t.routers[inner].tobytes()], "center": [t.center.tobytes()], "reach": [t.reach]})
 
-    pages = written(placed.select("block", "id", "x").groupBy("block").applyInPandas(build, "block int, ids binary, x binary, root int, nodes binary, child binary, radius binary, parent binary, inner binary, routers binary, center binary"), "pages")
+    pages = written(placed.select("block", "id", "x").groupBy("block").applyInPandas(build, "block int, ids binary, x binary, root int, nodes binary, child binary, radius binary, parent binary, inner binary, routers binary, center binary, reach double"), "pages")
 
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         ids, x = pdf["id"].to_numpy(np.int64), np.frombuffer(b"".join(pdf["x"]), dtype=np.int64).reshape(-1, dim).astype(np.float64)
@@ -228,7 +230,7 @@ def _one_dimension(rows: DataFrame, dim: int, n: int, n_queries: int, top: float
                 t.child, t.radius, t.parent = np.frombuffer(r["child"], np.int64), np.frombuffer(r["radius"]), np.frombuffer(r["parent"])
                 t.routers = np.zeros((len(t.child), dim + 1))
                 t.routers[np.frombuffer(r["inner"], np.int64)] = np.frombuffer(r["routers"]).reshape(-1, dim + 1)
-                t.center, t.root, t.computed = np.frombuffer(r["center"]), r["root"], 0
+                t.center, t.root, t.reach, t.computed = np.frombuffer(r["center"]), r["root"], r["reach"], 0
                 qids, q, floor = np.frombuffer(r["qids"], np.int64), np.frombuffer(r["q"]).reshape(-1, dim), np.frombuffer(r["floor"])
                 out = [(own, *t.best(q[j], own, k, top, float(floor[j]))) for j, own in enumerate(qids.tolist())]
                 counts = [len(ids) for _, ids, _ in out]
