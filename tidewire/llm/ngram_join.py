@@ -169,9 +169,9 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """d (the id), n_shingles, component for each row of docs; linked rows have 100 * intersection >= percent * union."""
     sets = written(shingle_sets(docs, id_col, text_col, k), "sets")
     filled = sets.where("n > 0 and d is not null").groupBy("d", "ha", "hb", "n").agg(F.first("sig").alias("sig"))
-    first = filled.groupBy("ha", "hb").agg(F.min("d").alias("rep"))
-    # shingled sets are small rows: the join with the first id of each set is by sort and merge, and AQE splits a set with many rows
-    with_rep = written(filled.join(first, ["ha", "hb"]).select("d", "n", "sig", "rep"), "reps")
+    # only sets that several ids have need a representative; both sides of the join then have exchanges of their own, which AQE splits
+    shared = written(filled.groupBy("ha", "hb").agg(F.min("d").alias("rep"), F.count("*").alias("ids")).where("ids > 1").drop("ids"), "shared")
+    with_rep = written(filled.join(shared, ["ha", "hb"], "left").select("d", "n", "sig", F.coalesce("rep", "d").alias("rep")), "reps")
     copies = with_rep.where("d != rep").select(F.col("d").alias("u"), F.col("rep").alias("v"))
     links = _links(docs, with_rep.where("d = rep").select("d", "n", "sig"), id_col, text_col, k, percent)
     labels = component_ids(copies.unionByName(links))

@@ -121,7 +121,7 @@ def _leaves(keys: list[bytes], words: list[np.ndarray], window: int, prefix: int
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(owner[where])) + 1, [len(where)]])
         for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             o = int(owner[where[s]])
-            out.append((-1 - int.from_bytes(keys[o][:4], "little") % groups, keys[o], None, None, None, _pack(np.stack(_runs(at[where[s:e]])).astype(np.int32))))
+            out.append((-1 - int.from_bytes(keys[o][8:12], "little") % groups, keys[o], None, None, None, _pack(np.stack(_runs(at[where[s:e]])).astype(np.int32))))
     # leaves in order of place, so that windows next to each other share an anchor
     one = np.sort(one)
     deal = mix(anchor[one])
