@@ -31,7 +31,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder:
         folder = Path(tempfile.mkdtemp(prefix="tidewire-")).as_uri()
         sc.setCheckpointDir(folder)
-    return folder.rstrip("/")
+    # as Spark itself would resolve it, so that pyarrow opens the same folder
+    at = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = at.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
+    return f"file://{whole[5:]}" if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:

@@ -128,7 +128,6 @@ class _Writer:
 
 def _folder(spark, name: str) -> str:
     uri = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    uri = uri if "://" in uri or uri.startswith("file:") else f"file://{uri}"
     fs, base = pafs.FileSystem.from_uri(uri)
     fs.create_dir(base, recursive=True)
     return uri
