@@ -64,10 +64,13 @@ def signature_pairs(df: DataFrame, url_col: str, text_col: str, order: str, thre
 
     The join is by equality of host and signature. compat_cap keeps so many rows of each host before, as the older rule did.
     """
-    rows = df.withColumns({"_host": netloc(F.col(url_col)), "_sig": signature(F.col(url_col)), "_grams": char_ngrams(F.col(text_col))}).where("_host != ''")
+    rows = df.withColumns({"_host": netloc(F.col(url_col)), "_sig": signature(F.col(url_col))}).where("_host != ''")
     if compat_cap is not None:
         w = Window.partitionBy("_host").orderBy(order)
         rows = rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= compat_cap)
+    # only rows that meet another are cut into n-grams
+    several = rows.groupBy("_host", "_sig").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    rows = rows.join(several, ["_host", "_sig"]).withColumn("_grams", char_ngrams(F.col(text_col)))
     a = rows.select(F.col(order).alias("first"), F.col(url_col).alias("url"), "_host", "_sig", F.col("_grams").alias("x"), F.col(text_col).alias("tx"))
     b = rows.select(F.col(order).alias("second"), F.col(url_col).alias("other"), "_host", "_sig", F.col("_grams").alias("y"), F.col(text_col).alias("ty"))
     both = F.size(F.array_union("x", "y"))
