@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import dates, questions, similarity, text, urls
 from tidewire.operators import chunking, dashboard, dedup, joins, retrieval, upsert
+from tidewire.plans import reports
 from tidewire.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -344,10 +345,12 @@ def representative_score(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").select("doc_id", F.round(dedup.source_score(src, (c("doc_id") % 10) / 10.0, c("text")), 6).cast("double").alias("score"))
 
 
-@query("WITH RECURSIVE e AS (SELECT o_custkey AS u, o_custkey + 1 AS v FROM orders WHERE o_orderkey % 7 = 0), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r(id, c) AS (SELECT u, u FROM b UNION SELECT b.v, r.c FROM r JOIN b ON b.u = r.id WHERE r.c < b.v) SELECT id, min(c) AS component FROM r GROUP BY id")
+@query("WITH RECURSIVE f AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY n_chars) AS v, min(doc_id) OVER (PARTITION BY left(coalesce(text, ''), 40)) AS w FROM documents), e AS (SELECT doc_id AS u, v FROM f UNION SELECT doc_id, w FROM f), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r(id, c) AS (SELECT u, u FROM b UNION SELECT b.v, r.c FROM r JOIN b ON b.u = r.id WHERE r.c < b.v) SELECT id, min(c) AS component FROM r GROUP BY id")
 def duplicate_groups_merged(spark: SparkSession, d: str) -> DataFrame:
-    edges = t(spark, d, "orders").where("o_orderkey % 7 = 0").select(c("o_custkey").alias("u"), (c("o_custkey") + 1).alias("v"))
-    return dedup.components(edges)
+    """Groups of equal length and groups of equal beginning, merged where they share a document."""
+    docs = t(spark, d, "documents").select("doc_id", "n_chars", F.left(F.coalesce("text", F.lit("")), F.lit(40)).alias("head"))
+    first = lambda key: docs.join(docs.groupBy(key).agg(F.min("doc_id").alias("v")), key).select(c("doc_id").alias("u"), "v")
+    return dedup.components(first("n_chars").unionByName(first("head")))
 
 
 # ---- chunks --------------------------------------------------------------------------------------------------------------------
@@ -593,3 +596,55 @@ def revenue_by_nation(spark: SparkSession, d: str) -> DataFrame:
 def markdown_render(spark: SparkSession, d: str) -> DataFrame:
     rows = t(spark, d, "documents").select(c("doc_id").alias("ord"), F.lit("pdf").alias("source"), c("source").alias("section"), c("source").alias("source_key"), F.lit(None).cast("string").alias("title"), "text", (c("doc_id") % 9).cast("int").alias("page"), F.lit(1.0).alias("relevance_score"))
     return writers.markdown_sections(rows)
+
+
+@query(f"""WITH {URLS}, h AS (SELECT page_id, string_split(regexp_replace(regexp_replace(lower(netloc), '^.*@', ''), ':[0-9]*$', ''), '.') AS l FROM x), n AS (SELECT *, CASE WHEN array_to_string(list_slice(l, -2, -1), '.') IN {_in(urls.SUFFIXES)} THEN 2 ELSE 1 END AS k FROM h)
+SELECT page_id, CASE WHEN len(l) - k > 1 THEN array_to_string(list_slice(l, 1, len(l) - k - 1), '.') ELSE '' END AS subdomain, CASE WHEN len(l) - k >= 1 THEN l[len(l) - k] ELSE l[1] END AS domain, CASE WHEN len(l) - k >= 1 THEN array_to_string(list_slice(l, len(l) - k + 1, len(l)), '.') ELSE '' END AS suffix FROM n""")
+def url_domain_info(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "pages").select("page_id", urls.domain_info(c("url")).alias("i")).select("page_id", "i.*")
+
+
+@query(f"WITH {_DAYS} SELECT i::INTEGER AS idx, (d0 + (i * 10)::INTEGER)::DATE AS start, least(d0 + (i * 10 + 9)::INTEGER, d1)::DATE AS \"end\" FROM b, (SELECT unnest(generate_series(0, date_diff('day', d0, d1) // 10)) AS i FROM b)")
+def window_split(spark: SparkSession, d: str) -> DataFrame:
+    bounds = t(spark, d, "events").agg(F.min(F.to_date("ts")).alias("a"), F.max(F.to_date("ts")).alias("b"))
+    return bounds.select(F.inline(dates.windows(c("a"), c("b"), 10)))
+
+
+@query("WITH e AS (SELECT *, ts::DATE AS day FROM events), k AS (SELECT DISTINCT day FROM e WHERE event_type = 'error' AND value > 99), s AS (SELECT DISTINCT day FROM e) SELECT day, strftime(day, '%d%m%Y') AS a, strftime(day, '%Y-%m-%d') AS b, strftime(day, '%d/%m/%Y') AS c, day IN (SELECT day FROM k) AS found FROM s")
+def day_status(spark: SparkSession, d: str) -> DataFrame:
+    e = t(spark, d, "events").withColumn("day", F.to_date("ts"))
+    done = e.where("event_type = 'error' AND value > 99").select("day").distinct().withColumn("found", F.lit(True))
+    days = e.agg(F.min("day").alias("a"), F.max("day").alias("b")).select(F.explode(dates.days_between(c("a"), c("b"))).alias("day")).join(e.select("day").distinct(), "day", "left_semi")
+    s = dates.spellings(c("day"))
+    return days.join(done, "day", "left").select("day", s[0].alias("a"), s[1].alias("b"), s[2].alias("c"), F.coalesce("found", F.lit(False)).alias("found"))
+
+
+@query("WITH h AS (SELECT DISTINCT url FROM pages WHERE page_id % 4 = 0 AND coalesce(html, '') <> '' AND url IS NOT NULL) SELECT page_id, url IS NULL OR url NOT IN (SELECT url FROM h) AS preselected FROM pages")
+def preselect_history(spark: SparkSession, d: str) -> DataFrame:
+    p = t(spark, d, "pages")
+    return reports.preselected(p.select("page_id", "url"), p.where("page_id % 4 = 0").select("url", c("html").alias("text"))).select("page_id", "preselected")
+
+
+@query("SELECT conv_id, count(*) AS turns, string_agg(role || ': ' || left(coalesce(text, ''), 200), chr(10) ORDER BY turn) AS transcript, max(length(coalesce(text, ''))) AS longest FROM conversations GROUP BY conv_id")
+def conversation_context(spark: SparkSession, d: str) -> DataFrame:
+    rows = t(spark, d, "conversations")
+    line = F.concat(c("role"), F.lit(": "), F.left(F.coalesce("text", F.lit("")), F.lit(200)))
+    return rows.groupBy("conv_id").agg(F.count("*").alias("turns"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("transcript"), F.max(F.char_length(F.coalesce("text", F.lit("")))).cast("long").alias("longest"))
+
+
+@query()
+def semantic_groups(spark: SparkSession, d: str) -> DataFrame:
+    rows = t(spark, d, "benchmark").select(c("item_id").alias("ord"), F.lit("html").alias("source"), "text").where("text is not null")
+    return reports.semantic_groups(rows)
+
+
+@query("WITH w AS (SELECT doc_id, source, lang, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS running, ntile(4) OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS quartile, lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS previous FROM documents) SELECT doc_id, running::BIGINT AS running, quartile::INTEGER AS quartile, previous FROM w")
+def analytic_windows(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("source").orderBy("doc_id")
+    return t(spark, d, "documents").select("doc_id", F.sum("n_chars").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("running"), F.ntile(4).over(Window.partitionBy("lang").orderBy("n_chars", "doc_id")).alias("quartile"), F.lag("doc_id").over(w).alias("previous"))
+
+
+@query("SELECT source, lang, count(*) AS n, grouping(source, lang)::BIGINT AS level FROM documents GROUP BY GROUPING SETS ((source), (lang), ())")
+def grouping_sets(spark: SparkSession, d: str) -> DataFrame:
+    docs = t(spark, d, "documents")
+    return docs.groupingSets([[c("source")], [c("lang")], []], "source", "lang").agg(F.count("*").alias("n"), F.grouping_id().alias("level")).select("source", "lang", "n", "level")

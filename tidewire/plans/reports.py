@@ -63,12 +63,14 @@ def run_day(docs: DataFrame, links: DataFrame, history: DataFrame) -> Day:
     fresh = dedup.keep_first(upsert.unprocessed(links, history, "URL"), [F.col("URL")], [F.col("Page")])
     kinds = urls.classify_two_level(F.col("URL"))
     fresh = fresh.withColumns({"category": kinds["category"], "subcategory": kinds["subcategory"]})
-    texts = ingest.texts_of(docs).withColumn("ord", F.row_number().over(Window.orderBy("file", "source", "source_key", "page", F.xxhash64("text"))).cast("long"))
+    # a row's id is the hash of what it says and where, so no global order is needed; rows equal in all of it are one
+    place = ["file", "source", "source_key", "page"]
+    texts = ingest.texts_of(docs).withColumn("ord", F.xxhash64(*place, "text")).dropDuplicates(["ord"])
     grouped = texts.join(semantic_groups(texts), "ord")
-    reps = dedup.representatives(grouped, [F.col("component")], F.col("relevance_score"), F.col("text"), [F.col("ord")])
+    reps = dedup.representatives(grouped, [F.col("component")], F.col("relevance_score"), F.col("text"), [F.col(x) for x in [*place, "ord"]])
     figures = texts.agg(F.count("*").alias("original_texts")).join(reps.agg(F.count("*").alias("representative_texts")))
     figures = figures.withColumn("reduction_percentage", dashboard.reduction(F.col("original_texts"), F.col("representative_texts")))
-    return Day(fresh, dashboard.by_two_levels(fresh, F.col("category"), F.col("subcategory")), reps, ingest.only_representatives(docs, reps), figures, writers.markdown_report(writers.markdown_sections(reps)))
+    return Day(fresh, dashboard.by_two_levels(fresh, F.col("category"), F.col("subcategory")), reps, ingest.only_representatives(docs, reps), figures, writers.markdown_report(writers.markdown_sections(reps.withColumn("pos", F.struct(*place, "ord")), "pos")))
 
 
 def dashboard_parts(points: DataFrame, stats: DataFrame) -> dict[str, DataFrame]:
