@@ -205,9 +205,10 @@ def read_all(folder: str, directory: DataFrame) -> DataFrame:
                 for file, start, size in zip(*[batch.column(c).to_pylist() for c in ("file", "start", "size")], strict=True):
                     rows = []
                     for _, _, at, begin, length in _captures(files, file, start, size):
-                        fields, _ = from_record(files.read(at, int(begin), int(length)))
+                        fields, payload = from_record(files.read(at, int(begin), int(length)))
+                        full = len(payload) if fields["WARC-Type"] == "response" else int(fields["X-Payload-Length"])
                         page, refers = fields.get("X-Page-ID"), fields.get("X-Refers-To-Page-ID")
-                        rows.append((None if page is None else int(page), int(fields["X-Payload-Length"]), fields["WARC-Payload-Digest"][5:], fields["WARC-Type"], None if refers is None else int(refers), fields["WARC-Target-URI"]))
+                        rows.append((None if page is None else int(page), full, fields["WARC-Payload-Digest"][5:], fields["WARC-Type"], None if refers is None else int(refers), fields["WARC-Target-URI"]))
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()), strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"])
         finally:
             files.close()
