@@ -16,8 +16,8 @@ Test sets travel with the tasks only up to QUERY_MB; larger ones are searched in
 parts' hits are merged.
 
 Cases: null or empty text: no words; an item with fewer words than the window, but some, is one window; without words, none; rows
-that share an id are judged row by row; equal windows of several items count for each of them; null ids stay. Item ids are compared
-as strings. Further columns of either table don't take part.
+that share an id are judged row by row; equal windows of several items count for each of them; null ids stay; a null item id counts as ''.
+Item ids are compared as strings. Further columns of either table don't take part.
 """
 
 from __future__ import annotations
@@ -172,7 +172,7 @@ def _parts(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[
         if part and size + len(text) > QUERY_MB << 20:
             yield part
             part, size = [], 0
-        part.append((str(row[0]), word_list(text)))
+        part.append((row[0] or "", word_list(text)))
         size += len(text)
     yield part
 
