@@ -156,20 +156,19 @@ class Automaton:
 
 
 class WordTable(dict):
-    """pre-split word -> (ids as little-endian 32-bit integers, labels of its arcs joined by a space)."""
+    """pre-split word -> ids as little-endian 32-bit integers."""
 
-    def __init__(self, automaton: Automaton, labels: list[str]):
+    def __init__(self, automaton: Automaton):
         super().__init__()
-        self.automaton, self.labels = automaton, labels
+        self.automaton = automaton
         self.table = dict(enumerate(byte_symbols()))
 
-    def __missing__(self, word: str) -> tuple[bytes, str]:
+    def __missing__(self, word: str) -> bytes:
         if len(self) >= MAX_WORDS:
             self.clear()
         symbols = list(word.encode().decode("latin-1").translate(self.table))
         symbols[-1] += self.automaton.end_of_word
-        ids = self.automaton.encode(symbols)
-        self[word] = found = (np.array(ids, dtype="<u4").tobytes(), " ".join([self.labels[i] for i in ids]))
+        self[word] = found = np.array(self.automaton.encode(symbols), dtype="<u4").tobytes()
         return found
 
 
@@ -194,7 +193,7 @@ class Codec:
         for text, i in [*vocab.items(), *self.added.items()]:
             self.labels[i] = text
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.table = WordTable(Automaton(vocab, merges, model["end_of_word_suffix"] or ""), self.labels)
+        self.table = WordTable(Automaton(vocab, merges, model["end_of_word_suffix"] or ""))
 
     def normal(self, text: str) -> str:
         if not text.isascii():
@@ -215,23 +214,19 @@ class Codec:
         pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
         return [bytes([self.byte_of[c] for c in piece]).decode() for piece, _ in pieces]
 
-    def encode_text(self, text: str) -> list[tuple[bytes, str]]:
-        """(ids, labels) of each word in turn."""
+    def encode_text(self, text: str) -> bytes:
+        """The text's ids as little-endian 32-bit integers."""
         get = self.table.__getitem__
         if self.cut and any(a in text for a in self.added):
             out = []
             for i, part in enumerate(self.cut.split(text)):
-                if i % 2:
-                    out.append((np.array([self.added[part]], dtype="<u4").tobytes(), part))
-                else:
-                    out += map(get, self.split(part))
-            return out
-        return list(map(get, self.split(text)))
+                out += [np.array([self.added[part]], dtype="<u4").tobytes()] if i % 2 else map(get, self.split(part))
+            return b"".join(out)
+        return b"".join(map(get, self.split(text)))
 
     def decode_ids(self, ids: bytes) -> str:
         """The labels of the arcs that ids stand for, joined by a space."""
-        labels = self.labels
-        return " ".join([labels[i] for i in np.frombuffer(ids, dtype="<u4").tolist()])
+        return " ".join(map(self.labels.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
 _CODECS: dict[str, Codec] = {}
@@ -265,7 +260,7 @@ def _spread(docs: DataFrame, text_col: str, path: str, columns: list[tuple[str,
 
 def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """docs plus ids (array<int>) of each whole text."""
-    return _spread(docs, text_col, path, [("ids", pa.list_(pa.int32()), "array<int>")], lambda c, t: (np.frombuffer(b"".join([w[0] for w in c.encode_text(t.decode())]), dtype="<i4"),))
+    return _spread(docs, text_col, path, [("ids", pa.list_(pa.int32()), "array<int>")], lambda c, t: (np.frombuffer(c.encode_text(t.decode()), dtype="<i4"),))
 
 
 def decode(tokens: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
@@ -279,9 +274,8 @@ def digests(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """docs plus n_tokens, ids_sha256 and decoded_sha256: what encode() and then decode() give, reduced where they are made."""
 
     def make(c: Codec, text: bytes) -> tuple[int, str, str]:
-        words = c.encode_text(text.decode())
-        ids = b"".join([w[0] for w in words])
-        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(" ".join([w[1] for w in words]).encode()).hexdigest()
+        ids = c.encode_text(text.decode())
+        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(c.decode_ids(ids).encode()).hexdigest()
 
     return _spread(docs, text_col, path, [("n_tokens", pa.int64(), "long"), ("ids_sha256", pa.string(), "string"), ("decoded_sha256", pa.string(), "string")], make)
 
@@ -290,8 +284,7 @@ def tokens(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """docs plus n_tokens, ids (array<int>), ids_sha256 and decoded_sha256, from one pass over the texts."""
 
     def make(c: Codec, text: bytes) -> tuple[int, np.ndarray, str, str]:
-        words = c.encode_text(text.decode())
-        ids = b"".join([w[0] for w in words])
+        ids = c.encode_text(text.decode())
         return len(ids) // 4, np.frombuffer(ids, dtype="<i4"), hashlib.sha256(ids).hexdigest(), hashlib.sha256(c.decode_ids(ids).encode()).hexdigest()
 
     columns = [("n_tokens", pa.int64(), "long"), ("ids", pa.list_(pa.int32()), "array<int>"), ("ids_sha256", pa.string(), "string"), ("decoded_sha256", pa.string(), "string")]

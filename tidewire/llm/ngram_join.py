@@ -67,11 +67,21 @@ def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def coarse_words(words: int, sizes: int, percent: int) -> int:
+    """The narrowest width, of a power of two words, in which unrelated sets of these sizes in sum still differ by more than the
+    bound (half the bits, two deviations aside); the full width if none does."""
+    limit = sizes * (100 - percent) // (100 + percent)
+    few = 1
+    while few < words and 32 * few - math.sqrt(64 * few) <= limit:
+        few *= 2
+    return few
+
+
 def candidates(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, percent: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (row of a, row of b) that bit counts allow, block by block; same: a is b and only i < j count."""
     words = min(a.shape[1], b.shape[1])
     a, b = folded(a, words), folded(b, words)
-    few = max(1, words // 4)
+    few = coarse_words(words, int(na.max()) + int(nb.max()), percent)
     ca, cb = folded(a, few), folded(b, few)
     na, nb = na.astype(np.int64), nb.astype(np.int64)
     for i in range(0, len(a), STEP):
