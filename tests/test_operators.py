@@ -34,6 +34,18 @@ def test_leader_cluster(spark):
     assert runs == [0.0]
 
 
+def test_leader_cluster_of_large_blocks(spark):
+    words = ["corte de agua en piura por obras", "corte de agua en piura por obra", "sunass supervisa calidad", "corte de agua en lima por obras", "otra nota", ""]
+    given = [("x", i, words[i * i % 7 % 6] + " abc"[: i % 3]) for i in range(40)] + [("y", i, words[i % 6]) for i in range(5)] + [(None, i, words[i % 4]) for i in range(9)] + [("x", 40, None)]
+    rows = spark.createDataFrame(given, "block string, ord int, text string").repartition(5)
+    for options in ({}, {"absorb": True}, {"similarity": lambda a, b: float(a[:12] == b[:12])}):
+        whole = sorted(map(str, dedup.leader_cluster(rows, "block", "ord", "text", 0.85, **options).collect()))
+        cut = sorted(map(str, dedup.leader_cluster(rows, "block", "ord", "text", 0.85, max_block=7, **options).collect()))
+        assert cut == whole and len(cut) == len(given)
+    plain = lambda a, b: dedup.block_ratio_of(a, b) if a and b else 0.0
+    assert sorted(map(str, dedup.leader_cluster(rows, "block", "ord", "text", 0.85).collect())) == sorted(map(str, dedup.leader_cluster(rows, "block", "ord", "text", 0.85, similarity=plain).collect()))
+
+
 def test_keep_first_and_last(spark):
     rows = spark.createDataFrame([(0, " Agua "), (1, "agua"), (2, "luz"), (3, " "), (4, None)], "i int, text string")
     assert [r["i"] for r in dedup.exact_dedup(rows, "text", [F.col("i")]).orderBy("i").collect()] == [0, 2]

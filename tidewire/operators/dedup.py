@@ -1,8 +1,8 @@
 """Exact and near duplicates: keep-first and keep-last, representatives, signature blocks, leader clustering, components.
 
 Groups can be large and unevenly sized. Exact forms use one shuffle on the key with a partial aggregate or a window that Spark limits on the map side
-(row_number() = 1). Leader clustering is sequential by definition, so it runs per block, and blocks that are too large are split off
-with an error of their size rather than collected silently; the scalable form with other semantics is components().
+(row_number() = 1). Leader clustering is sequential by definition, so it runs per block; a block that is too large for a task goes in
+ordered chunks with the same result. Its work grows with rows x leaders; the cheaper form with other semantics is components().
 """
 
 from __future__ import annotations
@@ -10,8 +10,9 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.similarity import RATIO_CHARS, block_ratio_of
@@ -78,37 +79,130 @@ def signature_pairs(df: DataFrame, url_col: str, text_col: str, order: str, thre
     return a.join(b, ["_host", "_sig"]).where("first < second").withColumn("similarity", s).where(F.col("similarity") >= threshold).select("first", "second", "url", "other", "similarity")
 
 
-#: Rows of a block that leader clustering takes into one task.
-MAX_BLOCK = 20_000
+#: Rows of a block that leader clustering takes into one task; a larger block goes in chunks of CHUNK rows, each met with leaders in PIECES parts.
+MAX_BLOCK, CHUNK, PIECES = 20_000, 2_000, 16
+
+
+def _letters(t: str) -> np.ndarray:
+    """How often each of 128 classes of characters is found: the sum of the lesser counts of two texts bounds their matching characters."""
+    return np.bincount(np.frombuffer(t[:RATIO_CHARS].encode("utf-32-le", "surrogatepass"), np.uint32) % 128, minlength=128).astype(np.int16)
+
+
+class _Leaders:
+    """Leaders in their order. Without a similarity of the caller's it is the block ratio, only worked out where its bound by letters is high enough."""
+
+    def __init__(self, need: float, similarity: Callable[[str, str], float] | None, absorb: bool):
+        self.need, self.similarity, self.absorb = need, similarity, absorb
+        self.names: list = []
+        self.texts: list[str] = []
+        self.counts, self.sizes = np.zeros((64, 128), np.int16), np.zeros(64, np.int64)
+
+    def add(self, name, text: str) -> None:
+        n = len(self.names)
+        if n == len(self.sizes):
+            self.counts, self.sizes = np.concatenate([self.counts, np.zeros_like(self.counts)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+        if self.similarity is None:
+            self.counts[n], self.sizes[n] = _letters(text), len(text[:RATIO_CHARS])
+        self.names.append(name)
+        self.texts.append(text)
+
+    def first(self, text: str) -> tuple | None:
+        """(name, similarity) of the first leader that text joins."""
+        n, sim = len(self.names), self.similarity
+        near = range(n)
+        if sim is None:
+            sim = lambda a, b: block_ratio_of(a[:RATIO_CHARS], b[:RATIO_CHARS]) if a and b else 0.0
+            both = np.minimum(self.counts[:n], _letters(text)).sum(axis=1, dtype=np.int64)
+            near = np.flatnonzero(2.0 * both / np.maximum(self.sizes[:n] + len(text[:RATIO_CHARS]), 1) >= self.need).tolist()
+        for i in near:
+            s = sim(self.texts[i], text) if self.absorb else sim(text, self.texts[i])
+            if s >= self.need:
+                return self.names[i], s
+        return None
 
 
 def leader_cluster(df: DataFrame, block: str, order: str, text: str, threshold: float | dict[str, float], similarity: Callable[[str, str], float] | None = None, absorb: bool = False, max_block: int = MAX_BLOCK) -> DataFrame:
     """block, ord, leader, similarity: each row in order joins the first leader at the block's threshold or becomes one itself.
 
     absorb: the leader looks at later rows only and is the first argument of the similarity, as in the grouping form; else the new
-    row is the first argument. A block over max_block rows raises: no row is dropped, and the caller picks a finer block or components().
+    row is the first argument. Blocks of over max_block rows have the same result by _in_chunks(), worked out when this is called.
     """
-    sim = similarity or (lambda a, b: block_ratio_of(a[:RATIO_CHARS], b[:RATIO_CHARS]) if a and b else 0.0)
+    kind, number = df.schema[block].dataType.simpleString(), df.schema[order].dataType.simpleString()
+    leaders_of = lambda name: _Leaders(threshold.get(name, threshold.get("default", 0.85)) if isinstance(threshold, dict) else threshold, similarity, absorb)
 
     def cluster(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > max_block:
-            raise ValueError(f"block {key[0]!r} has {len(pdf)} rows; leader clustering takes {max_block}")
-        need = threshold.get(key[0], threshold.get("default", 0.85)) if isinstance(threshold, dict) else threshold
-        leaders: list[tuple[int, str]] = []
-        out = []
-        for o, t in sorted(zip(pdf[order].tolist(), pdf[text].fillna("").tolist(), strict=True)):
-            for lo, lt in leaders:
-                s = sim(lt, t) if absorb else sim(t, lt)
-                if s >= need:
-                    out.append((key[0], o, lo, s))
-                    break
-            else:
-                leaders.append((o, t))
-                out.append((key[0], o, o, 1.0))
+        leaders, out = leaders_of(key[0]), []
+        for o, t in sorted(zip(pdf["ord"].tolist(), pdf["text"].fillna("").tolist(), strict=True)):
+            hit = leaders.first(t)
+            if hit is None:
+                leaders.add(o, t)
+            out.append((key[0], o, *(hit or (o, 1.0))))
         return pd.DataFrame(out, columns=["block", "ord", "leader", "similarity"])
 
-    kind, number = df.schema[block].dataType.simpleString(), df.schema[order].dataType.simpleString()
-    return df.select(block, order, text).groupBy(block).applyInPandas(cluster, f"block {kind}, ord {number}, leader {number}, similarity double")
+    rows = df.select(F.col(block).alias("block"), F.col(order).alias("ord"), F.col(text).alias("text"))
+    large = [r["block"] for r in rows.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > max_block).collect()]
+    if not large:
+        return rows.groupBy("block").applyInPandas(cluster, f"block {kind}, ord {number}, leader {number}, similarity double")
+    names = F.broadcast(df.sparkSession.createDataFrame(list(enumerate(large)), f"b int, name {kind}"))
+    small = rows.join(names, F.col("block").eqNullSafe(F.col("name")), "left_anti").groupBy("block").applyInPandas(cluster, f"block {kind}, ord {number}, leader {number}, similarity double")
+    numbered = rows.join(names, F.col("block").eqNullSafe(F.col("name"))).select("b", "ord", F.coalesce("text", F.lit("")).alias("text"))
+    labels = _in_chunks(numbered, lambda b: leaders_of(large[b]), number, min(CHUNK, max_block))
+    return small.unionByName(labels.join(names, "b").select(F.col("name").alias("block"), "ord", "leader", "similarity"))
+
+
+def _in_chunks(rows: DataFrame, leaders_of: Callable[[int], _Leaders], number: str, chunk: int) -> DataFrame:
+    """b, ord, leader, similarity of blocks b of any size, as leader_cluster() has them.
+
+    Rows are numbered in order and go in chunks: those of a chunk that join no leader of an earlier chunk (met in many tasks, the first
+    leader counts) are clustered among themselves. A task holds a chunk's leaders and a part of a chunk; a chunk is a few jobs.
+    """
+    _checkpoints(rows.sparkSession)
+    # ranges follow each other in order: a row's number is its place in its range behind all earlier ranges of its block
+    ranged = rows.repartitionByRange("b", "ord", "text").withColumn("p", F.spark_partition_id()).checkpoint()
+    sizes = ranged.groupBy("b", "p").agg(F.count("*").alias("size"))
+    starts = sizes.withColumn("start", F.sum("size").over(Window.partitionBy("b").orderBy("p")) - F.col("size")).select("b", "p", "start")
+    place = F.row_number().over(Window.partitionBy("b", "p").orderBy("ord", "text")) - 1 + F.col("start")
+    rows = ranged.join(F.broadcast(starts), ["b", "p"]).select("b", place.alias("n"), "ord", "text").checkpoint()
+
+    def meet(key: tuple, new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+        leaders, out = leaders_of(key[0]), []
+        for n, o, t in sorted(zip(old["n"].tolist(), old["ord"].tolist(), old["text"].tolist(), strict=True)) if len(new) else ():
+            leaders.add((n, o), t)
+        for n, o, t in zip(new["n"].tolist(), new["ord"].tolist(), new["text"].tolist(), strict=True):
+            hit = leaders.first(t)
+            if hit is not None:
+                out.append((key[0], n, o, *hit[0], hit[1]))
+        return pd.DataFrame(out, columns=["b", "n", "ord", "at", "leader", "similarity"])
+
+    def cluster(key: tuple, new: pd.DataFrame) -> pd.DataFrame:
+        leaders, out = leaders_of(key[0]), []
+        for n, o, t in sorted(zip(new["n"].tolist(), new["ord"].tolist(), new["text"].tolist(), strict=True)):
+            hit = leaders.first(t)
+            if hit is None:
+                leaders.add(o, t)
+            out.append((key[0], n, o, *(hit or (o, 1.0)), t if hit is None else None))
+        return pd.DataFrame(out, columns=["b", "n", "ord", "leader", "similarity", "text"])
+
+    labels, leaders = [], []
+    for i in range((rows.agg(F.max("n")).first()[0]) // chunk + 1):
+        own = rows.where(F.col("n").between(i * chunk, i * chunk + chunk - 1))
+        if leaders:
+            old = leaders[0]
+            for x in leaders[1:]:
+                old = old.unionByName(x)
+            parts = own.withColumns({"part": F.col("n") % PIECES, "slice": F.explode(F.sequence(F.lit(0), F.lit(i - 1)))})
+            met = old.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1)).cast("array<long>")))
+            hits = parts.groupBy("b", "part", "slice").cogroup(met.groupBy("b", "part", "slice")).applyInPandas(meet, f"b int, n long, ord {number}, at long, leader {number}, similarity double")
+            found = hits.groupBy("b", "n").agg(F.min_by(F.struct("ord", "leader", "similarity"), "at").alias("x")).select("b", "n", "x.*").checkpoint()
+            labels.append(found.drop("n"))
+            own = own.join(found, ["b", "n"], "left_anti")
+        made = own.groupBy("b").applyInPandas(cluster, f"b int, n long, ord {number}, leader {number}, similarity double, text string").checkpoint()
+        labels.append(made.drop("n", "text"))
+        leaders.append(made.where("text is not null").select("b", "n", "ord", "text", F.lit(i).alias("slice")))
+    out = labels[0]
+    for x in labels[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def cluster_stats(labels: DataFrame) -> DataFrame:
@@ -131,13 +225,17 @@ def with_fallback(df: DataFrame, run: Callable[[float], DataFrame], step: float
     return first
 
 
+def _checkpoints(spark: SparkSession) -> None:
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewire-"))
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """id, component (the smallest id reachable) from edges (u, v): least labels spread along edges, each round checkpointed.
 
     The transitive form of grouping. Each round also jumps to the label's own label, so chains close in logarithmically many rounds.
     """
-    if not edges.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        edges.sparkSession.sparkContext.setCheckpointDir(edges.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewire-"))
+    _checkpoints(edges.sparkSession)
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u is not null and v is not null").distinct().checkpoint()
     labels = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.least("u", "m").alias("label")).checkpoint()
     for _ in range(rounds):
