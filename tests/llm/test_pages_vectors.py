@@ -55,6 +55,16 @@ def test_warc(spark, monkeypatch):
     assert index.lookup("http://nowhere.com/") == [] and [p for _, p in index.lookup("http://d.com")] == [big.encode()]
 
 
+def test_warc_revisit_of_another_url(spark):
+    big, other = "é" * 700, "x" * 1000
+    given = [(1, "http://a.com/1", big), (10, "http://b.com/", big), (2, "http://a.com/2", other), (10, "http://b.com/", other), (3, "http://a.com/1", "")]
+    folder, captures = warc_index.write_archives(spark.createDataFrame(given, "page_id long, url string, html string").repartition(2))
+    index = warc_index.CaptureIndex(folder, warc_index.build_index(folder, captures))
+    found = {(f["X-Page-ID"], f["WARC-Type"], f["X-Payload-Length"]): p for f, p in index.lookup("http://a.com/1")}
+    assert found == {("1", "revisit", "1400"): big.encode(), ("3", "response", "0"): b""}
+    assert [(f["WARC-Type"], p) for f, p in index.lookup("http://a.com/2")] == [("revisit", other.encode())]
+
+
 def test_warc_empty_and_damaged(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     folder, captures = warc_index.write_archives(none)

@@ -4,7 +4,7 @@ write_archives() writes a gzip member per record, response or revisit, into arch
 the captures by reversed-host URL key (range partitions, so files follow each other in key order), compresses runs of BLOCK_LINES
 lines to blocks and keeps, per block, its first and last key and where it lies: the sparse directory, the index's second level.
 read_all() walks the directory, and lookup() binary-searches it, range-reads the few blocks that can hold a key, binary-searches
-their lines, and range-reads the records those point to.
+their lines, and range-reads the records those point to. A revisit's line also has the place of its response, wherever that was captured.
 
 Duplicates: of records with equal payloads of at least min_bytes, the one with the largest id is the response and the others revisit it;
 the digest decides (SHA-1, from the JVM), counted by a partial aggregate. Payloads cross the network once, dealt by record id, so
@@ -134,7 +134,7 @@ def _folder(spark, name: str) -> str:
 
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 1000) -> tuple[str, DataFrame]:
-    """(folder, captures): the archives' folder and the written catalogue key, page, file, start, size of their records."""
+    """(folder, captures): the archives' folder and the written catalogue key, page, file, start, size, digest, refers of their records."""
     spark = pages.sparkSession
     ship(spark)
     payload = F.coalesce(F.col(f"`{payload_col}`"), F.lit("")).cast("binary")
@@ -153,13 +153,13 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
                 columns = [batch.column(c).to_pylist() for c in ("id", "url", "digest", "bytes", "last")]
                 for page, url, digest, size, last, body in zip(*columns, byte_rows(batch.column("p")), strict=True):
                     where = out.put(to_record(None if page is None else str(page), url, body, digest, size, None if last is None else str(last)))
-                    made.append((reversed_key(url), page, *where))
-                cols = list(zip(*made, strict=True)) if made else [()] * 5
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["key", "page", "file", "start", "size"])
+                    made.append((reversed_key(url), page, *where, digest, last))
+                cols = list(zip(*made, strict=True)) if made else [()] * 7
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=["key", "page", "file", "start", "size", "digest", "refers"])
         finally:
             out.close()
 
-    return folder, written(marked.mapInArrow(put, "key string, page long, file string, start long, size long"), "captures")
+    return folder, written(marked.mapInArrow(put, "key string, page long, file string, start long, size long, digest string, refers long"), "captures")
 
 
 def build_index(folder: str, captures: DataFrame) -> DataFrame:
@@ -176,8 +176,9 @@ def build_index(folder: str, captures: DataFrame) -> DataFrame:
 
         try:
             for batch in batches:
-                for key, page, file, start, size in zip(*[batch.column(c).to_pylist() for c in ("key", "page", "file", "start", "size")], strict=True):
-                    lines.append(_LINE.join((key, "" if page is None else str(page), file, str(start), str(size))))
+                for key, page, file, start, size, there in zip(*[batch.column(c).to_pylist() for c in ("key", "page", "file", "start", "size", "there")], strict=True):
+                    of = () if there is None else (there["file"], str(there["start"]), str(there["size"]))
+                    lines.append(_LINE.join((key, "" if page is None else str(page), file, str(start), str(size), *of)))
                     if len(lines) >= BLOCK_LINES:
                         close()
             close()
@@ -186,6 +187,11 @@ def build_index(folder: str, captures: DataFrame) -> DataFrame:
         cols = list(zip(*rows, strict=True)) if rows else [()] * 6
         yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["first", "last", "n", "file", "start", "size"])
 
+    # an id may come with several payloads, so a response is met by id and digest; those that nobody revisits stay out of the join
+    wanted = captures.where("refers is not null").select("refers", "digest").distinct()
+    responses = captures.where("refers is null").select(F.col("page").alias("refers"), "digest", F.struct("file", "start", "size").alias("there"))
+    places = responses.join(wanted, ["refers", "digest"]).groupBy("refers", "digest").agg(F.min("there").alias("there"))
+    captures = captures.join(places, ["refers", "digest"], "left").select("key", "page", "file", "start", "size", "there")
     # a URL with very many captures is spread over ranges by the place of its records
     ordered = captures.repartitionByRange("key", "file", "start").sortWithinPartitions(F.encode("key", "utf-8"), "file", "start")
     return written(ordered.mapInArrow(block, "first string, last string, n long, file string, start long, size long"), "directory")
@@ -204,7 +210,7 @@ def read_all(folder: str, directory: DataFrame) -> DataFrame:
             for batch in batches:
                 for file, start, size in zip(*[batch.column(c).to_pylist() for c in ("file", "start", "size")], strict=True):
                     rows = []
-                    for _, _, at, begin, length in _captures(files, file, start, size):
+                    for _, _, at, begin, length, *_ in _captures(files, file, start, size):
                         fields, payload = from_record(files.read(at, int(begin), int(length)))
                         full = len(payload) if fields["WARC-Type"] == "response" else int(fields["X-Payload-Length"])
                         page, refers = fields.get("X-Page-ID"), fields.get("X-Refers-To-Page-ID")
@@ -229,9 +235,10 @@ class CaptureIndex:
             self.lasts.append(max(b[1], self.lasts[-1]) if self.lasts else b[1])
 
     def lookup(self, url: str) -> list[tuple[dict[str, str], bytes]]:
-        """Header fields and payload of each capture of url, a revisit's payload taken from the record that it refers to where that has the same URL."""
+        """Header fields and payload of each capture of url, a revisit's payload taken from the record that it refers to, under whatever URL."""
         key = reversed_key(url).encode()
-        found = []
+        found: list[tuple[dict[str, str], bytes]] = []
+        shared: dict[tuple[str, int, int], bytes] = {}
         for first, _, file, start, size in self.blocks[bisect_left(self.lasts, key) :]:
             if first > key:
                 break
@@ -240,6 +247,11 @@ class CaptureIndex:
             for x in lines[bisect_left(keys, key) :]:
                 if x[0].encode() != key:
                     break
-                found.append(from_record(self.files.read(x[2], int(x[3]), int(x[4]))))
-        by_page = {f.get("X-Page-ID"): p for f, p in found if f["WARC-Type"] == "response"}
-        return [(f, p if f["WARC-Type"] == "response" else by_page.get(f["X-Refers-To-Page-ID"], b"")) for f, p in found]
+                fields, payload = from_record(self.files.read(x[2], int(x[3]), int(x[4])))
+                if fields["WARC-Type"] == "revisit":
+                    place = (x[5], int(x[6]), int(x[7]))
+                    if place not in shared:
+                        shared[place] = from_record(self.files.read(*place))[1]
+                    payload = shared[place]
+                found.append((fields, payload))
+        return found
