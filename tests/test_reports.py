@@ -95,6 +95,21 @@ def test_topics(spark):
     assert got == {0: ("agua_saneamiento", ["html", "pdf"]), 2: ("politica_economia", ["facebook"])}
 
 
+def test_topic_threshold(spark):
+    def pair(first, a, b, shared, own):
+        word = lambda k: f"x{chr(97 + first)}{chr(97 + k // 26)}{chr(97 + k % 26)}palabra"
+        both = [word(k) for k in range(shared)]
+        return [(first + i, s, " ".join(both + [word(shared + own * i + k) for k in range(own)]), 0.9) for i, s in enumerate((a, b))]
+
+    # cosines 0.677, 0.677 and 0.642
+    items = [*pair(0, "pdf", "html", 10, 3), *pair(2, "facebook", "facebook", 10, 3), *pair(4, "pdf", "html", 20, 7)]
+    rows = spark.createDataFrame(items, "ord long, source string, text string, relevance_score double")
+    got = sorted((r["merged_from"], r["source"]) for r in reports.by_topic(rows).collect())
+    assert got == [(["facebook", "facebook"], "facebook"), (["html"], "html"), (["html", "pdf"], "html"), (["pdf"], "pdf")]
+    pages = spark.createDataFrame([(0, "html", "agua potable", 0.29), (1, "html", "corte de luz", 0.3), (2, "html", "otra nota", None), (3, "pdf", "sin relevancia", None)], "ord long, source string, text string, relevance_score double")
+    assert sorted(r["ord"] for r in reports.by_topic(pages).collect()) == [1, 3]
+
+
 def test_census(spark):
     spark.range(3).createOrReplaceTempView("census_three")
     assert ("census_three", 3) in [tuple(r) for r in reports.table_census(spark).collect()]

@@ -17,6 +17,8 @@ from . import ingest
 
 #: Thresholds of the semantic clean, two posts and any other pair.
 POSTS, OTHERS = 0.85, 0.7
+#: Fixed values of the grouping by topics: threshold of any pair, and relevance from which a page takes part.
+TOPICS, RELEVANT = 0.65, 0.3
 #: Characters of context from which an answer works with the day digest instead.
 DIGEST_FROM = 8000
 #: Rows of a retrieval, and of the balanced choice for an answer.
@@ -29,16 +31,16 @@ def nearest_day(points: DataFrame, day_number: str, day: str, first: Column, las
     return points.where(number.between(F.date_format(first, "yyyyMMdd").cast("int"), F.date_format(last, "yyyyMMdd").cast("int")))
 
 
-def semantic_groups(texts: DataFrame, order: str = "ord") -> DataFrame:
+def semantic_groups(texts: DataFrame, order: str = "ord", posts: float = POSTS, others: float = OTHERS) -> DataFrame:
     """ord, component of texts (ord, source, text) that say the same: TF-IDF cosine over shared terms, grouped by components.
 
-    Two posts need POSTS, others OTHERS. Pairs are met through terms they share, terms of nearly all texts aside.
+    Two posts need posts, other pairs others. Pairs are met through terms they share, terms of nearly all texts aside.
     """
     rows = texts.select(F.col(order).alias("ord"), F.col("source"), ascii_terms(F.col("text"), []).alias("w"))
-    pairs = joins.tfidf_pairs(rows, rows, "ord", "ord", F.col("w"), F.col("w"), OTHERS, max_df=0.95).where("left_id < right_id")
+    pairs = joins.tfidf_pairs(rows, rows, "ord", "ord", F.col("w"), F.col("w"), min(posts, others), max_df=0.95).where("left_id < right_id")
     kinds = rows.select("ord", "source")
     typed = pairs.join(kinds.select(F.col("ord").alias("left_id"), F.col("source").alias("a")), "left_id").join(kinds.select(F.col("ord").alias("right_id"), F.col("source").alias("b")), "right_id")
-    need = F.when((F.col("a") == "facebook") & (F.col("b") == "facebook"), POSTS).otherwise(OTHERS)
+    need = F.when((F.col("a") == "facebook") & (F.col("b") == "facebook"), posts).otherwise(others)
     groups = dedup.components(typed.where(F.col("similarity") >= need).select(F.col("left_id").alias("u"), F.col("right_id").alias("v")))
     return rows.select("ord").join(groups.withColumnRenamed("id", "ord"), "ord", "left").select("ord", F.coalesce("component", "ord").alias("component"))
 
@@ -174,9 +176,13 @@ def pair_decision(a: dict[str, Column], b: dict[str, Column], threshold: Column)
 
 
 def by_topic(items: DataFrame) -> DataFrame:
-    """items (ord, source, text, relevance_score) that are no repetition of another, with their topic and what was merged into them."""
-    clean = items.withColumn("cleaned_text", normalize_for_topics(F.col("text")))
-    grouped = clean.join(semantic_groups(clean.select("ord", "source", F.col("cleaned_text").alias("text"))), "ord")
+    """items (ord, source, text, relevance_score) that are no repetition of another, with their topic and what was merged into them.
+
+    Pages below RELEVANT, or without a relevance, take no part; any two items of TOPICS or over are merged.
+    """
+    known = items.where(~F.col("source").eqNullSafe("html") | (F.coalesce("relevance_score", F.lit(0.0)) >= RELEVANT))
+    clean = known.withColumn("cleaned_text", normalize_for_topics(F.col("text")))
+    grouped = clean.join(semantic_groups(clean.select("ord", "source", F.col("cleaned_text").alias("text")), posts=TOPICS, others=TOPICS), "ord")
     merged = grouped.groupBy("component").agg(F.sort_array(F.collect_list("source")).alias("merged_from"))
     score = dedup.source_score(F.col("source"), F.col("relevance_score"), F.col("text"))
     best = grouped.withColumn("_s", score).withColumn("_rn", F.row_number().over(Window.partitionBy("component").orderBy(F.desc("_s"), "ord"))).where("_rn = 1").drop("_rn", "_s")
