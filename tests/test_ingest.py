@@ -49,6 +49,14 @@ def test_representatives_and_posts(spark, tmp_path):
     assert list(merged) == ["https://fb.com/2"] and ingest.post_titles(posts).first()["title"] == "Hola"
 
 
+def test_long_post_stays_whole(spark, tmp_path):
+    posts = spark.createDataFrame([("clean_14072025.json", "https://fb.com/2", "agua " * 200_001 + "fin", None, "x")], "file string, url string, extracted_text string, pdf_path string, processed_date string")
+    text = F.col("extracted_content.facebook_texts")["https://fb.com/2"]["extracted_text"]
+    r = ingest.merge_facebook(docs(spark, tmp_path), posts).select(F.length(text).alias("n"), F.right(text, F.lit(3)).alias("end")).first()
+    assert (r["n"], r["end"]) == (1_000_008, "fin")
+    assert ingest.post_titles(posts).select(F.length("excerpt")).first()[0] == 1000
+
+
 def test_report(spark, tmp_path):
     rows = ingest.texts_of(docs(spark, tmp_path)).withColumn("ord", F.monotonically_increasing_id())
     md = writers.markdown_report(writers.markdown_sections(rows)).first()["markdown"]

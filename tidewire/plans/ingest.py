@@ -104,7 +104,7 @@ def only_representatives(docs: DataFrame, reps: DataFrame) -> DataFrame:
 
 def merge_facebook(docs: DataFrame, posts: DataFrame) -> DataFrame:
     """docs with the posts (file, url, extracted_text, pdf_path, processed_date) as their section; documents without posts keep theirs."""
-    entry = F.struct(F.left("extracted_text", F.lit(1_000_000)).alias("extracted_text"), "pdf_path", "processed_date", F.lit(True).alias("success"))
+    entry = F.struct("extracted_text", "pdf_path", "processed_date", F.lit(True).alias("success"))
     first = posts.groupBy("file", "url").agg(F.min(entry).alias("e"))
     sections = first.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("url", "e"))).alias("posts"))
     joined = docs.join(sections, "file", "left")
