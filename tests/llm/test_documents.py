@@ -38,6 +38,13 @@ def test_line_dedup(docs, texts):
     assert got == want
 
 
+def test_line_dedup_texts_of_one_id(spark):
+    again, clean = "this line is found again and again", "this line is found only once, in {}"
+    rows = spark.createDataFrame([(1, f"{again}\n{clean.format('a')}"), (1, f"{clean.format('b')}\n{again}"), (1, None), (2, again), (3, again)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["text"] or "", *r["line_dedup"]) for r in line_dedup.drop_repeated_lines(rows).collect())
+    assert got == [(1, "", 1, 0), (1, clean.format("a"), 2, 1), (1, clean.format("b"), 2, 1), (2, "", 1, 1), (3, again, 1, 0)]
+
+
 def test_line_dedup_repeated_and_null_ids(spark):
     line = "a line of over twenty characters"
     rows = spark.createDataFrame([(1, line), (1, line), (2, line), (None, line), (None, line)], "doc_id long, text string")
@@ -91,6 +98,12 @@ def test_jaccard_ids(spark):
     assert got == [(0, 0), (3, 3), (7, 3), (7, 3), (9, 3)]
 
 
+def test_jaccard_ids_with_several_texts_of_one_size(spark):
+    rows = spark.createDataFrame([(7, "a b c d e f"), (7, "m n o p q r"), (3, "a b c d e g"), (9, "m n o p q s"), (11, "x y z")], "doc_id long, text string")
+    got = sorted((r["d"], r["component"]) for r in ngram_join.jaccard_groups(rows, k=1, percent=60).collect())
+    assert got == [(3, 3), (7, 3), (7, 3), (9, 3), (11, 11)]
+
+
 def brute_windows(texts, window):
     words = [(d, SPACE.findall(t or "")) for d, t in texts]
     counts = Counter(tuple(w[i : i + window]) for _, w in words for i in range(len(w) - window + 1))

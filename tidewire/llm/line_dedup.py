@@ -2,7 +2,7 @@
 
 Plan: (hash, document) pairs, distinct within a row before they are exploded -> documents per hash (two partial aggregates, so a
 line that every document holds is counted on the map side) -> the hashes over the threshold, joined back to the (hash, document,
-position) rows by a sort-merge join that AQE can split -> positions to drop per document -> one join with the texts. Texts cross
+position) rows by a sort-merge join that AQE can split -> positions to drop per document and text (64-bit hash) -> one join with the texts. Texts cross
 the network once; lines themselves never do, only 16-byte hashes.
 
 Cases: an input column named line_dedup is replaced; a null or empty text is one empty line; rows that share a doc_id count as one document and lose the same keys; a row whose
@@ -47,15 +47,15 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bad = written(repeated_lines(docs, id_col, text_col, min_chars, min_docs), "lines")
     numbered = F.filter(F.transform(_lines(F.col(text_col)), lambda x, i: F.struct(i.alias("i"), _key(x).alias("k"))), lambda p: F.char_length(p["k"]) >= min_chars)
     hashed = F.transform(numbered, lambda p: F.struct(p["i"].alias("i"), F.xxhash64(F.lit(11), p["k"]).alias("a"), F.xxhash64(F.lit(77), p["k"]).alias("b")))
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("d"), F.inline(hashed))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("d"), F.xxhash64(text_col).alias("t"), F.inline(hashed))
     drops = (
         rows.join(bad, ["a", "b"])
         .where(F.col("d") != F.col("keep"))
-        .groupBy("d")
+        .groupBy("d", "t")
         .agg(F.collect_set("i").alias("at"))
     )
-    left = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("d"))
-    both = left.join(drops, "d", "left")
+    left = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("d"), F.xxhash64(text_col).alias("t"))
+    both = left.join(drops, ["d", "t"], "left")
     gone = F.coalesce(F.col("at"), F.array().cast("array<int>"))
     lines = _lines(F.col(f"row.`{text_col}`"))
     kept = F.when(F.size(gone) == 0, F.col(f"row.`{text_col}`")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i)), "\n"))

@@ -200,7 +200,6 @@ def _links(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, k: int,
     shape = spark.createDataFrame([(b, c, chunks.get(b - 1, 0), chunks.get(b + 1, 0)) for b, c in chunks.items()], "band int, own int, below int, above int")
 
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["d", "n"])
         sigs = [np.frombuffer(s, dtype=np.uint64) for s in pdf["sig"]]
         words = min(len(s) for s in sigs)
         sig = np.stack([folded(s, words) for s in sigs])
