@@ -1,16 +1,16 @@
 """Substring deduplication by prefix-partitioned suffix trees over words.
 
-The passages sought are windows of `window` words that stand at two places or more. Each subtree is a suffix tree cut off at that
-depth: below it nothing more has to be told apart, so its inner nodes of full depth with two leaves or more are the repeats, and
-runs of such nodes along a document are the maximal repeats.
+The passages sought are windows of `window` words that stand at two places or more. Each subtree stands for a suffix tree cut off at
+that depth, below which nothing more has to be told apart. It is not built: its leaves, the hashes of whole windows, are sorted, equal
+ones are the repeats, and runs of such windows along a document are the maximal repeats.
 
 Suffixes are dealt to subtrees by content. The least of the hashes of all PREFIX-word sequences that start in a window's first
 window - PREFIX + 1 places is the window's anchor; equal windows have equal anchors, wherever they stand, and consecutive windows
-mostly share theirs. A subtree holds the windows of one anchor: all hang below the same PREFIX words. So a row of about fifteen
+mostly share theirs. A subtree holds the windows of one anchor: all hold the same PREFIX words somewhere, not as their prefix. So a row of about fifteen
 windows is sent once with its anchor instead of each suffix with a path of its own.
 
 Groups fit into memory: anchors are counted over all documents first, and dealt to groups of about GROUP_MB of leaves; an anchor
-that alone has more leaves than half a group gets a longer prefix, the whole path, so its leaves spread over all groups while equal windows
+that alone has more leaves than half a group is dealt by the hash of the whole window, so its leaves spread over all groups while equal windows
 still meet. There are at most twice as many such anchors as groups.
 
 A leaf is sent as the 48-bit hash of its path of `window` words; with the 64-bit anchor that makes 112 bits. Each task first builds
