@@ -45,6 +45,15 @@ def test_line_dedup_texts_of_one_id(spark):
     assert got == [(1, "", 1, 0), (1, clean.format("a"), 2, 1), (1, clean.format("b"), 2, 1), (2, "", 1, 1), (3, again, 1, 0)]
 
 
+def test_line_dedup_long_text(spark):
+    """A text that loses most of sixty thousand lines is rebuilt in one pass over them."""
+    lines = [f"this is the repeated line {i % 100}" if i % 4 else f"line {i} of its own, kept" for i in range(60_000)]
+    rows = spark.createDataFrame([(1, "\n".join(lines)), *[(k, "\n".join(f"this is the repeated line {i}" for i in range(100))) for k in (2, 3)]], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in line_dedup.drop_repeated_lines(rows).collect()}
+    assert got[1]["text"] == "\n".join(x for x in lines if "repeated" not in x) and tuple(got[1]["line_dedup"]) == (60_000, 45_000)
+    assert got[3]["line_dedup"]["n_dropped"] == 0
+
+
 def test_line_dedup_repeated_and_null_ids(spark):
     line = "a line of over twenty characters"
     rows = spark.createDataFrame([(1, line), (1, line), (2, line), (None, line), (None, line)], "doc_id long, text string")
@@ -176,10 +185,27 @@ def test_decontamination(spark, docs, texts, monkeypatch):
     assert get() == want
     spans = {r["d"]: r["spans"] for r in decontaminate.search(index, bench).collect()}
     assert sum(s["last"] - s["first"] + 1 for s in spans[400]) == next(x[2] for x in want if x[0] == 400)
-    monkeypatch.setattr(decontaminate, "QUERY_MB", 0)  # each item a part of its own
+    monkeypatch.setattr(decontaminate, "QUERY_BYTES", 200)  # several parts
+    monkeypatch.setattr(decontaminate, "HELD_MB", 0)
     assert get() == want
 
 
+def test_decontamination_equal_segments(spark, monkeypatch):
+    """Rows that are equal, in segments that are equal, stay as often as they come, however many parts the test set has."""
+    monkeypatch.setattr(decontaminate, "QUERY_BYTES", 10)
+    rows = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (1, "a b c d")], "doc_id long, text string").repartition(3)
+    items = spark.createDataFrame([(1, "a b c d"), (2, "b c d"), (3, "c d e f g")], "item_id long, text string")
+    got = [(r["d"], r["n_hit"], r["items"], [tuple(s) for s in r["spans"]]) for r in decontaminate.search(decontaminate.build_index(rows), items).collect()]
+    assert got == [(1, 4, ["1", "2"], [(0, 3)])] * 3
+
+
+def test_decontamination_slop_stays_in_a_document(spark):
+    rows = spark.createDataFrame([(1, "x a"), (2, "b y"), (3, "a x b"), (4, "q a"), (5, "q q b a")], "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    got = {r["d"]: (r["n_items"], [tuple(s) for s in r["spans"]]) for r in decontaminate.search(decontaminate.build_index(rows), items, window=2, slop=1).collect()}
+    assert got == {1: (0, []), 2: (0, []), 3: (1, [(1, 2)]), 4: (0, []), 5: (0, [])}
+
+
 def test_decontamination_segments_and_proximity(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "SEGMENT_MB", 0)  # each document a segment of its own
     rows = spark.createDataFrame([(1, "a b c d"), (2, "a x b c d"), (3, None), (None, "d c b a")], "doc_id long, text string")

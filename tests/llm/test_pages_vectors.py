@@ -19,6 +19,14 @@ def test_url_filter(spark):
     assert url_filter.judge_urls(rows.where("false"), URL_RULES).count() == 0
 
 
+def test_url_filter_long_and_repeated(spark):
+    """A URL of two million symbols beside short ones takes memory for its own symbols alone; rows stay as often as they come."""
+    rows = [(1, "http://a.net/" + "x/" * 1_000_000), *[(i, f"http://h{i}.org/fr/") for i in range(2, 2000)], (5, "http://h5.org/fr/"), (2001, "http://" + "a." * 70_000 + "net/")]
+    df = spark.createDataFrame(rows, "page_id long, url string").coalesce(1)
+    got = url_filter.judge_urls(df, URL_RULES).groupBy("url_filter.rule", "url_filter.verdict").count().collect()
+    assert sorted(tuple(r) for r in got) == [("net/", "block", 2), ("org/fr/", "allow", 1999)]
+
+
 def test_automaton_against_fnmatch():
     r = random.Random(3)
     glob = lambda n: "".join(r.choice("ab.*?") for _ in range(n))
@@ -42,19 +50,36 @@ def test_warc(spark, monkeypatch):
     rows = spark.createDataFrame(given, "page_id long, url string, html string").repartition(3)
     folder, captures = warc_index.write_archives(rows)
     directory = warc_index.build_index(folder, captures)
-    got = {r["page_id"]: tuple(r)[1:5] for r in warc_index.read_all(folder, directory).collect()}
+    got = {r["page_id"]: tuple(r)[1:5] for r in warc_index.read_keys(folder, directory, captures).collect()}
     for page, _, body in given:
         raw = (body or "").encode()
         last = max(p for p, _, b in given if p is not None and (b or "") == (body or "")) if page is not None else None
         revisit = page is not None and len(raw) >= 1000 and last != page
         assert got[page] == (len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if revisit else "response", last if revisit else None)
     assert directory.count() >= 4
+    asked = spark.createDataFrame([("com,b)/", "x"), ("com,c:8080)/x", "x"), ("net,zz)/", "x"), ("com,b)/", "y")], "key string, page_id string")
+    assert sorted(r["page_id"] for r in warc_index.read_keys(folder, directory, asked).collect()) == [3, 5, 6, 7]
     index = warc_index.CaptureIndex(folder, directory)
     found = index.lookup("https://B.com/")
     assert sorted(f["X-Page-ID"] for f, _ in found) == ["3", "5", "7"] and {p for _, p in found} == {other.encode(), b"small"}
     assert index.lookup("http://nowhere.com/") == [] and [p for _, p in index.lookup("http://d.com")] == [big.encode()]
 
 
+def test_warc_hot_url(spark, monkeypatch):
+    """A URL with most captures lies in many blocks and files, all of which are found; rows that share the winning id are responses."""
+    monkeypatch.setattr(warc_index, "BLOCK_LINES", 7)
+    monkeypatch.setattr(warc_index, "SENT_KEYS", 2)
+    given = [(i, "http://hot.com/" if i % 3 else f"http://h{i}.com/", f"body {i % 5} " * 300) for i in range(300)] + [(299, "http://hot.com/", "body 4 " * 300)]
+    rows = spark.createDataFrame([(*g, "k", 1) for g in given], "page_id long, url string, html string, key string, start int").repartition(4)
+    folder, captures = warc_index.write_archives(rows)
+    directory = warc_index.build_index(folder, captures)
+    out = warc_index.read_keys(folder, directory, captures).collect()
+    assert sorted(r["page_id"] for r in out) == sorted(g[0] for g in given)
+    assert {(r["page_id"], r["record_type"], r["refers_to"]) for r in out} == {(i, "response" if i >= 295 else "revisit", None if i >= 295 else 295 + i % 5) for i, _, _ in given}
+    index = warc_index.CaptureIndex(folder, directory)
+    assert len(index.lookup("http://hot.com/")) == sum(g[1] == "http://hot.com/" for g in given)
+
+
 def test_warc_revisit_of_another_url(spark):
     big, other = "é" * 700, "x" * 1000
     given = [(1, "http://a.com/1", big), (10, "http://b.com/", big), (2, "http://a.com/2", other), (10, "http://b.com/", other), (3, "http://a.com/1", "")]
@@ -68,7 +93,7 @@ def test_warc_revisit_of_another_url(spark):
 def test_warc_empty_and_damaged(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     folder, captures = warc_index.write_archives(none)
-    assert warc_index.read_all(folder, warc_index.build_index(folder, captures)).count() == 0
+    assert warc_index.read_keys(folder, warc_index.build_index(folder, captures), captures).count() == 0
     good = warc_index.to_record("1", "u", b"body", hashlib.sha1(b"other").hexdigest(), 4, None)
     with pytest.raises(ValueError, match="damaged"):
         warc_index.from_record(good)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -10,6 +11,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,12 +25,14 @@ _shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset and all run on one machine (tests)."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not folder and sc._jsc.sc().getCheckpointDir().isDefined():
         folder = sc._jsc.sc().getCheckpointDir().get()
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = Path(tempfile.mkdtemp(prefix="tidewire-")).as_uri()
         sc.setCheckpointDir(folder)
     # as Spark itself would resolve it, so that pyarrow opens the same folder
@@ -37,12 +41,43 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{whole[5:]}" if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
+#: Folders made by this process in the shared folder, in order.
+_made: list[str] = []
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder, for files written through pyarrow."""
+    uri = shared_path(spark, name)
+    fs, base = pafs.FileSystem.from_uri(uri)
+    fs.create_dir(base, recursive=True)
+    return uri
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """df written as Parquet in the shared folder and read again: its lineage ends there, so a lost executor costs a read."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def made() -> int:
+    """How many paths this process has made so far: a mark for clear()."""
+    return len(_made)
+
+
+def clear(spark: SparkSession, since: int = 0) -> None:
+    """Deletes what was made in the shared folder since a mark. To be called once results that read it are themselves written."""
+    sc = spark.sparkContext
+    for path in _made[since:]:
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+    del _made[since:]
 
 
 def ship(spark: SparkSession) -> None:

@@ -10,19 +10,21 @@ search() compiles the test windows (bounded, see below) to term numbers, and in
 * looks their terms up by binary search and drops, for all windows at once, those with a term that the segment lacks;
 * for each other window takes the postings of its rarest term here, shifted back by the term's place in the window, and intersects
   them with the shifted postings of the others, from rare to frequent, until nothing is left or the phrase stands;
-* for proximity (slop > 0) lets every further term stand up to slop positions off its place.
+* for proximity (slop > 0) lets every further term stand up to slop positions off its place, within the document of the rarest term.
 
-Test sets travel with the tasks only up to QUERY_MB; larger ones are searched in parts of that size, one after another, and the
-parts' hits are merged.
+Test sets of any size take one way: executors compile them to parts of about QUERY_BYTES of text in the shared folder. A task holds
+HELD_MB of segments, loads one part after another and adds up the parts' hits per segment in place, so the index is scanned once,
+nothing is merged by a shuffle and the driver sees only the parts' file names.
 
 Cases: null or empty text: no words; an item with fewer words than the window, but some, is one window; without words, none; rows
-that share an id are judged row by row; equal windows of several items count for each of them; null ids stay; a null item id counts as ''.
-Item ids are compared as strings. Further columns of either table don't take part.
+that share an id, or are equal, are judged row by row; equal windows of several items count for each of them; null ids stay; a null
+item id counts as ''. Item ids are compared as strings. Further columns of either table don't take part.
 """
 
 from __future__ import annotations
 
-import hashlib
+import pickle
+import uuid
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
@@ -30,13 +32,17 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, ship, written
+from .common import byte_rows, shared_folder, ship, written
 
 SEGMENT_MB = 4
-QUERY_MB = 16
+#: Bytes of test text that are compiled to one part.
+QUERY_BYTES = 2 << 20
+#: Megabytes of segments that a task holds while it goes through the parts of the test set.
+HELD_MB = 48
 #: Maps every ASCII byte that is no word character to a space and A-Z to a-z; words are then [0-9a-z] and all bytes from 0x80 on.
 _WORD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -107,8 +113,8 @@ class Queries:
             self.windows[row, : len(g)] = [number[w] for w in g]
         self.sizes = np.array([len(g) for g in grams], dtype=np.int64)
 
-    def matches(self, segment: Segment, slop: int = 0) -> Iterator[tuple[int, np.ndarray]]:
-        """(window, positions where it starts) for each window that occurs in the segment."""
+    def matches(self, segment: Segment, slop: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(window, first positions, positions after the last, documents) of each window that occurs in the segment."""
         if not len(self.windows):
             return
         here = segment.rank(self.terms)
@@ -118,22 +124,22 @@ class Queries:
         rows = np.where(inside, counts[self.windows], np.iinfo(np.int64).max)
         for q in np.flatnonzero(rows.min(axis=1) > 0).tolist():
             order = np.argsort(rows[q], kind="stable")[: self.sizes[q]].tolist()
-            found = segment.of_term(here[self.windows[q, order[0]]]) - np.int32(order[0])
+            rare = segment.of_term(here[self.windows[q, order[0]]])
+            owner = np.searchsorted(segment.starts, rare, side="right") - 1
+            low, high = segment.starts[owner].astype(np.int32), (segment.starts + segment.lengths)[owner].astype(np.int32)
+            found = rare - np.int32(order[0])
             for place in order[1:]:
                 other = segment.of_term(here[self.windows[q, place]])
-                target = found + np.int32(place)
-                if slop:
-                    k = np.searchsorted(other, target - np.int32(slop))
-                    found = found[(k < len(other)) & (other[np.minimum(k, len(other) - 1)] <= target + slop)]
-                elif len(other) > 4 * len(found):
-                    k = np.minimum(np.searchsorted(other, target), len(other) - 1)
-                    found = found[other[k] == target]
-                else:
-                    found = found[np.isin(target, other, assume_unique=True)]
+                # a phrase has its words next to each other, so the gap between documents keeps it in one; with slop, bounds do
+                first = np.maximum(found + place - slop, low)
+                k = np.minimum(np.searchsorted(other, first), len(other) - 1)
+                keep = (other[k] >= first) & (other[k] <= np.minimum(found + place + slop, high - 1))
+                if not keep.all():
+                    found, owner, low, high = found[keep], owner[keep], low[keep], high[keep]
                 if not len(found):
                     break
             if len(found):
-                yield q, found
+                yield q, np.maximum(found, low), np.minimum(found + int(self.sizes[q]), high), owner
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,70 +170,112 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return written(docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).mapInArrow(build, schema), "postings")
 
 
-def _parts(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The test items in parts of at most QUERY_MB of text."""
-    part, size = [], 0
-    for row in items.select(F.col(id_col).cast("string"), F.col(text_col)).toLocalIterator(prefetchPartitions=False):
-        text = (row[1] or "").encode()
-        if part and size + len(text) > QUERY_MB << 20:
-            yield part
-            part, size = [], 0
-        part.append((row[0] or "", word_list(text)))
-        size += len(text)
-    yield part
+def compile_tests(items: DataFrame, id_col: str, text_col: str, window: int) -> tuple[str, list[str]]:
+    """(folder, file names): the test set as compiled parts of about QUERY_BYTES of text, made and written by executors."""
+    folder = shared_folder(items.sparkSession, "tests")
+    text = F.col(f"`{text_col}`")
+    size = items.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    bound = max(1, QUERY_BYTES)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(folder)
+        part, held, names = [], 0, []
+
+        def close() -> None:
+            name = uuid.uuid4().hex
+            with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
+                out.write(pickle.dumps(Queries(part, window), protocol=5))
+            names.append(name)
+
+        for batch in batches:
+            for item, raw in zip(batch.column("i").to_pylist(), byte_rows(batch.column("t")), strict=True):
+                if part and held + len(raw) > bound:
+                    close()
+                    part, held = [], 0
+                part.append((item or "", word_list(raw)))
+                held += len(raw)
+        if part:
+            close()
+        # only names of tasks that committed reach the table, so a retry leaves no part twice
+        yield pa.record_batch([pa.array(names, pa.string())], names=["name"])
+
+    rows = items.select(F.col(f"`{id_col}`").cast("string").alias("i"), text.alias("t")).repartition(max(1, -(-size // bound)))
+    return folder, sorted(r[0] for r in written(rows.mapInArrow(pack, "name string"), "parts").collect())
+
+
+_LAST: dict[str, Queries] = {}
+
+
+def _load(folder: str, name: str) -> Queries:
+    """A compiled part; a worker keeps the last one."""
+    if name not in _LAST:
+        fs, base = pafs.FileSystem.from_uri(folder)
+        with fs.open_input_stream(f"{base}/{name}", compression=None) as f:
+            found = pickle.loads(f.read())
+        _LAST.clear()
+        _LAST[name] = found
+    return _LAST[name]
+
+
+class Hits:
+    """What the parts of a test set hit in one segment."""
+
+    def __init__(self, segment: Segment):
+        self.segment, self.total = segment, int(segment.starts[-1] + segment.lengths[-1]) + 1
+        self.edges = np.zeros(self.total + 1, dtype=np.int32)
+        self.items: dict[int, set[str]] = defaultdict(set)
+
+    def add(self, queries: Queries, slop: int) -> None:
+        for q, first, after, owner in queries.matches(self.segment, slop):
+            np.add.at(self.edges, first, 1)
+            np.add.at(self.edges, after, -1)
+            for d in np.unique(owner).tolist():
+                self.items[d].update(queries.items[q])
+
+    def spans(self) -> dict[int, list[dict[str, int]]]:
+        """Runs of hit words per document: hit is what lies where more windows have begun than ended."""
+        hit = np.cumsum(self.edges)[: self.total] > 0
+        ends = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
+        first, last = np.flatnonzero(ends == 1), np.flatnonzero(ends == -1) - 1
+        owner = np.searchsorted(self.segment.starts, first, side="right") - 1
+        out: dict[int, list[dict[str, int]]] = defaultdict(list)
+        for o, a, b in zip(owner.tolist(), first.tolist(), last.tolist(), strict=True):
+            base = int(self.segment.starts[o])
+            out[o].append({"first": a - base, "last": b - base})
+        return out
 
 
 def search(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = 13, slop: int = 0) -> DataFrame:
     """d, n_words, n_hit, n_items, items_sha256, items (array), spans (array of struct<first, last>: hit words, from 0) per document."""
-    spark = index.sparkSession
     id_kind = index.schema["ids"].dataType.elementType.simpleString()
-    out_schema = f"segment string, d {id_kind}, at int, n_words long, items array<string>, spans array<struct<first:int,last:int>>"
+    out_schema = f"d {id_kind}, n_words long, items array<string>, spans array<struct<first:int,last:int>>"
     span_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-    found: DataFrame | None = None
-    for part in _parts(items, id_col, text_col):
-        queries = Queries(part, window)
-        shared = spark.sparkContext.broadcast(queries)
-
-        def look(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            queries = shared.value
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    segment = Segment.from_row({n: batch.column(n)[i].as_py() for n in ("terms", "offsets", "postings", "starts", "lengths")})
-                    ids = batch.column("ids")[i].values
-                    key = hashlib.sha256(segment.postings.tobytes()[:1 << 16] + segment.starts.tobytes() + str(ids.to_pylist()[:64]).encode()).hexdigest()[:24]
-                    total = int(segment.starts[-1] + segment.lengths[-1]) + 1
-                    held: dict[int, set[str]] = defaultdict(set)
-                    begun, ended = [], []
-                    for q, starts in queries.matches(segment, slop):
-                        starts = np.maximum(starts, 0)
-                        begun.append(starts)
-                        ended.append(np.minimum(starts + int(queries.sizes[q]), total))
-                        for d in np.unique(np.searchsorted(segment.starts, starts, side="right") - 1).tolist():
-                            held[d].update(queries.items[q])
-                    # hit words lie where more windows have begun than ended
-                    hit = np.zeros(total, dtype=bool)
-                    if begun:
-                        opened = np.bincount(np.concatenate(begun), minlength=total + 1) - np.bincount(np.concatenate(ended), minlength=total + 1)
-                        hit = np.cumsum(opened)[:total] > 0
-                    edges = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
-                    first, last = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1) - 1
-                    owner = np.searchsorted(segment.starts, first, side="right") - 1
-                    spans: dict[int, list] = defaultdict(list)
-                    for o, a, b in zip(owner.tolist(), first.tolist(), last.tolist(), strict=True):
-                        base = int(segment.starts[o])
-                        spans[o].append({"first": a - base, "last": min(b - base, int(segment.lengths[o]) - 1)})
-                    n = len(segment.lengths)
-                    yield pa.record_batch(
-                        [pa.array([key] * n), ids, pa.array(range(n), type=pa.int32()), pa.array(segment.lengths), pa.array([sorted(held.get(k, ())) for k in range(n)], type=pa.list_(pa.string())), pa.array([spans.get(k, []) for k in range(n)], type=span_type)],
-                        names=["segment", "d", "at", "n_words", "items", "spans"],
-                    )
-
-        hits = index.mapInArrow(look, out_schema)
-        found = hits if found is None else found.unionByName(hits)
-        parts = 1 if found is hits else 2
-    if parts > 1:
-        merged = found.groupBy("segment", "d", "at", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
-        found = merged.withColumn("spans", F.expr("aggregate(array_sort(spans), cast(array() as array<struct<first:int,last:int>>), (acc, s) -> if(size(acc) > 0 and element_at(acc, -1).last + 1 >= s.first, concat(slice(acc, 1, size(acc) - 1), array(named_struct('first', element_at(acc, -1).first, 'last', greatest(element_at(acc, -1).last, s.last)))), concat(acc, array(s))))"))
+    ship(index.sparkSession)
+    folder, parts = compile_tests(items, id_col, text_col, window)
+
+    def judged(held: list[tuple[pa.Array, Hits]]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            queries = _load(folder, part)
+            for _, hits in held:
+                hits.add(queries, slop)
+        for ids, hits in held:
+            spans, n = hits.spans(), len(hits.segment.lengths)
+            found = pa.array([sorted(hits.items.get(k, ())) for k in range(n)], type=pa.list_(pa.string()))
+            yield pa.record_batch([ids, pa.array(hits.segment.lengths), found, pa.array([spans.get(k, []) for k in range(n)], type=span_type)], names=["d", "n_words", "items", "spans"])
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {n: batch.column(n)[i].as_py() for n in ("terms", "offsets", "postings", "starts", "lengths")}
+                held.append((batch.column("ids")[i].values, Hits(Segment.from_row(row))))
+                size += 2 * len(row["postings"]) + len(row["terms"])
+                if size > HELD_MB << 20:
+                    yield from judged(held)
+                    held, size = [], 0
+        yield from judged(held)
+
+    found = index.mapInArrow(look, out_schema)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"] + 1)
     return found.select("d", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "items", "spans")
 

@@ -2,11 +2,11 @@
 
 Plan: (hash, document) pairs, distinct within a row before they are exploded -> documents per hash (two partial aggregates, so a
 line that every document holds is counted on the map side) -> the hashes over the threshold, joined back to the (hash, document,
-position) rows by a sort-merge join that AQE can split -> positions to drop per document and text (64-bit hash) -> one join with the texts. Texts cross
-the network once; lines themselves never do, only 16-byte hashes.
+position) rows by a sort-merge join that AQE can split -> positions to drop per document and text (64-bit hash) -> one join with the
+texts. Texts cross the network once; lines themselves never do, only 16-byte hashes.
 
-Cases: an input column named line_dedup is replaced; a null or empty text is one empty line; rows that share a doc_id count as one document and lose the same keys; a row whose
-doc_id is null is no document: it isn't counted and stays as it is. Lines under min_chars never go. Further columns pass through,
+Cases: an input column named line_dedup is replaced; a null or empty text is one empty line; rows that share a doc_id count as one
+document and lose the same keys, each at its own places; a row whose doc_id is null is no document: it isn't counted and stays as it is. Lines under min_chars never go. Further columns pass through,
 whatever their names, as all work columns live in structs or are dropped.
 """
 
@@ -34,7 +34,7 @@ def _lines(text):
 def repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> DataFrame:
     """a, b (hash), keep (largest id), n_docs: the keys found in at least min_docs documents."""
     keys = F.filter(F.transform(_lines(F.col(text_col)), _key), lambda k: F.char_length(k) >= min_chars)
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("d"), F.explode(F.array_distinct(F.transform(keys, _hashes))).alias("h"))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("d"), F.explode(F.transform(F.array_distinct(keys), _hashes)).alias("h"))
     return rows.groupBy(F.col("h.a").alias("a"), F.col("h.b").alias("b")).agg(F.count_distinct("d").alias("n_docs"), F.max("d").alias("keep")).where(F.col("n_docs") >= min_docs)
 
 
@@ -47,7 +47,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bad = written(repeated_lines(docs, id_col, text_col, min_chars, min_docs), "lines")
     numbered = F.filter(F.transform(_lines(F.col(text_col)), lambda x, i: F.struct(i.alias("i"), _key(x).alias("k"))), lambda p: F.char_length(p["k"]) >= min_chars)
     hashed = F.transform(numbered, lambda p: F.struct(p["i"].alias("i"), F.xxhash64(F.lit(11), p["k"]).alias("a"), F.xxhash64(F.lit(77), p["k"]).alias("b")))
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("d"), F.xxhash64(text_col).alias("t"), F.inline(hashed))
+    # the text's hash is made once per text, below the rows of its lines
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("d"), F.xxhash64(text_col).alias("t"), hashed.alias("h")).select("d", "t", F.inline("h"))
     drops = (
         rows.join(bad, ["a", "b"])
         .where(F.col("d") != F.col("keep"))
@@ -58,8 +59,12 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     both = left.join(drops, ["d", "t"], "left")
     gone = F.coalesce(F.col("at"), F.array().cast("array<int>"))
     lines = _lines(F.col(f"row.`{text_col}`"))
-    kept = F.when(F.size(gone) == 0, F.col(f"row.`{text_col}`")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i)), "\n"))
-    gone_rows = F.size(F.filter(lines, lambda x, i: F.array_contains(gone, i)))
-    out = both.select("row", kept.alias("kept"), F.struct(F.size(lines).cast("long").alias("n_lines"), F.when(F.size(gone) == 0, 0).otherwise(gone_rows).cast("long").alias("n_dropped")).alias("line_dedup"))
+    # places that stay or go, in order of place, beside the lines: linear in the lines but for the sort, however many go
+    flag = lambda keep: lambda i: F.struct(i.alias("i"), F.lit(keep).alias("keep"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    flags = F.sort_array(F.concat(F.transform(gone, flag(False)), F.transform(stay, flag(True))))
+    beside = F.filter(F.zip_with(lines, flags, lambda x, f: F.struct(x.alias("x"), f["keep"].alias("keep"))), lambda z: z["keep"])
+    kept = F.when(F.size(gone) == 0, F.col(f"row.`{text_col}`")).otherwise(F.array_join(F.transform(beside, lambda z: z["x"]), "\n"))
+    out = both.select("row", kept.alias("kept"), F.struct(F.size(lines).cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_dropped")).alias("line_dedup"))
     cols = [F.col("kept").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "line_dedup"]
     return out.select(*cols, "line_dedup")

@@ -45,7 +45,7 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, captures = warc_index.write_archives(_table(spark, sf_dir, "pages"))
-    out = warc_index.read_all(folder, warc_index.build_index(folder, captures))
+    out = warc_index.read_keys(folder, warc_index.build_index(folder, captures), captures.select("key"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -7,7 +7,8 @@ other than `*` owns m + 1 consecutive bits, its states; all rules' bits are pack
 
 with the carry from word to word, B[c] the states that c leads into and S the states where a `*` loops. A rule matches if its last
 state is set at the end. A batch of URLs is stepped together, one column of symbols at a time, so numpy does all rules of all URLs
-of the batch per step.
+of the batch per step; columns are laid out COLUMNS at a time for the URLs that are that long, and the last few, very long ones go
+on alone as whole integers. Memory is so many bytes per symbol of the batch, whatever the longest URL.
 
 The canonical URL of the host rules is "." + host + END + path: END is a symbol that no URL can hold, so `*` can't slip from the
 host into the path, and the leading dot makes `*.net` fit the domain itself and its subdomains alike.
@@ -33,6 +34,8 @@ from .common import ascii_lower, ship
 END = 0x110000
 #: Bound of the compiled masks that travel with a task.
 MAX_BYTES = 256 << 20
+#: Columns of symbols that are laid out at a time, and the number of URLs left from which each goes on alone.
+COLUMNS, FEW = 512, 8
 
 
 @dataclass(frozen=True)
@@ -72,22 +75,37 @@ class Automaton:
         won = np.full(n, -1, dtype=np.int64)
         if not n or not self.names:
             return won
+        points = np.array(sorted(self.classes), dtype=np.int64)
+        rows = np.array([self.classes[p] for p in points.tolist()], dtype=np.int64)
+        flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        at = np.minimum(np.searchsorted(points, flat), len(points) - 1)
+        flat = np.where(points[at] == flat, rows[at], 0).astype(np.int32)
         lengths = np.fromiter(map(len, texts), dtype=np.int64, count=n)
+        begins = np.cumsum(lengths) - lengths
         by_length = np.argsort(-lengths, kind="stable")  # the longest first: those still running are a prefix
-        sorted_lengths = lengths[by_length]
-        codes = np.zeros((n, int(lengths.max(initial=0))), dtype=np.int32)
-        get = self.classes.get
-        for row, k in enumerate(by_length.tolist()):
-            t = texts[k]
-            codes[row, : len(t)] = [get(ord(c), 0) for c in t]
+        lengths, begins = lengths[by_length], begins[by_length]
         state = np.tile(self.first, (n, 1))
         one, top = np.uint64(1), np.uint64(63)
-        for at in range(codes.shape[1]):
-            live = int(np.searchsorted(-sorted_lengths, -at, side="left"))
-            d = state[:live]
-            moved = d << one
-            moved[:, 1:] |= d[:, :-1] >> top
-            state[:live] = (moved & self.into[codes[:live, at]]) | (d & self.loops)
+        done, live = 0, int((lengths > 0).sum())
+        while live > FEW:
+            columns = np.arange(done, min(done + COLUMNS, int(lengths[0])))
+            codes = flat[np.minimum(begins[:live, None] + columns, len(flat) - 1)]
+            for k, column in enumerate(columns.tolist()):
+                live = int(np.searchsorted(-lengths, -column, side="left"))
+                d = state[:live]
+                moved = d << one
+                moved[:, 1:] |= d[:, :-1] >> top
+                state[:live] = (moved & self.into[codes[:live, k]]) | (d & self.loops)
+            done = int(columns[-1]) + 1
+            live = int((lengths > done).sum())
+        whole = lambda mask: int.from_bytes(mask.tobytes(), "little")
+        into, loops = [whole(m) for m in self.into] if live else [], whole(self.loops)
+        full = (1 << 64 * state.shape[1]) - 1
+        for row in range(live):
+            d = whole(state[row])
+            for c in flat[begins[row] + done : begins[row] + lengths[row]].tolist():
+                d = ((d << 1) & full & into[c]) | (d & loops)
+            state[row] = np.frombuffer(d.to_bytes(8 * state.shape[1], "little"), dtype=np.uint64)
         word, bit = self.finals // 64, (self.finals % 64).astype(np.uint64)
         for rule in self.order[::-1].tolist():
             hit = (state[:, word[rule]] >> bit[rule]) & one

@@ -2,9 +2,14 @@
 
 write_archives() writes a gzip member per record, response or revisit, into archive files in the shared folder. build_index() sorts
 the captures by reversed-host URL key (range partitions, so files follow each other in key order), compresses runs of BLOCK_LINES
-lines to blocks and keeps, per block, its first and last key and where it lies: the sparse directory, the index's second level.
-read_all() walks the directory, and lookup() binary-searches it, range-reads the few blocks that can hold a key, binary-searches
-their lines, and range-reads the records those point to. A revisit's line also has the place of its response, wherever that was captured.
+lines to blocks and ends each index file with its part of the sparse directory: per block the first and last key and where it lies.
+A revisit's line also has the place of its response, wherever that was captured.
+
+read_keys() looks any table of keys up, in two steps. Sorted keys are dealt by range; a task finds the index files of its run of keys
+by binary search in their key ranges (a row per index file), range-reads those files' directories and binary-searches them for the
+blocks that can hold a key. Then (block, keys) are dealt to tasks by block; each range-reads the block, binary-searches its lines for
+the keys and range-reads the records those point to. So a URL with very many captures is as many blocks' work, not one task's.
+lookup() does the same for one URL on the driver.
 
 Duplicates: of records with equal payloads of at least min_bytes, the one with the largest id is the response and the others revisit it;
 the digest decides (SHA-1, from the JVM), counted by a partial aggregate. Payloads cross the network once, dealt by record id, so
@@ -22,17 +27,20 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
-from bisect import bisect_left
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, shared_dir, ship, written
+from .common import byte_rows, shared_folder, ship, written
 
 BLOCK_LINES = 1000
+#: Blocks that a reading task gets on average, and keys that are sent for a block at a time.
+TASK_BLOCKS, SENT_KEYS = 16, 4096
 #: An archive file is closed beyond so many bytes.
 ARCHIVE_MB = 256
 #: One capture date for all records: a crawl's own date where the caller has none.
@@ -110,11 +118,18 @@ class _Writer:
         self.fs, self.base = pafs.FileSystem.from_uri(folder)
         self.suffix, self.out, self.name, self.at = suffix, None, "", 0
 
+    def full(self) -> bool:
+        return self.out is None or self.at > ARCHIVE_MB << 20
+
     def put(self, piece: bytes) -> tuple[str, int, int]:
-        if self.out is None or self.at > ARCHIVE_MB << 20:
+        """(file, start, size) of the piece, in a new file if this one is full."""
+        if self.full():
             self.close()
             self.name, self.at = f"{uuid.uuid4().hex}.{self.suffix}", 0
             self.out = self.fs.open_output_stream(f"{self.base}/{self.name}", compression=None)
+        return self.append(piece)
+
+    def append(self, piece: bytes) -> tuple[str, int, int]:
         start = self.at
         self.out.write(piece)
         self.at += len(piece)
@@ -126,13 +141,6 @@ class _Writer:
             self.out = None
 
 
-def _folder(spark, name: str) -> str:
-    uri = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    fs, base = pafs.FileSystem.from_uri(uri)
-    fs.create_dir(base, recursive=True)
-    return uri
-
-
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 1000) -> tuple[str, DataFrame]:
     """(folder, captures): the archives' folder and the written catalogue key, page, file, start, size, digest, refers of their records."""
     spark = pages.sparkSession
@@ -143,7 +151,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     refers = facts.where((F.col("bytes") >= min_bytes)).join(winners, "digest").where("id != last").select("id", "digest", "last").distinct()
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").alias("url"), payload.alias("p")).withColumn("digest", F.sha1("p"))
     marked = rows.join(refers, ["id", "digest"], "left").select("id", "url", "digest", F.octet_length("p").cast("long").alias("bytes"), F.when(F.col("last").isNull(), F.col("p")).alias("p"), "last")
-    folder = _folder(spark, "archives")
+    folder = shared_folder(spark, "archives")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Writer(folder, "warc.gz")
@@ -163,15 +171,28 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
 
 def build_index(folder: str, captures: DataFrame) -> DataFrame:
-    """The sparse directory, written: first, last (keys), n, file, start, size of each block in key order."""
+    """The sparse directory, written: first, last (keys), n, file, start, size of each block in key order, and where in its file the
+    directory of that file lies (dir_start, dir_size)."""
+    schema = pa.schema([("first", pa.string()), ("last", pa.string()), ("n", pa.int64()), ("file", pa.string()), ("start", pa.int64()), ("size", pa.int64()), ("dir_start", pa.int64()), ("dir_size", pa.int64())])
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, lines, rows = _Writer(folder, "cdx.z"), [], []
-
-        def close() -> None:
+        out, lines, blocks, rows = _Writer(folder, "cdx.z"), [], [], []
+
+        def close_file() -> None:
+            """Ends the file with its directory."""
+            if blocks:
+                table = zlib.compress("\n".join(_LINE.join(map(str, b)) for b in blocks).encode(), 6)
+                _, start, size = out.append(table)
+                rows.extend((first, last, n, out.name, at, length, start, size) for first, last, at, length, n in blocks)
+                blocks.clear()
+                out.close()
+
+        def close_block() -> None:
             if lines:
-                where = out.put(zlib.compress("\n".join(lines).encode(), 6))
-                rows.append((lines[0].split(_LINE, 1)[0], lines[-1].split(_LINE, 1)[0], len(lines), *where))
+                if out.full():
+                    close_file()
+                _, start, size = out.put(zlib.compress("\n".join(lines).encode(), 6))
+                blocks.append((lines[0].split(_LINE, 1)[0], lines[-1].split(_LINE, 1)[0], start, size, len(lines)))
                 lines.clear()
 
         try:
@@ -180,12 +201,13 @@ def build_index(folder: str, captures: DataFrame) -> DataFrame:
                     of = () if there is None else (there["file"], str(there["start"]), str(there["size"]))
                     lines.append(_LINE.join((key, "" if page is None else str(page), file, str(start), str(size), *of)))
                     if len(lines) >= BLOCK_LINES:
-                        close()
-            close()
+                        close_block()
+            close_block()
+            close_file()
         finally:
             out.close()
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 6
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["first", "last", "n", "file", "start", "size"])
+        cols = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
+        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     # an id may come with several payloads, so a response is met by id and digest; those that nobody revisits stay out of the join
     wanted = captures.where("refers is not null").select("refers", "digest").distinct()
@@ -194,54 +216,113 @@ def build_index(folder: str, captures: DataFrame) -> DataFrame:
     captures = captures.join(places, ["refers", "digest"], "left").select("key", "page", "file", "start", "size", "there")
     # a URL with very many captures is spread over ranges by the place of its records
     ordered = captures.repartitionByRange("key", "file", "start").sortWithinPartitions(F.encode("key", "utf-8"), "file", "start")
-    return written(ordered.mapInArrow(block, "first string, last string, n long, file string, start long, size long"), "directory")
+    return written(ordered.mapInArrow(block, "first string, last string, n long, file string, start long, size long, dir_start long, dir_size long"), "directory")
 
 
 def _captures(files: Files, file: str, start: int, size: int) -> list[list[str]]:
     return [x.split(_LINE) for x in zlib.decompress(files.read(file, start, size)).decode().split("\n")]
 
 
-def read_all(folder: str, directory: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, url of every record, by way of the index."""
+def _found(keys: list[bytes], first: list[bytes], key: bytes) -> range:
+    """The places in sorted spans (first, last) that can hold key, last kept as its running maximum in keys."""
+    at = end = bisect_left(keys, key)
+    while end < len(first) and first[end] <= key:
+        end += 1
+    return range(at, end)
+
+
+def _lasts(lasts: Iterable[bytes]) -> list[bytes]:
+    return list(accumulate(lasts, max))
+
+
+def index_files(directory: DataFrame) -> list[tuple[bytes, bytes, str, int, int]]:
+    """(first key, last key, file, place of its directory) in key order: a row per index file, which holds up to ARCHIVE_MB."""
+    files = directory.groupBy("file").agg(F.min(F.encode("first", "utf-8")).alias("a"), F.max(F.encode("last", "utf-8")).alias("z"), F.first("dir_start").alias("s"), F.first("dir_size").alias("n"))
+    return sorted((bytes(r["a"]), bytes(r["z"]), r["file"], r["s"], r["n"]) for r in files.collect())
+
+
+def read_keys(folder: str, directory: DataFrame, keys: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, url of every record captured under a key of keys (column key)."""
+    spark = directory.sparkSession
+    ship(spark)
+    top = index_files(directory)
+    tops, firsts = _lasts(t[1] for t in top), [t[0] for t in top]
+    n_blocks = directory.count()
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, held, open_dir = Files(folder), {}, (None, [], [], [])
+        rows: list[tuple[str, int, int, list[str]]] = []
+        for batch in batches:
+            for key in batch.column("key").to_pylist():
+                raw = (key or "").encode()
+                for f in _found(tops, firsts, raw):
+                    _, _, file, start, size = top[f]
+                    if open_dir[0] != file:
+                        lines = [x.split(_LINE) for x in zlib.decompress(files.read(file, start, size)).decode().split("\n")]
+                        open_dir = (file, _lasts(x[1].encode() for x in lines), [x[0].encode() for x in lines], lines)
+                    for b in _found(open_dir[1], open_dir[2], raw):
+                        place = (file, int(open_dir[3][b][2]), int(open_dir[3][b][3]))
+                        held.setdefault(place, []).append(key or "")
+                        if len(held[place]) >= SENT_KEYS:
+                            rows.append((*place, held.pop(place)))
+                # keys come in order, so all but the last few blocks are done with
+                while len(held) > 64:
+                    place = next(iter(held))
+                    rows.append((*place, held.pop(place)))
+        rows += [(*place, k) for place, k in held.items()]
+        files.close()
+        for s in range(0, max(1, len(rows)), 256):
+            cols = list(zip(*rows[s : s + 256], strict=True)) if rows else [()] * 4
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string())), strict=True)], names=["file", "start", "size", "keys"])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = Files(folder)
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
         try:
             for batch in batches:
-                for file, start, size in zip(*[batch.column(c).to_pylist() for c in ("file", "start", "size")], strict=True):
-                    rows = []
-                    for _, _, at, begin, length, *_ in _captures(files, file, start, size):
-                        fields, payload = from_record(files.read(at, int(begin), int(length)))
-                        full = len(payload) if fields["WARC-Type"] == "response" else int(fields["X-Payload-Length"])
-                        page, refers = fields.get("X-Page-ID"), fields.get("X-Refers-To-Page-ID")
-                        rows.append((None if page is None else int(page), full, fields["WARC-Payload-Digest"][5:], fields["WARC-Type"], None if refers is None else int(refers), fields["WARC-Target-URI"]))
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()), strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"])
+                for file, start, size, wanted in zip(*[batch.column(c).to_pylist() for c in ("file", "start", "size", "keys")], strict=True):
+                    lines, rows = _captures(files, file, start, size), []
+                    sorted_keys = [x[0].encode() for x in lines]
+                    for key in wanted:
+                        raw = key.encode()
+                        for x in lines[bisect_left(sorted_keys, raw) : bisect_right(sorted_keys, raw)]:
+                            fields, payload = from_record(files.read(x[2], int(x[3]), int(x[4])))
+                            full = len(payload) if fields["WARC-Type"] == "response" else int(fields["X-Payload-Length"])
+                            page, refers = fields.get("X-Page-ID"), fields.get("X-Refers-To-Page-ID")
+                            rows.append((None if page is None else int(page), full, fields["WARC-Payload-Digest"][5:], fields["WARC-Type"], None if refers is None else int(refers), fields["WARC-Target-URI"]))
+                    cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"])
         finally:
             files.close()
 
-    spread = directory.select("file", "start", "size").repartition(F.col("file"), F.col("start"))
-    return spread.mapInArrow(look, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
+    asked = keys.select("key").distinct().repartitionByRange("key").sortWithinPartitions(F.encode("key", "utf-8"))
+    # a number of its own, as rows are tiny and each stands for up to BLOCK_LINES range reads, which AQE can't know
+    blocks = asked.mapInArrow(resolve, "file string, start long, size long, keys array<string>").repartition(max(1, min(n_blocks, max(spark.sparkContext.defaultParallelism, -(-n_blocks // TASK_BLOCKS)))), "file", "start")
+    return blocks.mapInArrow(look, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
 
 
 class CaptureIndex:
-    """Look-ups of single URLs on the driver, or wherever the directory's rows are held."""
+    """Look-ups of single URLs on the driver."""
 
     def __init__(self, folder: str, directory: DataFrame):
-        """The directory has a row per BLOCK_LINES captures; it is the level made to be held in memory."""
+        """A row per index file is held; an index file's directory is read when a key falls into it."""
         self.files = Files(folder)
-        self.blocks = sorted((r["first"].encode(), r["last"].encode(), r["file"], r["start"], r["size"]) for r in directory.toLocalIterator())
-        self.lasts: list[bytes] = []
-        for b in self.blocks:
-            self.lasts.append(max(b[1], self.lasts[-1]) if self.lasts else b[1])
+        self.top = index_files(directory)
+        self.lasts = _lasts(t[1] for t in self.top)
+
+    def _blocks(self, key: bytes) -> Iterator[tuple[str, int, int]]:
+        for f in _found(self.lasts, [t[0] for t in self.top], key):
+            _, _, file, start, size = self.top[f]
+            lines = [x.split(_LINE) for x in zlib.decompress(self.files.read(file, start, size)).decode().split("\n")]
+            for b in _found(_lasts(x[1].encode() for x in lines), [x[0].encode() for x in lines], key):
+                yield file, int(lines[b][2]), int(lines[b][3])
 
     def lookup(self, url: str) -> list[tuple[dict[str, str], bytes]]:
         """Header fields and payload of each capture of url, a revisit's payload taken from the record that it refers to, under whatever URL."""
         key = reversed_key(url).encode()
         found: list[tuple[dict[str, str], bytes]] = []
         shared: dict[tuple[str, int, int], bytes] = {}
-        for first, _, file, start, size in self.blocks[bisect_left(self.lasts, key) :]:
-            if first > key:
-                break
+        for file, start, size in self._blocks(key):
             lines = _captures(self.files, file, start, size)
             keys = [x[0].encode() for x in lines]
             for x in lines[bisect_left(keys, key) :]:
