@@ -101,6 +101,22 @@ def test_jaccard_chunks_and_chains(spark, monkeypatch):
     assert got == brute_groups(rows, 3, 90)
 
 
+@pytest.mark.parametrize(("rows_per_chunk", "percent"), [(16, 70), (32, 85)])
+def test_jaccard_groups_over_chunks(spark, monkeypatch, rows_per_chunk, percent):
+    """Groups of near copies over many chunks and two bands, close to others that don't link; memory steps smaller than a chunk."""
+    monkeypatch.setattr(ngram_join, "CHUNK_ROWS", rows_per_chunk)
+    monkeypatch.setattr(ngram_join, "STEP", 5)
+    words = [f"w{i}" for i in range(300)]
+    rows = []
+    for g in range(4):
+        base = words[60 * g : 60 * g + 60]
+        rows += [(1000 * g + i, " ".join([*base[: i % 50], f"v{g}", *base[i % 50 + 1 :], *words[: i % 5]])) for i in range(60)]
+        rows += [(1000 * g + 500 + i, " ".join([*base[:30], *(f"u{g}{i}{j}" for j in range(25 + i % 4))])) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["d"]: (r["n_shingles"], r["component"]) for r in ngram_join.jaccard_groups(df, k=2, percent=percent).collect()}
+    assert got == brute_groups(rows, 2, percent)
+
+
 def test_jaccard_ids(spark):
     rows = spark.createDataFrame([(7, "a b c d"), (7, "x y z w"), (3, "x y z w"), (9, "a b c d"), (None, "a b c d")], "doc_id long, text string")
     got = sorted((r["d"] or 0, r["component"] or 0) for r in ngram_join.jaccard_groups(rows, k=3, percent=90).collect())
@@ -148,6 +164,19 @@ def test_substring_heavy_anchor(docs, texts, monkeypatch):
     assert sorted((r["doc_id"], *r["substring_dedup"][:2], r["text"]) for r in out.collect()) == brute_windows(texts, 35)
 
 
+def test_repeated_survives_equal_sums():
+    """Leaves that differ but add up to the same number hide no repeat, in whatever order they stand."""
+    import numpy as np
+
+    from tidewire.llm.words import mix
+
+    path = np.array([5, 9, 5, 9, 5], dtype=np.uint64)
+    anchor = np.array([100, 0, 100, 0, 100], dtype=np.uint64)
+    anchor[[1, 3]] = anchor[0] + mix(path[:1])[0] - mix(path[1:2])[0]
+    twice, one = substring_dedup.repeated(anchor, path)
+    assert sorted(twice.tolist()) == [0, 1, 2, 3, 4] and len(one) == 2
+
+
 def test_substring_repeated_rows(spark):
     a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
     rows = spark.createDataFrame([(1, a), (1, a), (None, b), (None, b), (2, a + " " + b), (3, "c " * 36)], "doc_id long, text string").repartition(4)

@@ -65,3 +65,25 @@ def test_stages_keep_columns(spark, small):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, extra, small).columns == docs.columns
         assert stage(spark, docs.where("false"), small).count() == 0
+
+
+def test_stages_take_awkward_rows(spark, docs, small):
+    """Nulls, empty and long texts, ties and repeated rows go through every stage; a row without an id stays but for the classifier."""
+    rows = docs.selectExpr("doc_id", "text", "'en' as lang", "cast(null as string) as source", "cast(null as bigint) as n_chars", "1 as d", "'x' as row", "2 as component", "3 as `a b`")
+    rows = rows.unionByName(rows.limit(5)).unionByName(rows.limit(2).selectExpr("cast(null as bigint) as doc_id", "text", "lang", "source", "n_chars", "d", "row", "component", "`a b`"))
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        out = stage(spark, rows, small)
+        assert out.where("doc_id is null").count() == 2, name
+        assert name != "line dedup" or out.count() == rows.count()
+        again = stage(spark, stage(spark, rows.where("false"), small), small) if name != "BPE encoding and decoding" else out.where("false")
+        assert again.count() == 0
+
+
+def test_run_leaves_only_its_result(spark, small, tmp_path):
+    from tidewire.llm import common
+
+    mark = common.made()
+    out = corpus_pipeline.run(spark, small)
+    assert common.made() == mark + 1 and out.count() > 0
+    common.clear(spark, mark)
+    assert common.made() == mark

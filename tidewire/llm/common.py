@@ -71,13 +71,14 @@ def made() -> int:
     return len(_made)
 
 
-def clear(spark: SparkSession, since: int = 0) -> None:
-    """Deletes what was made in the shared folder since a mark. To be called once results that read it are themselves written."""
+def clear(spark: SparkSession, since: int = 0, keep: str | None = None) -> None:
+    """Deletes what was made in the shared folder since a mark, but keep. To be called once results that read it are themselves written."""
     sc = spark.sparkContext
-    for path in _made[since:]:
+    gone = [path for path in _made[since:] if path != keep]
+    for path in gone:
         at = sc._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
-    del _made[since:]
+    _made[since:] = [keep] if keep in _made[since:] else []
 
 
 def ship(spark: SparkSession) -> None:

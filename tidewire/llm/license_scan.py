@@ -2,21 +2,23 @@
 
 DataFrame functions only. Terms are weighted by tf * (ln((1 + N) / (1 + df)) + 1) with df counted over all documents for the templates'
 terms; any other term counts as unseen. A text's segments are its sentences and lines, its blank-line paragraphs and the whole; a
-segment's best template, at threshold or more, is what it declares. The best sentence or paragraph is a file's header; a
-file that as a whole matches a template, or is named as one, is a licence file of its directory.
+segment's best template, at threshold or more, is what it declares, and of a text's segments the longest that declares something
+decides: a whole licence text is told from its relatives as a whole, whatever sentences they share. A file that as a whole matches a
+template, or is named as a licence and declares one, is a licence file of its directory.
 
 Only segments that can reach the threshold are compared: cos <= sqrt(share of the template's squared weight that the segment's terms
-hold), so a segment needs one of each template's heaviest terms, those without which the rest falls short. These marker terms come
-from the weights, the templates being a bounded list, and every text is searched for them in the scan; what follows touches only texts that
-have one.
+hold). So the commonest terms of a template that together fall short of the threshold are left aside, and a segment needs one of
+the others, the template's markers. Markers come from the weights, the templates being a bounded list, and every text is searched
+for them in the scan; what follows touches only texts that have one.
 
-Directories are resolved, not files: each directory that occurs meets the licences of its ancestors by an equi-join on the ancestor's path and takes
-the longest; then files without a header join their directory's answer. A directory with a third of all files is one row on one
-side of a join that AQE can split.
+Directories are resolved, not files: each directory that occurs meets the licences of its ancestors by an equi-join on the ancestor's
+path and takes the longest; then files without a header meet their directory's answer, by keys alone: a directory with more than
+HOT files, and more than one in HOT of all, is salted, and there are at most HOT such. Texts cross the network once, by a key of their own.
 
 Cases: null or empty text declares nothing; null paths have no directory and inherit nothing; rows that share an id are judged one by
-one; ties go to the template that sorts first, and among a directory's licence files to those named as one, then the
-higher score, then the smaller path. An input column named license_scan is replaced.
+one; rows equal in id, path and text (128 bits of hashes) declare the same; ties go to the template that sorts first, and among a
+directory's licence files to those named as one, then the higher score, then the smaller path. An input column named license_scan is
+replaced.
 """
 
 from __future__ import annotations
@@ -33,30 +35,46 @@ from .common import LOWER, UPPER, written
 TERM = r"[a-z0-9]+(?:[.][0-9]+)*"
 #: A file name that is a licence's whatever its text.
 NAMED = r"(?i)(^|/)(licen[cs]e|copying|unlicense|notice)([._-][^/]*)?$"
-#: Public notices, as (licence, template).
+#: Public notices and licence texts, as (licence, template).
 TEMPLATES = [
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. The software is provided \"as is\" and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness. In no event shall the author be liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of contract, negligence or other tortious action, arising out of or in connection with the use or performance of this software."),
     ("AGPL-3.0", "licensed under the GNU Affero General Public License, version 3"),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. This software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed. In no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. This software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed. In no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage."),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0"),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("CC0-1.0", "dedicated to the public domain under CC0 1.0"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
     ("GPL-2.0", "licensed under the GNU General Public License, version 2"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, version 3"),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. The software is provided \"as is\" and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness. In no event shall the author be liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of contract, negligence or other tortious action, arising out of or in connection with the use or performance of this software."),
     ("LGPL-3.0", "licensed under the GNU Lesser General Public License, version 3"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
     ("MIT", "Released under the MIT License"),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. The software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
 ]
 #: Bound of the templates' terms, which are literals of the plan and one side of broadcast joins.
 MAX_TERMS = 5000
+#: A directory with more files than this, and with more than one in this many of all, is salted.
+HOT = 1000
 
 
 def terms(text):
@@ -86,11 +104,11 @@ def _weights(templates: list[tuple[str, str]], df: dict[str, int], n: int) -> li
 
 
 def markers(weights: list[tuple[str, int, str, float, float]], threshold: float) -> list[str]:
-    """Terms of which any segment at the threshold holds one."""
+    """Terms of which any segment at the threshold holds one: the others, the commonest of each template, fall short of it together."""
     found = set()
     for k in {w[1] for w in weights}:
         light = 0.0
-        for _, _, term, w, _ in sorted((x for x in weights if x[1] == k), key=lambda x: (x[3], x[2])):
+        for _, _, term, w, _ in sorted((x for x in weights if x[1] == k), key=lambda x: (x[4], x[3], x[2])):
             light += w * w
             if light >= threshold * threshold * (1 - 1e-9):
                 found.add(term)
@@ -117,38 +135,49 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
     idf = F.broadcast(spark.createDataFrame(sorted({(w[2], w[4]) for w in weights}), "term string, idf double"))
 
     # every row gets a key of its own from what it holds; rows equal in all of it declare the same
-    key = F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("h"), path.alias("p"))
+    held = F.to_json(F.struct(F.col(f"`{id_col}`").alias("id"), path.alias("p"), text.isNull().alias("none")), {"ignoreNullFields": "false"})
+    keyed = files.select(*[F.xxhash64(F.lit(k), held, text).alias(f"k{k}") for k in (1, 2)], path.alias("p"), text.alias("t"))
     parts = (
-        files.where(F.arrays_overlap(terms(text), marks))
-        .select(key.alias("key"), F.posexplode(segments(text)).alias("at", "s"))
-        .select("key", "at", "s.kind", terms(F.col("s.body")).alias("w"))
+        keyed.where(F.arrays_overlap(terms(F.col("t")), marks))
+        .select("k1", "k2", "p", segments(F.col("t")).alias("s"))
+        .select("k1", "k2", "p", F.posexplode("s").alias("at", "s"))
+        .select("k1", "k2", "p", "at", "s.kind", terms(F.col("s.body")).alias("w"))
         .where(F.arrays_overlap("w", marks))
-        .dropDuplicates(["key", "at"])
+        .dropDuplicates(["k1", "k2", "at"])
     )
-    tf = parts.select("key", "at", "kind", F.explode("w").alias("term")).groupBy("key", "at", "kind", "term").count()
+    segment = ["k1", "k2", "p", "at", "kind", "n_terms"]
+    tf = parts.select("k1", "k2", "p", "at", "kind", F.size("w").alias("n_terms"), F.explode("w").alias("term")).groupBy(*segment, "term").count()
     unseen = math.log(1 + n) + 1
-    weighed = written(tf.join(idf, "term", "left").select("key", "at", "kind", "term", (F.col("count") * F.coalesce("idf", F.lit(unseen))).alias("w")), "segments")
-    norms = weighed.groupBy("key", "at").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighed.join(table, "term").groupBy("key", "at", "kind", "license", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    scored = dots.join(norms, ["key", "at"]).select("key", "kind", "license", "template", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= threshold)
-    best = lambda kind: scored.where(F.col("kind") == kind).groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("down"), "template", "license")).alias("b")).select("key", F.col("b.license").alias(f"{kind}_license"), (-F.col("b.down")).alias(f"{kind}_score"))
-    declared = written(best("header").join(best("file"), "key", "full"), "declared")
+    weighed = written(tf.join(idf, "term", "left").select(*segment, "term", (F.col("count") * F.coalesce("idf", F.lit(unseen))).alias("w")), "segments")
+    norms = weighed.groupBy("k1", "k2", "at").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = weighed.join(table, "term").groupBy(*segment, "license", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    scored = dots.join(norms, ["k1", "k2", "at"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= threshold)
+    best = F.min(F.struct((-F.col("n_terms")).alias("long"), (-F.col("score")).alias("down"), "template", "license"))
+    declared = scored.groupBy("k1", "k2", "p").agg(best.alias("b"), F.max(F.col("kind") == "file").alias("whole"))
+    declared = written(declared.select("k1", "k2", "p", F.col("b.license").alias("hl"), (-F.col("b.down")).alias("hs"), "whole"), "declared")
 
     directory = lambda p: F.when(p.contains("/"), F.regexp_extract(p, r"^(.*)/[^/]*$", 1)).otherwise(F.when(p.isNotNull(), F.lit("")))
-    own = declared.select(directory(F.col("key.p")).alias("dir"), F.coalesce("file_license", F.when(F.col("key.p").rlike(NAMED), F.col("header_license"))).alias("l"), F.coalesce("file_score", "header_score").alias("s"), F.col("key.p").alias("p"), (~F.col("key.p").rlike(NAMED)).alias("unnamed"))
-    licensed = own.where("dir is not null and l is not null").groupBy("dir").agg(F.min(F.struct("unnamed", (-F.col("s")).alias("down"), "p", "l", "s")).alias("b")).select("dir", "b.l", "b.s")
-    dirs = files.select(directory(path).alias("d")).where("d is not null").distinct()
+    named = F.col("p").rlike(NAMED)
+    own = declared.where(F.col("p").isNotNull() & (F.col("whole") | named)).select(directory(F.col("p")).alias("dir"), F.struct((~named).alias("unnamed"), (-F.col("hs")).alias("down"), "p", "hl", "hs").alias("b"))
+    licensed = own.groupBy("dir").agg(F.min("b").alias("b")).select("dir", "b.hl", "b.hs")
+    # files per directory; those over the limit are at most HOT rows
+    dirs = written(files.select(directory(path).alias("d")).where("d is not null").groupBy("d").agg(F.count("*").alias("files")), "dirs")
+    limit = max(HOT, n // HOT)
+    shares = dirs.where(F.col("files") > limit).select("d", F.ceil(F.col("files") / limit).cast("int").alias("parts"))
     steps = F.split("d", "/")
     above = dirs.select("d", F.explode(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/")))).alias("dir")).distinct()
-    nearest = above.join(licensed, "dir").groupBy("d").agg(F.max(F.struct(F.char_length("dir").alias("depth"), "dir", "l", "s")).alias("b")).select("d", F.col("b.dir").alias("from"), F.col("b.l").alias("dl"), F.col("b.s").alias("ds"))
-
-    rows = files.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.xxhash64(F.to_json(F.struct(key.alias("key")), {"ignoreNullFields": "false"})).alias("k"), directory(path).alias("d"))
-    heads = declared.select(F.xxhash64(F.to_json(F.struct("key"), {"ignoreNullFields": "false"})).alias("k"), F.coalesce("header_license", "file_license").alias("hl"), F.coalesce("header_score", "file_score").alias("hs"))
-    out = rows.join(heads, "k", "left").join(nearest, "d", "left")
+    nearest = above.join(licensed, "dir").groupBy("d").agg(F.max(F.struct(F.char_length("dir").alias("depth"), "dir", "hl", "hs")).alias("b")).select("d", F.col("b.dir").alias("from"), F.col("b.hl").alias("dl"), F.col("b.hs").alias("ds"))
+    salted = nearest.join(F.broadcast(shares), "d", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    slim = keyed.select("k1", "k2", directory(F.col("p")).alias("d")).where("d is not null").join(F.broadcast(shares), "d", "left").withColumn("salt", F.pmod("k1", F.coalesce("parts", F.lit(1))).cast("int"))
+    inherited = slim.join(salted, ["d", "salt"]).groupBy("k1", "k2").agg(F.first(F.struct("from", "dl", "ds")).alias("i"))
+    answers = declared.select("k1", "k2", "hl", "hs").join(inherited, ["k1", "k2"], "full")
+
+    rows = files.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), *[F.xxhash64(F.lit(k), held, text).alias(f"k{k}") for k in (1, 2)])
+    out = rows.join(answers, ["k1", "k2"], "left")
     found = F.struct(
-        F.coalesce("hl", "dl").alias("license"),
-        F.coalesce("hs", "ds").alias("score"),
-        F.when(F.col("hl").isNotNull(), "header").when(F.col("dl").isNotNull(), "directory").alias("origin"),
-        F.when(F.col("hl").isNull(), F.col("from")).alias("directory"),
+        F.coalesce("hl", "i.dl").alias("license"),
+        F.coalesce("hs", "i.ds").alias("score"),
+        F.when(F.col("hl").isNotNull(), "header").when(F.col("i.dl").isNotNull(), "directory").alias("origin"),
+        F.when(F.col("hl").isNull(), F.col("i.from")).alias("directory"),
     )
     return out.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], found.alias("license_scan"))

@@ -4,27 +4,32 @@ Inner products become distances by one more component: with M at least every nor
 |q' - x'|^2 = |q|^2 + M^2 - 2 q.x, so the nearest rows are those of highest score, and the triangle inequality holds.
 
 1. Rows are dealt to blocks of about BLOCK_ROWS: to the nearest of at most PIVOTS pivots (a bounded sample, the rows of smallest id
-   hash) and, where a pivot has more rows than a block, by the hash of the id. So a block is a metric neighbourhood, and a vector
+   hash) and, where a pivot has more rows than a block, by the hash of the row. So a block is a metric neighbourhood, and a vector
    that a third of all rows share is spread over as many blocks as it fills.
 2. Each block is bulk-loaded into an M-tree: inner nodes hold routing objects with covering radius and distance to the parent,
-   leaf pages hold rows with their distance to the page's router. A block's tree is one row of the written page table, with the radius
-   that covers all of it, so a query that is too far from a block leaves it after one distance.
-3. Queries are packed in blocks of QUERY_ROWS; each meets each row block once. The search starts with the bound that the sample
-   gives, pops nodes by their least possible distance, skips children and rows by |d(q, parent) - d(x, parent)| before their own
-   distance is computed, and stops when the nearest node left is beyond the k-th best so far.
-4. The k best of each pair of blocks are ranked per query.
-
-Distances only prune, with a margin for rounding; scores are exact integers.
-
-Cases: a null vector, or one with a null, NaN or infinite component, takes no part, nor does a null id; rows that share an id count
-once, with the least of their vectors; vectors meet those of their own dimension only; ties go to the smaller id; fewer than k
-candidates give fewer rows. Further columns don't take part.
+   leaf pages hold rows with their distance to the page's router. A block's tree is one row of the written page table; its centre and
+   covering radius are its entry in the routing level above all blocks.
+3. Each query first searches the block that it lies in, the nearest one, from the bound that the sample gives. With the k-th best
+   found there, packs of queries meet the routing level: only blocks whose covering radius reaches into the bound are asked.
+4. In a block the search pops nodes by their least possible distance, skips children and rows by |d(q, parent) - d(x, parent)| before
+   their own distance is computed, and stops when the nearest node left is beyond the k-th best so far.
+5. The k best of each query's blocks are ranked.
+
+Distances only prune, with a margin for rounding; scores are exact integers. While all squared norms are under 2^53, floats hold them
+exactly. Beyond, distances and first scores are of vectors scaled by a power of two, with margins for their rounding, and what may be
+among the k best is scored in whole integers.
+
+Cases: a null vector, or one with a null, NaN or infinite component, or whose scaled component is infinite, takes no part, nor does a
+null id; rows that share an id are rows of their own: each is a candidate, and a query if the id says so, and only the very row is left
+out of its own candidates; vectors meet those of their own dimension only; ties go to the smaller id; fewer than k candidates give
+fewer rows; a score beyond 64 bits ranks and shows as the nearest 64-bit integer. Further columns don't take part.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -36,12 +41,13 @@ from .common import ship, written
 
 PIVOTS = 256
 SAMPLE = 2048
-BLOCK_ROWS = 4096
-QUERY_ROWS = 512
-PAGE_ROWS = 512
+#: Rows and megabytes of a block.
+BLOCK_ROWS, BLOCK_MB = 4096, 16
+#: Blocks whose queries are packed together, and blocks in an entry of the routing level.
+PACK_BLOCKS, ROUTER_BLOCKS = 6, 1024
+PAGE_ROWS = 256
 FANOUT = 16
-#: Relative and absolute margin of a bound before it prunes.
-MARGIN = 1e-9, 1e-6
+LONG = 1 << 63
 
 
 def lifted(x: np.ndarray, top: float) -> np.ndarray:
@@ -54,6 +60,48 @@ def _distances(a: np.ndarray, one: np.ndarray) -> np.ndarray:
     return np.sqrt((d * d).sum(axis=1))
 
 
+@dataclass(frozen=True)
+class Space:
+    """The metric space of vectors of one dimension: how they are scaled and lifted, and the margins of bounds."""
+
+    dim: int
+    top: float  # least square that no scaled norm exceeds
+    scale: float  # 1 while scores are exact in floats, else a power of two
+    k: int
+
+    @classmethod
+    def of(cls, dim: int, top: float, big: float, k: int) -> Space:
+        if top < 2**53:
+            return cls(dim, top, 1.0, k)
+        scale = 2.0 ** -int(np.frexp(big)[1])
+        norm = top * scale * scale
+        return cls(dim, float(norm) * (1 + 1e-9) if np.isfinite(norm) and norm > 0 else float(dim), scale, k)
+
+    @property
+    def exact(self) -> bool:
+        return self.scale == 1.0
+
+    @property
+    def slack(self) -> float:
+        """How far a scaled score may be from the true one."""
+        return 0.0 if self.exact else 4 * (self.dim + 2) * 2.0**-52 * self.top
+
+    def bound(self, score: np.ndarray | float) -> np.ndarray:
+        """A scaled score as a bound for others: those beyond 64 bits on one side count as equal."""
+        if self.exact:
+            return np.asarray(score)
+        cap = float(LONG) * self.scale * self.scale
+        return np.where(np.asarray(score) <= -cap, -np.inf, np.minimum(score, cap))
+
+    def lift(self, x: np.ndarray) -> np.ndarray:
+        return lifted(x * self.scale, self.top)
+
+    def reach(self, q2: np.ndarray | float, score: np.ndarray | float) -> np.ndarray:
+        """The distance within which rows score at least score with a query of squared norm q2, with margins."""
+        wide = 1e-6 if self.exact else 8 * np.sqrt((self.dim + 2) * 2.0**-52 * self.top)
+        return np.sqrt(np.maximum(q2 + self.top - 2 * (score - 2 * self.slack), 0.0)) * (1 + 1e-9) + wide
+
+
 class Tree:
     """An M-tree over the rows of a block, its nodes in flat arrays.
 
@@ -61,11 +109,12 @@ class Tree:
     with child, router, radius and parent distance; for a page they are rows: child is the row's place, radius 0.
     """
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, top: float):
+    def __init__(self, ids: np.ndarray, uids: np.ndarray, x: np.ndarray, space: Space):
+        self.space = space
         self.leaf: list[bool] = []
         self.spans: list[tuple[int, int]] = []
         child, radius, parent, router = [], [], [], []
-        points, order = lifted(x, top), []
+        points, order = space.lift(x), []
         draw = np.random.default_rng(len(ids))
 
         def add(rows: np.ndarray, center: np.ndarray) -> int:
@@ -102,21 +151,20 @@ class Tree:
         center = points[0] if len(points) else np.zeros(1)
         self.root = add(np.arange(len(ids)), center) if len(ids) else -1
         where = np.array(order, dtype=np.int64)
-        self.ids, self.x = ids[where] if len(ids) else ids, x[where] if len(ids) else x
+        self.ids, self.uids, self.x = ids[where], uids[where], x[where]
         self.child, self.radius, self.parent = np.array(child), np.array(radius), np.array(parent)
         self.routers = points[np.maximum(np.array(router, dtype=np.int64), 0)] if len(ids) else points
         self.center, self.reach = center, float(_distances(points, center).max()) if len(ids) else 0.0
         self.computed = 0
 
-    def best(self, q: np.ndarray, own: int, k: int, top: float, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k rows of highest score but own; rows that score under floor may be left out."""
-        lift = np.append(q, 0.0)
-        q2 = float(q @ q)
-        ids, scores = np.empty(0, dtype=np.int64), np.empty(0)
-        reach = lambda s: np.sqrt(max(q2 + top - 2 * s, 0.0)) * (1 + MARGIN[0]) + MARGIN[1]
-        bound = np.inf if floor == -np.inf else reach(floor)
-        if self.root < 0:
-            return ids, scores
+    def best(self, q: np.ndarray, own: int, floor: float) -> tuple[list[tuple[int, int, int]], float]:
+        """((-score, id, uid) of the k rows of highest score but the row own, a scaled score that the k-th best reaches); rows that
+        score under floor may be left out."""
+        space, k = self.space, self.space.k
+        scaled = q * space.scale
+        lift, q2 = np.append(scaled, 0.0), float(scaled @ scaled)
+        at, scores = np.empty(0, dtype=np.int64), np.empty(0)
+        bound = float(space.reach(q2, floor))
         away = float(_distances(self.center[None], lift)[0])
         heap = [(max(away - self.reach, 0.0), self.root, away)]
         while heap:
@@ -135,105 +183,171 @@ class Tree:
                     heapq.heappush(heap, (float(low[i]), int(self.child[near[i]]), float(d[i])))
                 continue
             # a page's rows lie side by side
-            rows = slice(int(self.child[begin]), int(self.child[end - 1]) + 1) if len(near) == end - begin else self.child[near]
-            s = self.x[rows] @ q
-            least_needed = scores[-1] if len(scores) >= k else np.partition(s, -k - 1)[-k - 1] if len(s) > k else -np.inf
-            fit = np.flatnonzero(s >= least_needed)
-            fit = fit[self.ids[rows][fit] != own]
+            rows = np.arange(int(self.child[begin]), int(self.child[end - 1]) + 1) if len(near) == end - begin else self.child[near]
+            s = ((self.x[rows[0] : rows[-1] + 1] if len(near) == end - begin else self.x[rows]) * space.scale) @ scaled
+            fit = np.flatnonzero((s >= floor - 2 * space.slack) & (self.uids[rows] != own))
             if len(fit):
-                ids, scores = np.concatenate([ids, self.ids[rows][fit]]), np.concatenate([scores, s[fit]])
-                keep = np.lexsort((ids, -scores))[:k]
-                ids, scores = ids[keep], scores[keep]
+                at, scores = np.concatenate([at, rows[fit]]), np.concatenate([scores, s[fit]])
+                if len(scores) > k:
+                    kth = float(space.bound(np.partition(scores, -k)[-k]))
+                    keep = scores >= kth - 2 * space.slack
+                    at, scores = at[keep], scores[keep]
+                    if space.exact and len(scores) > k:  # ties
+                        first = np.lexsort((self.uids[at], self.ids[at], -scores))[:k]
+                        at, scores = at[first], scores[first]
                 if len(scores) >= k:
-                    bound = min(bound, reach(float(scores[-1])))
-        return ids, scores
+                    floor = max(floor, float(space.bound(np.partition(scores, -k)[-k])))
+                    bound = min(bound, float(space.reach(q2, floor)))
+        if space.exact:
+            whole = [-int(x) for x in scores]
+        else:
+            parts = [int(c) for c in q]
+            whole = [-max(-LONG, min(LONG - 1, sum(a * int(b) for a, b in zip(parts, self.x[r].tolist(), strict=True)))) for r in at.tolist()]
+        return sorted(zip(whole, self.ids[at].tolist(), self.uids[at].tolist(), strict=True))[:k], floor
+
+    def to_row(self) -> dict[str, list]:
+        nodes = np.array([(*s, leaf) for s, leaf in zip(self.spans, self.leaf, strict=True)], dtype=np.int64)
+        inner = np.concatenate([np.arange(a, b) for a, b, leaf in nodes.tolist() if not leaf] or [np.empty(0, np.int64)]).astype(np.int64)
+        raw = {"ids": self.ids, "uids": self.uids, "x": self.x, "nodes": nodes, "child": self.child.astype(np.int64), "radius": self.radius, "parent": self.parent, "inner": inner, "routers": self.routers[inner], "center": self.center}
+        return {**{name: [np.ascontiguousarray(v).tobytes()] for name, v in raw.items()}, "root": [self.root], "reach": [self.reach]}
+
+    @classmethod
+    def from_row(cls, r: dict, space: Space) -> Tree:
+        t, dim = cls.__new__(cls), space.dim
+        nodes = np.frombuffer(r["nodes"], np.int64).reshape(-1, 3)
+        t.space, t.spans, t.leaf = space, [(a, b) for a, b, _ in nodes.tolist()], [bool(x) for x in nodes[:, 2]]
+        t.ids, t.uids, t.x = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["uids"], np.int64), np.frombuffer(r["x"]).reshape(-1, dim)
+        t.child, t.radius, t.parent = np.frombuffer(r["child"], np.int64), np.frombuffer(r["radius"]), np.frombuffer(r["parent"])
+        t.routers = np.zeros((len(t.child), dim + 1))
+        t.routers[np.frombuffer(r["inner"], np.int64)] = np.frombuffer(r["routers"]).reshape(-1, dim + 1)
+        t.center, t.root, t.reach, t.computed = np.frombuffer(r["center"]), r["root"], r["reach"], 0
+        return t
+
+
+_TREE = "ids binary, uids binary, x binary, nodes binary, child binary, radius binary, parent binary, inner binary, routers binary, center binary, root int, reach double"
+_HITS = pa.list_(pa.struct([("score", pa.int64()), ("vec_id", pa.int64()), ("uid", pa.int64())]))
+
+
+def _hits(found: list[tuple[int, int, int]]) -> list[dict[str, int]]:
+    return [{"score": -s, "vec_id": i, "uid": u} for s, i, u in found]
 
 
 def top_k(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, scale: int = 256) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row whose id is divisible by every, the k best of all others.
-
-    Components are floor(scale * x); an id's vector must keep squared norms below 2^53 for scores to be exact, else a ValueError.
-    """
+    """query_id, rank, vec_id, score: for each row whose id is divisible by every, the k best of all others, by floor(scale * x) of components x."""
     spark = table.sparkSession
     ship(spark)
     v = F.col(f"`{vector_col}`")
     good = v.isNotNull() & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")))
-    ints = F.transform(v, lambda c: F.floor(F.lit(scale) * c.cast("double")).cast("long"))
-    rows = table.where(F.col(f"`{id_col}`").isNotNull() & good).select(F.col(f"`{id_col}`").cast("long").alias("id"), ints.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
-    rows = written(rows.withColumn("dim", F.size("v")), "vectors")
-    norm = F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
-    shapes = {r["dim"]: r for r in rows.groupBy("dim").agg(F.count("*").alias("n"), F.max(norm).alias("top"), F.count_if(F.col("id") % every == 0).alias("q")).collect()}  # a row per dimension
-    if any(r["top"] >= 2**53 for r in shapes.values()):
-        raise ValueError("components too large for exact scores")
+    rows = table.where(F.col(f"`{id_col}`").isNotNull() & good).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.monotonically_increasing_id().alias("uid"), v.cast("array<double>").alias("v"))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = np.asarray(batch.column("v").flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
+            with np.errstate(over="ignore"):
+                flat = np.floor(scale * flat)
+                cuts = np.concatenate([[0], np.cumsum(batch.column("v").value_lengths().to_numpy())]).tolist()
+                parts = [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                keep = [i for i, x in enumerate(parts) if np.isfinite(x).all()]
+                made = [(len(parts[i]), parts[i].tobytes(), float(parts[i] @ parts[i]), float(np.abs(parts[i]).max(initial=0.0))) for i in keep]
+            cols = list(zip(*made, strict=True)) if made else [()] * 4
+            kinds = (pa.int32(), pa.binary(), pa.float64(), pa.float64())
+            yield pa.record_batch([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("id", "uid")] + [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["id", "uid", "dim", "x", "norm", "big"])
+
+    # written, so that a row keeps its uid
+    rows = written(rows.mapInArrow(whole, "id long, uid long, dim int, x binary, norm double, big double"), "vectors")
+    shapes = rows.groupBy("dim").agg(F.count("*").alias("n"), F.max("norm").alias("top"), F.max("big").alias("big")).collect()  # a row per dimension
     results = None
-    for dim, shape in shapes.items():
-        found = _one_dimension(rows.where(F.col("dim") == dim), int(dim), int(shape["n"]), int(shape["q"]), float(shape["top"]), every, k)
+    for r in shapes:
+        found = _one_dimension(rows.where(F.col("dim") == r["dim"]), int(r["n"]), Space.of(int(r["dim"]), float(r["top"]), float(r["big"]), k), every)
         results = found if results is None else results.unionByName(found)
     if results is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_uid").orderBy(F.desc("score"), "vec_id", "uid")
     return results.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _one_dimension(rows: DataFrame, dim: int, n: int, n_queries: int, top: float, every: int, k: int) -> DataFrame:
-    spark = rows.sparkSession
-    blocks = -(-n // BLOCK_ROWS)
-    drawn = rows.orderBy(F.xxhash64(F.lit(17), "id"), "id").limit(SAMPLE).collect()
-    sample_ids = np.array([r["id"] for r in drawn], dtype=np.int64)
-    sample = np.array([r["v"] for r in drawn], dtype=np.float64).reshape(len(drawn), dim)
-    pivots = lifted(sample[: min(blocks, PIVOTS)], top)
+def _one_dimension(rows: DataFrame, n: int, space: Space, every: int) -> DataFrame:
+    spark, dim, k = rows.sparkSession, space.dim, space.k
+    block_rows = max(64, min(BLOCK_ROWS, (BLOCK_MB << 20) // (8 * (dim + 1))))
+    blocks = -(-n // block_rows)
+    drawn = rows.orderBy(F.xxhash64(F.lit(17), "id"), "id", "uid").limit(SAMPLE).collect()
+    sample_uids = np.array([r["uid"] for r in drawn], dtype=np.int64)
+    sample = np.frombuffer(b"".join(bytes(r["x"]) for r in drawn)).reshape(len(drawn), dim) * space.scale
+    pivots = space.lift(sample[: min(blocks, PIVOTS)] / space.scale)
+    vectors = lambda column: np.frombuffer(b"".join(column)).reshape(len(column), dim)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch.column("v").flatten().to_numpy(), dtype=np.float64).reshape(-1, dim)
-            points = lifted(x, top)
+            points = space.lift(vectors(batch.column("x").to_pylist()))
             near = np.concatenate([(points[s : s + 1024] @ pivots.T).argmax(axis=1) for s in range(0, len(points), 1024)]) if len(points) else np.empty(0, np.int64)
-            yield pa.record_batch([batch.column("id"), pa.array(near.astype(np.int32)), pa.array([r.tobytes() for r in x.astype(np.int64)], pa.binary())], names=["id", "pivot", "x"])
+            yield pa.record_batch([batch.column("id"), batch.column("uid"), batch.column("x"), pa.array(near.astype(np.int32))], names=["id", "uid", "x", "pivot"])
 
-    dealt = written(rows.select("id", "v").mapInArrow(deal, "id long, pivot int, x binary"), "dealt")
+    dealt = written(rows.select("id", "uid", "x").mapInArrow(deal, "id long, uid long, x binary, pivot int"), "dealt")
     first, shape = 0, []
     for r in sorted(dealt.groupBy("pivot").count().collect()):  # at most PIVOTS rows
-        parts = -(-r["count"] // BLOCK_ROWS)
+        parts = -(-r["count"] // block_rows)
         shape.append((r["pivot"], first, parts))
         first += parts
-    placed = dealt.join(F.broadcast(spark.createDataFrame(shape, "pivot int, first int, parts int")), "pivot").withColumn("block", F.col("first") + F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    placed = dealt.join(F.broadcast(spark.createDataFrame(shape, "pivot int, first int, parts int")), "pivot").withColumn("block", F.col("first") + F.pmod(F.xxhash64("uid"), "parts").cast("int")).select("block", "id", "uid", "x")
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, x = pdf["id"].to_numpy(np.int64), np.frombuffer(b"".join(pdf["x"]), dtype=np.int64).reshape(-1, dim).astype(np.float64)
-        by_id = np.argsort(ids)
-        t = Tree(ids[by_id], x[by_id], top)
-        nodes = np.array([(*s, leaf) for s, leaf in zip(t.spans, t.leaf, strict=True)], dtype=np.int64)
-        inner = np.flatnonzero(~np.isin(np.arange(len(t.child)), np.concatenate([np.arange(a, b) for a, b, leaf in nodes.tolist() if leaf]))) if len(nodes) else np.empty(0, np.int64)
-        return pd.DataFrame({"block": [key[0]], "ids": [t.ids.tobytes()], "x": [t.x.astype(np.int64).tobytes()], "root": [t.root], "nodes": [nodes.tobytes()], "child": [t.child.astype(np.int64).tobytes()], "radius": [t.radius.tobytes()], "parent": [t.parent.tobytes()], "inner": [inner.astype(np.int64).tobytes()], "routers": [t.routers[inner].tobytes()], "center": [t.center.tobytes()], "reach": [t.reach]})
+        pdf = pdf.sort_values("uid")
+        tree = Tree(pdf["id"].to_numpy(np.int64), pdf["uid"].to_numpy(np.int64), vectors(pdf["x"]), space)
+        return pd.DataFrame({"block": [key[0]], **tree.to_row()})
 
-    pages = written(placed.select("block", "id", "x").groupBy("block").applyInPandas(build, "block int, ids binary, x binary, root int, nodes binary, child binary, radius binary, parent binary, inner binary, routers binary, center binary, reach double"), "pages")
+    pages = written(placed.groupBy("block").applyInPandas(build, f"block int, {_TREE}"), "pages")
 
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, x = pdf["id"].to_numpy(np.int64), np.frombuffer(b"".join(pdf["x"]), dtype=np.int64).reshape(-1, dim).astype(np.float64)
-        scores = x @ sample.T if len(sample) else np.empty((len(ids), 0))
-        scores[ids[:, None] == sample_ids[None, :]] = -np.inf
-        floor = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(ids), -np.inf)
-        return pd.DataFrame({"qids": [ids.tobytes()], "q": [x.tobytes()], "floor": [floor.tobytes()]})
-
-    asked = dealt.where(F.col("id") % every == 0).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n_queries // QUERY_ROWS)))))
-    packed = asked.groupBy("part").applyInPandas(pack, "qids binary, q binary, floor binary")
-    pairs = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(0, first - 1))))).join(pages, "block")
+        """A block's queries, each with the score that the k-th best of the sample reaches."""
+        uids, x = pdf["uid"].to_numpy(np.int64), vectors(pdf["x"])
+        scores = (x * space.scale) @ sample.T
+        scores[uids[:, None] == sample_uids[None, :]] = -np.inf
+        floor = space.bound(np.partition(scores, -k, axis=1)[:, -k]) if scores.shape[1] >= k else np.full(len(uids), -np.inf)
+        return pd.DataFrame({"block": [key[0]], "quids": [uids.tobytes()], "qids": [pdf["id"].to_numpy(np.int64).tobytes()], "q": [x.tobytes()], "floor": [floor.tobytes()]})
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The k best of each query in a block; from is that block."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+                tree = Tree.from_row(r, space)
+                uids, ids, q, floor = np.frombuffer(r["quids"], np.int64), np.frombuffer(r["qids"], np.int64), np.frombuffer(r["q"]).reshape(-1, dim), np.frombuffer(r["floor"])
+                found = [tree.best(q[j], own, float(floor[j])) for j, own in enumerate(uids.tolist())]
+                yield pa.record_batch(
+                    [pa.array([r["block"]] * len(uids), pa.int32()), pa.array(uids), pa.array(ids), pa.array([x.tobytes() for x in q], pa.binary()), pa.array([f for _, f in found], pa.float64()), pa.array([_hits(h) for h, _ in found], _HITS)],
+                    names=["from", "query_uid", "query_id", "x", "floor", "hits"],
+                )
+
+    asked = "block int, quids binary, qids binary, q binary, floor binary"
+    searched = "from int, query_uid long, query_id long, x binary, floor double, hits array<struct<score:long,vec_id:long,uid:long>>"
+    own = placed.where(F.col("id") % every == 0).groupBy("block").applyInPandas(pack, asked)
+    home = written(own.join(pages, "block").mapInArrow(search, searched), "home")
+
+    def routers(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"entry": [key[0]], "blocks": [pdf["block"].to_numpy(np.int32).tobytes()], "centers": [b"".join(pdf["center"])], "reaches": [pdf["reach"].to_numpy(np.float64).tobytes()]})
+
+    def packed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"homes": [pdf["from"].to_numpy(np.int32).tobytes()], "quids": [pdf["query_uid"].to_numpy(np.int64).tobytes()], "qids": [pdf["query_id"].to_numpy(np.int64).tobytes()], "q": [b"".join(pdf["x"])], "floor": [pdf["floor"].to_numpy(np.float64).tobytes()]})
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each block of an entry of the routing level the queries of a pack that it may serve."""
         for batch in batches:
             for i in range(batch.num_rows):
                 r = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
-                t = Tree.__new__(Tree)
-                nodes = np.frombuffer(r["nodes"], np.int64).reshape(-1, 3)
-                t.spans, t.leaf = [(a, b) for a, b, _ in nodes.tolist()], [bool(x) for x in nodes[:, 2]]
-                t.ids, t.x = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["x"], np.int64).reshape(-1, dim).astype(np.float64)
-                t.child, t.radius, t.parent = np.frombuffer(r["child"], np.int64), np.frombuffer(r["radius"]), np.frombuffer(r["parent"])
-                t.routers = np.zeros((len(t.child), dim + 1))
-                t.routers[np.frombuffer(r["inner"], np.int64)] = np.frombuffer(r["routers"]).reshape(-1, dim + 1)
-                t.center, t.root, t.reach, t.computed = np.frombuffer(r["center"]), r["root"], r["reach"], 0
-                qids, q, floor = np.frombuffer(r["qids"], np.int64), np.frombuffer(r["q"]).reshape(-1, dim), np.frombuffer(r["floor"])
-                out = [(own, *t.best(q[j], own, k, top, float(floor[j]))) for j, own in enumerate(qids.tolist())]
-                counts = [len(ids) for _, ids, _ in out]
-                yield pa.record_batch([pa.array(np.repeat(qids, counts)), pa.array(np.concatenate([ids for _, ids, _ in out])), pa.array(np.concatenate([s for _, _, s in out]).astype(np.int64))], names=["query_id", "vec_id", "score"])
-
-    return pairs.mapInArrow(search, "query_id long, vec_id long, score long")
+                blocks_, centers, reaches = np.frombuffer(r["blocks"], np.int32), np.frombuffer(r["centers"]).reshape(-1, dim + 1), np.frombuffer(r["reaches"])
+                homes, uids, ids, q, floor = np.frombuffer(r["homes"], np.int32), np.frombuffer(r["quids"], np.int64), np.frombuffer(r["qids"], np.int64), np.frombuffer(r["q"]).reshape(-1, dim), np.frombuffer(r["floor"])
+                scaled = q * space.scale
+                q2 = (scaled * scaled).sum(axis=1)
+                bound = space.reach(q2, floor)
+                lifts = np.concatenate([scaled, np.zeros((len(q), 1))], axis=1)
+                for b, center, reach in zip(blocks_.tolist(), centers, reaches.tolist(), strict=True):
+                    at = np.flatnonzero((_distances(lifts, center) - reach <= bound) & (homes != b))
+                    if len(at):
+                        yield pa.record_batch([pa.array([b], pa.int32()), *[pa.array([np.ascontiguousarray(v[at]).tobytes()], pa.binary()) for v in (uids, ids, q, floor)]], names=["block", "quids", "qids", "q", "floor"])
+
+    level = pages.select("block", "center", "reach").groupBy(F.floor(F.col("block") / ROUTER_BLOCKS).alias("entry")).applyInPandas(routers, "entry long, blocks binary, centers binary, reaches binary")
+    packs = home.groupBy(F.floor(F.col("from") / PACK_BLOCKS).alias("pack")).applyInPandas(packed, "homes binary, quids binary, qids binary, q binary, floor binary")
+    every_entry = F.explode(F.sequence(F.lit(0), F.lit((max(1, first) - 1) // ROUTER_BLOCKS)).cast("array<bigint>"))
+    asks = packs.withColumn("entry", every_entry).join(written(level, "routers"), "entry").mapInArrow(route, asked)
+    rest = asks.join(pages, "block").mapInArrow(search, searched)
+    return home.unionByName(rest).select("query_uid", "query_id", F.inline("hits"))

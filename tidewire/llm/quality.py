@@ -13,7 +13,8 @@
 
 Texts are read whole by each pass and never shuffled; each pass carries a row of bytes at most.
 
-Cases: null or empty text: no labeller speaks, its score is the intercept's and the marks' of nothing, so it is judged like any other
+Cases: ties between equal hashes in the sample go by pattern, and rows equal in id and text are equal in the sample; null or empty
+text: no labeller speaks, its score is the intercept's and the marks' of nothing, so it is judged like any other
 (without evidence against it, kept); rows that share an id are judged one by one; null ids are judged; an empty table has the prior
 model, which keeps all. An input column of the name quality_model is replaced.
 """
@@ -36,9 +37,10 @@ TRAIN_ROWS = 2000
 TRIGRAM_BITS = 12
 TRIGRAMS, MARKS = 1 << TRIGRAM_BITS, 1 << 8
 KEEP = 0.35
-#: Labellers are written to be precise: of good documents each may call at most this share bad. Without that bound the likelihood
-#: is highest where junk that only one labeller sees counts as good.
-FALSE_ALARMS = 0.005
+#: Labellers are written to be precise: of good documents each is held to be right in this share, with the weight of so many imagined
+#: documents per document. It is a Beta prior, and accuracies are estimated under it; without it the likelihood is highest where junk
+#: that only one labeller sees counts as good.
+PRECISE, WEIGHT = 0.999, 2.0
 _CAPITALS = bytes(range(65, 91))
 _LETTERS = bytes([*range(65, 91), *range(97, 123), *range(128, 256)])
 _DIGITS, _SPACES, _POINTS = b"0123456789", b" \t\n\r\x0b\x0c", b".,;:?'\"-()"
@@ -119,7 +121,7 @@ class LabelModel:
         m = len(LABELLERS)
         #: the chance that a labeller that speaks is right, of good (row 0) and of bad documents (row 1)
         #: junk is of many kinds, each seen by few labellers: of bad documents a labeller may well be wrong more often than right
-        self.right = np.stack([np.full(m, 0.95), np.full(m, 0.3)])
+        self.right = np.stack([np.full(m, PRECISE), np.full(m, 0.3)])
         self.good = 0.8
         self.codes = codes
         votes, total = votes_of(codes), max(1, counts.sum())
@@ -128,10 +130,11 @@ class LabelModel:
         for step in range(rounds if len(codes) else 0):
             p = self.posterior(codes) if step else p
             weight = np.stack([p * counts, (1 - p) * counts])
-            # a few imagined documents keep a labeller that hardly speaks, or never of one class, at its prior
-            hits = np.stack([weight[0] @ (votes == 1), weight[1] @ (votes == -1)]) + np.array([[9.5], [3.0]])
-            spoken = np.stack([w @ (votes != 0) for w in weight]) + 10.0
-            before, self.right = self.right, np.clip(hits / spoken, [[1 - FALSE_ALARMS], [0.01]], [[0.9999], [0.9999]])
+            # the priors as imagined documents: of bad ones a few, which keep a labeller that hardly speaks where it began
+            imagined = np.array([[WEIGHT * total], [10.0]])
+            hits = np.stack([weight[0] @ (votes == 1), weight[1] @ (votes == -1)]) + imagined * np.array([[PRECISE], [0.3]])
+            spoken = np.stack([w @ (votes != 0) for w in weight]) + imagined
+            before, self.right = self.right, np.clip(hits / spoken, 0.01, 0.9999)
             self.good = float(np.clip(weight[0].sum() / total, 0.02, 0.98))
             if np.abs(before - self.right).max() < 1e-7:
                 break

@@ -111,10 +111,10 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 _SQL2 = r"""
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS uid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+s AS (SELECT q.uid, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.uid <> c.uid),
+r AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
@@ -174,13 +174,15 @@ ns AS (SELECT *, row_number() OVER () AS ord FROM seg),
 tf AS (SELECT doc_id, kind, ord, term, count(*) AS c FROM (SELECT doc_id, kind, ord, unnest(regexp_extract_all(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+(?:[.][0-9]+)*')) AS term FROM ns) GROUP BY ALL),
 sw AS (SELECT tf.*, c * coalesce(idf, ln(1 + n) + 1) AS w FROM tf CROSS JOIN n LEFT JOIN idf USING (term)),
 nm AS (SELECT ord, sqrt(sum(w * w)) AS norm FROM sw GROUP BY ord),
-sc AS (SELECT doc_id, kind, license, template, round(sum(w * weight) / any_value(norm), 6) AS score FROM sw JOIN w USING (term) JOIN nm USING (ord) GROUP BY doc_id, kind, ord, license, template),
-b AS (SELECT doc_id, kind, license, score FROM sc WHERE score >= 0.7 QUALIFY row_number() OVER (PARTITION BY doc_id, kind ORDER BY score DESC, template) = 1),
-fl AS (SELECT dir, license, score FROM b JOIN docs USING (doc_id) WHERE kind = 'file' QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, dir || '/' || doc_id::VARCHAR || '.txt') = 1)
-SELECT d.doc_id, coalesce(h.license, f.license, fl.license) AS license, coalesce(h.score, f.score, fl.score) AS score,
-  CASE WHEN coalesce(h.license, f.license) IS NOT NULL THEN 'header' WHEN fl.license IS NOT NULL THEN 'directory' END AS origin,
-  CASE WHEN coalesce(h.license, f.license) IS NULL AND fl.license IS NOT NULL THEN d.dir END AS directory
-FROM docs d LEFT JOIN b h ON h.doc_id = d.doc_id AND h.kind = 'header' LEFT JOIN b f ON f.doc_id = d.doc_id AND f.kind = 'file' LEFT JOIN fl ON fl.dir = d.dir
-""" % ", ".join(f"({k}, '{name}', '{body}')" for k, (name, body) in enumerate(license_scan.TEMPLATES))
+nt AS (SELECT ord, sum(c) AS n_terms FROM tf GROUP BY ord),
+sc AS (SELECT doc_id, kind, license, template, any_value(n_terms) AS n_terms, round(sum(w * weight) / any_value(norm), 6) AS score FROM sw JOIN w USING (term) JOIN nm USING (ord) JOIN nt USING (ord) GROUP BY doc_id, kind, ord, license, template),
+g AS (SELECT *, bool_or(kind = 'file') OVER (PARTITION BY doc_id) AS whole FROM sc WHERE score >= 0.7),
+b AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n_terms DESC, score DESC, template) = 1),
+fl AS (SELECT dir, license, score FROM b JOIN docs USING (doc_id) WHERE whole QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, dir || '/' || doc_id::VARCHAR || '.txt') = 1)
+SELECT d.doc_id, coalesce(b.license, fl.license) AS license, coalesce(b.score, fl.score) AS score,
+  CASE WHEN b.license IS NOT NULL THEN 'header' WHEN fl.license IS NOT NULL THEN 'directory' END AS origin,
+  CASE WHEN b.license IS NULL AND fl.license IS NOT NULL THEN d.dir END AS directory
+FROM docs d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN fl ON fl.dir = d.dir
+""" % ", ".join("({}, '{}', '{}')".format(k, name, body.replace("'", "''")) for k, (name, body) in enumerate(license_scan.TEMPLATES))
 
 ORACLE_SQL: dict[str, str] = {"op1_decontaminate": _SQL1, "op2_mtree_topk": _SQL2, "op5_warc": _SQL5, "op7_substring_dedup": _SQL7, "op8_url_filter": _SQL8, "op9_line_dedup": _SQL9, "op10_license_scan": _SQL10}

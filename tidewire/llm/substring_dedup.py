@@ -11,7 +11,8 @@ windows is sent once with its anchor instead of each suffix with a path of its o
 
 Groups fit into memory: anchors are counted over all documents first, and dealt to groups of about GROUP_MB of leaves; an anchor
 that alone has more leaves than half a group is dealt by the hash of the whole window, so its leaves spread over all groups while equal windows
-still meet. There are at most twice as many such anchors as groups.
+still meet. There are at most twice as many such anchors as groups, and never more than MAX_HEAVY: beyond that the limit rises with
+the text, so what comes to the driver and is broadcast has a bound of 8 bytes times MAX_HEAVY.
 
 A leaf is sent as the 48-bit hash of its path of `window` words; with the 64-bit anchor that makes 112 bits. Each task first builds
 the subtrees of its own batch: of windows that stand twice in it one leaf goes on, so a passage in a third of all documents sends as
@@ -41,6 +42,7 @@ GROUP_MB = 16
 #: Words whose trees a task builds at once before it sends leaves.
 BATCH_WORDS = 800_000
 PATH = np.uint64((1 << 48) - 1)
+MAX_HEAVY = 1 << 20
 
 
 def anchors(hashes: np.ndarray, window: int, prefix: int) -> np.ndarray:
@@ -56,9 +58,14 @@ def anchors(hashes: np.ndarray, window: int, prefix: int) -> np.ndarray:
 
 def repeated(anchor: np.ndarray, path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The subtrees of all anchors at once: (leaves whose full-depth node has another leaf, one leaf of each node)."""
-    order = np.argsort(anchor + mix(path))  # equal leaves come together
+    mixed = anchor + mix(path)
+    order = np.argsort(mixed)  # equal leaves come together
     a, p = anchor[order], path[order]
     same = (a[1:] == a[:-1]) & (p[1:] == p[:-1])
+    if (~same & (mixed[order][1:] == mixed[order][:-1])).any():  # different leaves of one sum could stand between equal ones
+        order = np.lexsort((path, anchor))
+        a, p = anchor[order], path[order]
+        same = (a[1:] == a[:-1]) & (p[1:] == p[:-1])
     twice = np.zeros(len(a), dtype=bool)
     twice[1:] |= same
     twice[:-1] |= same
@@ -216,11 +223,13 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
     keyed = docs.select(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(3), F.col(f"`{id_col}`")).alias("k2"), text.alias("t"))
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size * 1.2) // (GROUP_MB << 20)))
-    heavy = _heavy(keyed, window, prefix, groups, (GROUP_MB << 20) // 14)
+    # words are at most half the bytes, and an anchor over the limit has more windows than that
+    limit = max((GROUP_MB << 20) // 14, size // 2 // MAX_HEAVY)
+    heavy = spark.sparkContext.broadcast(_heavy(keyed, window, prefix, groups, limit))
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, words in _batches(batches):
-            yield from _leaves(keys, words, window, prefix, groups, heavy)
+            yield from _leaves(keys, words, window, prefix, groups, heavy.value)
 
     repeats = keyed.mapInArrow(leaves, _LEAVES_SQL).groupBy("grp").applyInPandas(_subtrees, "key binary, at binary")
     per_row = repeats.groupBy("key").agg(F.collect_list("at").alias("at"))
