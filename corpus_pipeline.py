@@ -1,14 +1,19 @@
-"""The corpus pipeline: five stages from raw documents to tokens, each over all that its predecessor kept."""
+"""The corpus pipeline: five stages from raw documents to tokens, each over all that its predecessor kept.
 
-from __future__ import annotations
+Cases, for all stages: further columns of docs go, whatever their names; an empty table gives an empty one; null and empty texts are
+texts without words, which no stage drops but for the classifier's verdict. Rows that share an id are judged one by one by the
+classifier, lose repeated lines each for itself, are one document for near duplicates, and go together if one of them is
+contaminated. A row without an id is judged by the classifier and encoded; the other stages, which tell documents by their ids,
+leave it as it is.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm import bpe_automaton
-from tidewire.llm.common import shared_dir
+from tidewire.llm.common import clear, made, shared_path
 from tidewire.llm.decontaminate import build_index, contaminated, search
 from tidewire.llm.line_dedup import drop_repeated_lines
 from tidewire.llm.ngram_join import jaccard_groups
@@ -63,9 +68,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written as Parquet in the shared folder and read again."""
-    docs, base = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages, each written as Parquet in the shared folder and read again. What a stage made on its way, and what it read of the
+    stage before, is deleted once its own rows are written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), made()
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
-        docs = spark.read.parquet(f"{base}/{k}")
+        kept = stage(spark, docs, sf_dir)
+        path = shared_path(spark, f"pipeline-{k}")
+        kept.write.parquet(path)
+        docs = spark.read.parquet(path)
+        clear(spark, before, keep=path)
     return docs
