@@ -117,6 +117,16 @@ def test_jaccard_groups_over_chunks(spark, monkeypatch, rows_per_chunk, percent)
     assert got == brute_groups(rows, 2, percent)
 
 
+def test_tile_links_without_pairs_left():
+    """A step all of whose pairs are joined already is passed over; links are the forest that is missing."""
+    import numpy as np
+
+    sets = [np.arange(100 + i % 2, dtype=np.uint64) for i in range(6)]
+    assert ngram_join.tile_links(list(range(6)), sets, np.zeros(6, np.int64), 3, 90, False) == []
+    assert len(ngram_join.tile_links(list(range(6)), sets, np.array([0, 0, 0, 1, 1, 1]), 3, 90, False)) == 1
+    assert ngram_join.tile_links([7, 5, 6], sets[:3], np.array([7, 5, 6]), 3, 90, True) == [(7, 5), (7, 6)]
+
+
 def test_jaccard_ids(spark):
     rows = spark.createDataFrame([(7, "a b c d"), (7, "x y z w"), (3, "x y z w"), (9, "a b c d"), (None, "a b c d")], "doc_id long, text string")
     got = sorted((r["d"] or 0, r["component"] or 0) for r in ngram_join.jaccard_groups(rows, k=3, percent=90).collect())

@@ -134,6 +134,8 @@ def tile_links(ids: list[int], arrays: list[np.ndarray], labels: np.ndarray, lef
     for xs, ys in pairs:
         apart = label[xs] != label[ys]
         xs, ys = xs[apart], ys[apart]
+        if not len(xs):
+            continue
         rows, begins = np.unique(xs, return_index=True)
         for u, s, e in zip(rows.tolist(), begins.tolist(), [*begins[1:].tolist(), len(xs)], strict=True):
             near = ys[s:e]
