@@ -6,7 +6,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tidewire.plans import catalog
+from tidewire.plans import catalog, day_catalog
+
+assert day_catalog
 
 
 def rows(names, data):

@@ -9,7 +9,7 @@ from test_ingest import docs
 
 from tidewire.functions import media
 from tidewire.plans import ingest, reports
-from tidewire.sources import pdf
+from tidewire.sources import pdf, writers
 
 
 def pdf_bytes(compressed):
@@ -101,8 +101,8 @@ def test_topic_threshold(spark):
         both = [word(k) for k in range(shared)]
         return [(first + i, s, " ".join(both + [word(shared + own * i + k) for k in range(own)]), 0.9) for i, s in enumerate((a, b))]
 
-    # cosines 0.677, 0.677 and 0.642
-    items = [*pair(0, "pdf", "html", 10, 3), *pair(2, "facebook", "facebook", 10, 3), *pair(4, "pdf", "html", 20, 7)]
+    # each text weighed once: cosines 0.692, 0.692 and 0.627
+    items = [*pair(0, "pdf", "html", 10, 3), *pair(2, "facebook", "facebook", 10, 3), *pair(4, "pdf", "html", 20, 8)]
     rows = spark.createDataFrame(items, "ord long, source string, text string, relevance_score double")
     got = sorted((r["merged_from"], r["source"]) for r in reports.by_topic(rows).collect())
     assert got == [(["facebook", "facebook"], "facebook"), (["html"], "html"), (["html", "pdf"], "html"), (["pdf"], "pdf")]
@@ -117,6 +117,36 @@ def test_census(spark):
     spark.catalog.dropTempView("census_three")
 
 
+def test_link_context(spark):
+    links = spark.createDataFrame([("a", 1, "http://x", (100.0, 100.0, 120.0, 110.0)), ("a", 2, "http://y", (0.0, 0.0, 1.0, 1.0)), ("a", 1, "http://z", (100.0, 300.0, 120.0, 310.0))], "file string, Page int, URL string, Rect struct<x0:double,y0:double,x1:double,y1:double>")
+    words = spark.createDataFrame([("a", 1, 2, 105.0, 100.0, 115.0, 110.0, "aquí"), ("a", 1, 1, 72.0, 92.0, 90.0, 99.0, "ver "), ("a", 1, 0, 10.0, 100.0, 69.0, 110.0, "lejos"), ("a", 1, 3, 105.0, 121.0, 115.0, 130.0, "abajo"), ("b", 2, 0, 0.0, 0.0, 1.0, 1.0, "otro")], "file string, page int, no int, x0 double, y0 double, x1 double, y1 double, word string")
+    got = {r["URL"]: r["Context"] for r in pdf.link_context(links, words).collect()}
+    assert got == {"http://x": "ver aquí", "http://y": "", "http://z": ""}
+
+
+def test_store_info(spark):
+    spark.range(4).createOrReplaceTempView("stored_four")
+    assert reports.store_info(spark, "stored_four", "1.0").first()[1:] == ("1.0", 4) and reports.store_info(spark, "no_such_table").first()[:] == ("Error", "Error", 0)
+    spark.catalog.dropTempView("stored_four")
+
+
+def test_files(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "aGVsbG8="), ("b", "%%"), ("c", None)], "n string, e string")
+    files = writers.decoded_files(rows, F.col("n"), F.col("e"))
+    assert {r["name"]: (r["content"], r["size"]) for r in files.collect()} == {"a": (b"hello", 5), "b": (None, None), "c": (None, None)}
+
+    def convert(raw):
+        if raw == b"hello":
+            return b"%PDF" + raw
+        raise ValueError("no image")
+
+    more = files.unionByName(spark.createDataFrame([("d", bytearray(b"x"), 1)], "name string, content binary, size int"))
+    assert {r["name"]: (r["converted"], r["error"]) for r in writers.converted_files(more, "content", convert).collect()} == {"a": (b"%PDFhello", None), "b": (None, None), "c": (None, None), "d": (None, "ValueError: no image")}
+    writers.write_progress(spark, str(tmp_path / "p.json"), 40)
+    writers.write_progress(spark, str(tmp_path / "p.json"), 100, "done")
+    assert (tmp_path / "p.json").read_text() == '{"progress": 100, "status": "done"}'
+
+
 def test_media(spark):
     rows = spark.createDataFrame([("image/png", "http://a/x", "Timeout here", 4000, 3000), ("audio/mpeg", "http://a/x.JPEG?q", "bad", 100, 50), (None, None, None, 2000, 5000)], "t string, u string, e string, w int, h int")
     got = rows.select(media.media_extension(F.col("t"), F.col("u")).alias("x"), media.error_ttl(F.col("e"), 60).alias("ttl"), media.fitted(F.col("w"), F.col("h")).alias("f"), media.media_name(F.lit(1), F.col("u"), F.lit("01012025"), F.lit(".jpg")).alias("n"), media.within_area(F.col("w"), F.col("h"), 1_000_000).alias("a")).collect()

@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from tidewire.sources import readers
 from tidewire.streaming import streams
 
 
@@ -46,3 +47,20 @@ def test_sessions(spark, tmp_path):
     df = spark.createDataFrame(rows, "ts timestamp, k string")
     assert sorted(r["n"] for r in streams.sessions(df, "ts", "2 hours", "k").collect()) == [1, 2]
     assert streams.sliding_counts(df, "ts", "2 hours", "1 hour", ["k"]).agg(F.sum("n")).first()[0] == 6
+
+
+def test_landed_files_and_progress(spark, tmp_path):
+    seen = []
+    listener = streams.Progress(seen.append)
+    spark.streams.addListener(listener)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.pdf").write_bytes(b"%PDF-1")
+    (tmp_path / "in/b.txt").write_bytes(b"x")
+    got = []
+    for _ in range(2):  # the second run finds nothing new
+        q = streams.ingest(readers.landed(spark, str(tmp_path / "in")).select("length"), lambda batch, i: got.extend(r["length"] for r in batch.collect()), str(tmp_path / "ck"))
+        q.awaitTermination()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    spark.streams.removeListener(listener)
+    assert got == [6]
+    assert {"started", "processing", "done"} <= {x["status"] for x in seen} and sum(x["rows"] for x in seen) == 1

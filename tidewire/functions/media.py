@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .urls import path
@@ -68,3 +68,14 @@ def backoff_seconds(attempt: Column) -> Column:
 
 def prompt_for(key: Column, prompts: dict[str, str], default: str) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[x for k, v in prompts.items() for x in (F.lit(k), F.lit(v))]), key), F.lit(default))
+
+
+def numbered_in_batch(df: DataFrame, batch: str, order: list[Column]) -> DataFrame:
+    """df plus image_index: the place in its batch, from 1."""
+    return df.withColumn("image_index", F.row_number().over(Window.partitionBy(batch).orderBy(*order)))
+
+
+def only_errors(df: DataFrame, error: Column) -> DataFrame:
+    """One row: only_errors (all rows have an error; true without rows), any_error, n."""
+    bad = F.coalesce(error, F.lit("")) != ""
+    return df.agg(F.coalesce(F.every(bad), F.lit(True)).alias("only_errors"), F.coalesce(F.some(bad), F.lit(False)).alias("any_error"), F.count("*").alias("n"))

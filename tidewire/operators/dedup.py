@@ -7,7 +7,6 @@ ordered chunks with the same result. Its work grows with rows x leaders; the che
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 import numpy as np
@@ -19,6 +18,8 @@ from tidewire.functions.similarity import RATIO_CHARS, block_ratio_of
 from tidewire.functions.text import char_ngrams
 from tidewire.functions.urls import netloc, signature
 
+from .joins import checkpoints, jaccard_pairs
+
 
 def keep_first(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
     """The first row of each key in a total order; dropDuplicates would keep any."""
@@ -61,22 +62,25 @@ def source_score(source: Column, relevance: Column, text: Column) -> Column:
 
 
 def signature_pairs(df: DataFrame, url_col: str, text_col: str, order: str, threshold: float = 0.85, compat_cap: int | None = None) -> DataFrame:
-    """Pairs (first, second, similarity) of rows with one host and one URL signature whose character 3-grams overlap enough.
+    """Pairs (first, second, url, other, similarity) of rows with one host and one URL signature whose character 3-grams overlap enough.
 
-    The join is by equality of host and signature. compat_cap keeps so many rows of each host before, as the older rule did.
+    Equal texts overlap wholly however short. Rows meet in rare 3-grams (64-bit hashes), see joins.jaccard_pairs(). compat_cap keeps so
+    many rows of each host before, as the older rule did.
     """
-    rows = df.withColumns({"_host": netloc(F.col(url_col)), "_sig": signature(F.col(url_col))}).where("_host != ''")
+    rows = df.select(F.col(order).alias("id"), F.col(url_col).alias("url"), F.col(text_col).alias("text"), netloc(F.col(url_col)).alias("host"), signature(F.col(url_col)).alias("sig")).where("host != ''")
     if compat_cap is not None:
-        w = Window.partitionBy("_host").orderBy(order)
-        rows = rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= compat_cap)
+        w = Window.partitionBy("host").orderBy("id")
+        rows = rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= compat_cap).drop("_rn")
     # only rows that meet another are cut into n-grams
-    several = rows.groupBy("_host", "_sig").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    rows = rows.join(several, ["_host", "_sig"]).withColumn("_grams", char_ngrams(F.col(text_col)))
-    a = rows.select(F.col(order).alias("first"), F.col(url_col).alias("url"), "_host", "_sig", F.col("_grams").alias("x"), F.col(text_col).alias("tx"))
-    b = rows.select(F.col(order).alias("second"), F.col(url_col).alias("other"), "_host", "_sig", F.col("_grams").alias("y"), F.col(text_col).alias("ty"))
-    both = F.size(F.array_union("x", "y"))
-    s = F.when(F.col("tx") == F.col("ty"), 1.0).when(both > 0, F.size(F.array_intersect("x", "y")) / both).otherwise(0.0)
-    return a.join(b, ["_host", "_sig"]).where("first < second").withColumn("similarity", s).where(F.col("similarity") >= threshold).select("first", "second", "url", "other", "similarity")
+    several = rows.groupBy("host", "sig").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    rows = rows.join(several, ["host", "sig"])
+    sets = rows.select("id", "host", "sig", F.transform(char_ngrams(F.col("text")), lambda g: F.xxhash64(g)).alias("grams"))
+    near = jaccard_pairs(sets, ["host", "sig"], threshold)
+    short = rows.where((F.char_length("text") < 3) & (threshold <= 1)).select("id", "host", "sig", "text")
+    equal = short.withColumnRenamed("id", "first").join(short.withColumnRenamed("id", "second"), ["host", "sig", "text"]).where("first < second").select("first", "second", F.lit(1.0).alias("similarity"))
+    named = rows.select("id", "url")
+    pairs = near.unionByName(equal).join(named.select(F.col("id").alias("first"), "url"), "first").join(named.select(F.col("id").alias("second"), F.col("url").alias("other")), "second")
+    return pairs.select("first", "second", "url", "other", "similarity")
 
 
 #: Rows of a block that leader clustering takes into one task; a larger block goes in chunks of CHUNK rows, each met with leaders in PIECES parts.
@@ -156,7 +160,7 @@ def _in_chunks(rows: DataFrame, leaders_of: Callable[[int], _Leaders], number: s
     Rows are numbered in order and go in chunks: those of a chunk that join no leader of an earlier chunk (met in many tasks, the first
     leader counts) are clustered among themselves. A task holds a chunk's leaders and a part of a chunk; a chunk is a few jobs.
     """
-    _checkpoints(rows.sparkSession)
+    checkpoints(rows.sparkSession)
     # ranges follow each other in order: a row's number is its place in its range behind all earlier ranges of its block
     ranged = rows.repartitionByRange("b", "ord", "text").withColumn("p", F.spark_partition_id()).checkpoint()
     sizes = ranged.groupBy("b", "p").agg(F.count("*").alias("size"))
@@ -225,25 +229,57 @@ def with_fallback(df: DataFrame, run: Callable[[float], DataFrame], step: float
     return first
 
 
-def _checkpoints(spark: SparkSession) -> None:
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewire-"))
+def _scrambled(x: Column) -> Column:
+    """A bijection of 64-bit integers without arithmetic: ids in rounds are then in as good as random order."""
+    x = x.bitwiseXOR(F.shiftleft(x, 13))
+    x = x.bitwiseXOR(F.shiftrightunsigned(x, 7))
+    return x.bitwiseXOR(F.shiftleft(x, 17))
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """id, component (the smallest id reachable) from edges (u, v): least labels spread along edges, each round checkpointed.
+def components(edges: DataFrame) -> DataFrame:
+    """id, component (the smallest id reachable) from edges (u, v) of integers, null ends aside: the transitive form of grouping.
 
-    The transitive form of grouping. Each round also jumps to the label's own label, so chains close in logarithmically many rounds.
+    Rounds of contraction: each node goes to its least neighbour in a scrambled order, edges to those between the images, which halves
+    the nodes or better. Each round is checkpointed; the rounds' maps are composed.
+    """
+    checkpoints(edges.sparkSession)
+    ends = edges.where("u is not null and v is not null").select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
+    names = ends.select(F.explode(F.array("u", "v")).alias("id")).distinct().checkpoint()
+    both = ends.where("u != v").select(_scrambled(F.col("u")).alias("u"), _scrambled(F.col("v")).alias("v"))
+    now = both.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))).distinct().checkpoint()
+    whole: DataFrame | None = None
+    while not now.isEmpty():
+        to = now.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("to")).checkpoint()
+        step = to.select(F.col("u").alias("at"), F.col("to").alias("next"))
+        whole = to if whole is None else whole.join(step, F.col("to") == F.col("at"), "left").select("u", F.coalesce("next", "to").alias("to")).checkpoint()
+        first = now.join(to, "u").select(F.col("to").alias("a"), "v")
+        now = first.join(to.withColumnRenamed("u", "v"), "v").select(F.col("a").alias("u"), F.col("to").alias("v")).where("u != v").distinct().checkpoint()
+    if whole is None:
+        return names.select("id", F.col("id").alias("component"))
+    of = names.withColumn("u", _scrambled(F.col("id"))).join(whole, "u", "left").select("id", F.coalesce("to", "u").alias("to"))
+    return of.join(of.groupBy("to").agg(F.min("id").alias("component")), "to").select("id", "component")
+
+
+def first_leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, leader: in the order of ids each node joins the first leader that it has an edge with, or becomes one itself.
+
+    nodes (id), edges (u < v) of similar pairs. Sequential by definition, yet worked out in rounds: a node all of whose earlier
+    neighbours are known to be no leaders is one, a node with an earlier leader is none. Each round is checkpointed.
     """
-    _checkpoints(edges.sparkSession)
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u is not null and v is not null").distinct().checkpoint()
-    labels = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.least("u", "m").alias("label")).checkpoint()
-    for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("id", "v"), "v").groupBy(F.col("u").alias("id")).agg(F.min("label").alias("m"))
-        spread = labels.join(near, "id").select("id", F.least("label", "m").alias("label"))
-        jump = spread.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        after = spread.join(jump, "label").select("id", F.least("label", "next").alias("label")).checkpoint()
-        if after.join(labels.withColumnRenamed("label", "old"), "id").where("label != old").isEmpty():
-            return after.withColumnRenamed("label", "component")
-        labels = after
-    raise RuntimeError(f"labels still change after {rounds} rounds")
+    checkpoints(nodes.sparkSession)
+    pairs = edges.select("u", "v").distinct().checkpoint()
+    left = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct().checkpoint()
+    open_pairs, known = pairs, None
+    while not left.isEmpty():
+        waiting = open_pairs.select(F.col("v").alias("id")).distinct()
+        leaders = left.join(waiting, "id", "left_anti").checkpoint()
+        known = leaders if known is None else known.unionByName(leaders)
+        out = open_pairs.join(leaders.withColumnRenamed("id", "u"), "u", "left_semi").select(F.col("v").alias("id")).distinct().checkpoint()
+        gone = leaders.unionByName(out)
+        left = left.join(gone, "id", "left_anti").checkpoint()
+        open_pairs = open_pairs.join(gone.withColumnRenamed("id", "u"), "u", "left_anti").join(gone.withColumnRenamed("id", "v"), "v", "left_anti").checkpoint()
+    if known is None:
+        return nodes.select("id", F.col("id").alias("leader"))
+    joined = pairs.join(known.withColumnRenamed("id", "u"), "u").groupBy(F.col("v").alias("id")).agg(F.min("u").alias("leader"))
+    heads = known.withColumn("own", F.lit(True))
+    return nodes.join(joined, "id", "left").join(heads, "id", "left").select("id", F.when(F.col("own") | F.col("leader").isNull(), F.col("id")).otherwise(F.col("leader")).alias("leader"))

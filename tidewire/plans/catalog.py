@@ -345,12 +345,12 @@ def representative_score(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").select("doc_id", F.round(dedup.source_score(src, (c("doc_id") % 10) / 10.0, c("text")), 6).cast("double").alias("score"))
 
 
-@query("WITH RECURSIVE f AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY n_chars) AS v, min(doc_id) OVER (PARTITION BY left(coalesce(text, ''), 40)) AS w FROM documents), e AS (SELECT doc_id AS u, v FROM f UNION SELECT doc_id, w FROM f), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r(id, c) AS (SELECT u, u FROM b UNION SELECT b.v, r.c FROM r JOIN b ON b.u = r.id WHERE r.c < b.v) SELECT id, min(c) AS component FROM r GROUP BY id")
+@query("WITH RECURSIVE f AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY n_chars) AS v, min(doc_id) OVER (PARTITION BY lower(coalesce(text, ''))) AS w FROM documents), e AS (SELECT doc_id AS u, v FROM f UNION SELECT doc_id, w FROM f), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r(id, c) AS (SELECT u, u FROM b UNION SELECT b.v, r.c FROM r JOIN b ON b.u = r.id WHERE r.c < b.v) SELECT id, min(c) AS component FROM r GROUP BY id")
 def duplicate_groups_merged(spark: SparkSession, d: str) -> DataFrame:
-    """Groups of equal length and groups of equal beginning, merged where they share a document."""
-    docs = t(spark, d, "documents").select("doc_id", "n_chars", F.left(F.coalesce("text", F.lit("")), F.lit(40)).alias("head"))
+    """Groups of equal length and groups of equal text but for case, merged where they share a document."""
+    docs = t(spark, d, "documents").select("doc_id", "n_chars", F.sha2(F.lower(F.coalesce("text", F.lit(""))), 256).alias("same"))
     first = lambda key: docs.join(docs.groupBy(key).agg(F.min("doc_id").alias("v")), key).select(c("doc_id").alias("u"), "v")
-    return dedup.components(first("n_chars").unionByName(first("head")))
+    return dedup.components(first("n_chars").unionByName(first("same")))
 
 
 # ---- chunks --------------------------------------------------------------------------------------------------------------------
@@ -632,12 +632,6 @@ def conversation_context(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("conv_id").agg(F.count("*").alias("turns"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("transcript"), F.max(F.char_length(F.coalesce("text", F.lit("")))).cast("long").alias("longest"))
 
 
-@query()
-def semantic_groups(spark: SparkSession, d: str) -> DataFrame:
-    rows = t(spark, d, "benchmark").select(c("item_id").alias("ord"), F.lit("html").alias("source"), "text").where("text is not null")
-    return reports.semantic_groups(rows)
-
-
 @query("WITH w AS (SELECT doc_id, source, lang, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS running, ntile(4) OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS quartile, lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS previous FROM documents) SELECT doc_id, running::BIGINT AS running, quartile::INTEGER AS quartile, previous FROM w")
 def analytic_windows(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("source").orderBy("doc_id")

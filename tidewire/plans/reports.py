@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,18 +33,29 @@ def nearest_day(points: DataFrame, day_number: str, day: str, first: Column, las
     return points.where(number.between(F.date_format(first, "yyyyMMdd").cast("int"), F.date_format(last, "yyyyMMdd").cast("int")))
 
 
-def semantic_groups(texts: DataFrame, order: str = "ord", posts: float = POSTS, others: float = OTHERS) -> DataFrame:
-    """ord, component of texts (ord, source, text) that say the same: TF-IDF cosine over shared terms, grouped by components.
+def semantic_groups(texts: DataFrame, order: str = "ord", posts: float = POSTS, others: float = OTHERS, stop: list[str] | None = None, stem: Callable[[Column], Column] | None = None) -> DataFrame:
+    """ord, component of texts (ord, source, text) that say the same: each text joins the first one before it, in order, that opened a
+    group and is similar to it, or opens one itself; component is the ord of the one that opened it.
 
-    Two posts need posts, other pairs others. Pairs are met through terms they share, terms of nearly all texts aside.
+    Similarity is the TF-IDF cosine fitted to the two texts alone, see joins.pair_fitted(); two posts need posts, other pairs others.
+    Texts without terms are similar to each other. Texts with equal terms count once.
+    stop: words left out; stem: a column function over array<string>, from the caller.
     """
-    rows = texts.select(F.col(order).alias("ord"), F.col("source"), ascii_terms(F.col("text"), []).alias("w"))
-    pairs = joins.tfidf_pairs(rows, rows, "ord", "ord", F.col("w"), F.col("w"), min(posts, others), max_df=0.95).where("left_id < right_id")
-    kinds = rows.select("ord", "source")
-    typed = pairs.join(kinds.select(F.col("ord").alias("left_id"), F.col("source").alias("a")), "left_id").join(kinds.select(F.col("ord").alias("right_id"), F.col("source").alias("b")), "right_id")
-    need = F.when((F.col("a") == "facebook") & (F.col("b") == "facebook"), posts).otherwise(others)
-    groups = dedup.components(typed.where(F.col("similarity") >= need).select(F.col("left_id").alias("u"), F.col("right_id").alias("v")))
-    return rows.select("ord").join(groups.withColumnRenamed("id", "ord"), "ord", "left").select("ord", F.coalesce("component", "ord").alias("component"))
+    words = ascii_terms(F.col("text"), stop or [])
+    rows = texts.select(F.col(order).alias("ord"), (F.coalesce("source", F.lit("")) == "facebook").alias("post"), (stem(words) if stem else words).alias("w"))
+    # texts with equal terms and of one kind fare alike: the first stands for them
+    key = F.struct("post", F.xxhash64(F.lit(1), "w").alias("a"), F.xxhash64(F.lit(2), "w").alias("b"))
+    keyed = rows.withColumn("key", key)
+    firsts = keyed.groupBy("key").agg(F.min(F.struct("ord", "w")).alias("f")).select("key", F.col("f.ord").alias("id"), F.col("key.post").alias("post"), F.col("f.w").alias("w"))
+    counts = firsts.select("id", F.explode("w").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    near = joins.pair_fitted(counts, min(posts, others)).select(F.col("left_id").alias("u"), F.col("right_id").alias("v"), "similarity")
+    empty = firsts.where(F.size("w") == 0).select("id")  # two rows at most: a post and another
+    near = near.unionByName(empty.select(F.col("id").alias("u")).join(empty.select(F.col("id").alias("v"))).where("u < v").withColumn("similarity", F.lit(1.0)))
+    side = lambda name, k: firsts.select(F.col("id").alias(name), F.col("post").alias(f"p{k}"))
+    need = F.when(F.col("p1") & F.col("p2"), posts).otherwise(others)
+    similar = near.join(side("u", 1), "u").join(side("v", 2), "v").where(F.col("similarity") >= need).select("u", "v")
+    leaders = dedup.first_leaders(firsts.select("id"), similar)
+    return keyed.select("ord", "key").join(firsts.select("key", "id"), "key").join(leaders, "id").select("ord", F.col("leader").alias("component"))
 
 
 @dataclass
@@ -178,11 +191,14 @@ def pair_decision(a: dict[str, Column], b: dict[str, Column], threshold: Column)
 def by_topic(items: DataFrame) -> DataFrame:
     """items (ord, source, text, relevance_score) that are no repetition of another, with their topic and what was merged into them.
 
-    Pages below RELEVANT, or without a relevance, take no part; any two items of TOPICS or over are merged.
+    Pages below RELEVANT, or without a relevance, take no part. An item joins the first one before it that is as similar as TOPICS, by the
+    TF-IDF cosine weighed over all items.
     """
     known = items.where(~F.col("source").eqNullSafe("html") | (F.coalesce("relevance_score", F.lit(0.0)) >= RELEVANT))
     clean = known.withColumn("cleaned_text", normalize_for_topics(F.col("text")))
-    grouped = clean.join(semantic_groups(clean.select("ord", "source", F.col("cleaned_text").alias("text")), posts=TOPICS, others=TOPICS), "ord")
+    rows = clean.select("ord", ascii_terms(F.col("cleaned_text"), []).alias("w"))
+    near = joins.cosine_pairs(joins.tfidf_units([(rows, "ord", F.col("w"))])[0], None, TOPICS).select(F.col("left_id").alias("u"), F.col("right_id").alias("v"))
+    grouped = clean.join(dedup.first_leaders(rows.select(F.col("ord").alias("id")), near).select(F.col("id").alias("ord"), F.col("leader").alias("component")), "ord")
     merged = grouped.groupBy("component").agg(F.sort_array(F.collect_list("source")).alias("merged_from"))
     score = dedup.source_score(F.col("source"), F.col("relevance_score"), F.col("text"))
     best = grouped.withColumn("_s", score).withColumn("_rn", F.row_number().over(Window.partitionBy("component").orderBy(F.desc("_s"), "ord"))).where("_rn = 1").drop("_rn", "_s")
@@ -198,3 +214,12 @@ def table_census(spark: SparkSession) -> DataFrame:
 def column_census(spark: SparkSession) -> DataFrame:
     """table, column, type of the session's tables and views."""
     return spark.createDataFrame([(x.name, c.name, c.dataType) for x in spark.catalog.listTables() for c in spark.catalog.listColumns(x.name)], "table string, column string, type string")
+
+
+def store_info(spark: SparkSession, table: str, extension: str = "") -> DataFrame:
+    """version, extension, records of a stored table; one that can't be read is 'Error' with 0 records."""
+    try:
+        row = (spark.version, extension or "No instalado", spark.table(table).count())
+    except AnalysisException:
+        row = ("Error", "Error", 0)
+    return spark.createDataFrame([row], "version string, extension string, records long")

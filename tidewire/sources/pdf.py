@@ -8,6 +8,9 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidewire.functions.text import collapse
 
 from .schemas import BLOCKS
 
@@ -108,3 +111,18 @@ def read_blocks(files: DataFrame, parse: Callable[[bytes], list[tuple[int, int,
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in BLOCKS.split(", ")])
 
     return files.select("path", "content").mapInPandas(run, BLOCKS)
+
+
+def link_context(links: DataFrame, words: DataFrame, wide: float = 30.0, high: float = 10.0) -> DataFrame:
+    """links (file, Page, URL, Rect) plus Context: the words whose box meets the link's rectangle grown by wide and high, in reading order.
+
+    words: file, page, no (reading order), x0, y0, x1, y1, word, in the rectangles' coordinates, from the caller's PDF library. Links
+    meet the words of their own page alone; one without any has ''.
+    """
+    r, w = F.col("l.Rect"), lambda c: F.col(f"w.{c}")
+    meets = (w("x1") > r["x0"] - wide) & (w("x0") < r["x1"] + wide) & (w("y1") > r["y0"] - high) & (w("y0") < r["y1"] + high)
+    numbered = links.withColumn("_k", F.xxhash64("file", "Page", "URL", "Rect"))
+    met = numbered.alias("l").join(words.alias("w"), (F.col("l.file") == w("file")) & (F.col("l.Page") == w("page")) & meets)
+    lines = met.select("l._k", w("no").alias("no"), w("word").alias("word")).distinct().groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("no", "word"))).alias("ws"))
+    text = F.array_join(F.transform("ws", lambda x: x["word"]), " ")
+    return numbered.join(lines, "_k", "left").withColumn("Context", collapse(text)).drop("_k", "ws")

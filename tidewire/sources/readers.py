@@ -89,6 +89,12 @@ def read_binary(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame
     return df.withColumn("kind", file_kind(F.col("content"), F.col("path")))
 
 
+def landed(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
+    """A stream of files that land in a folder, each once: path, modificationTime, length, content. What an upload puts there is read by the next batch."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    return spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).load(folder)
+
+
 def file_kind(content: Column, path: Column) -> Column:
     """MIME type by first bytes, else by extension, else octet-stream."""
     head = F.hex(F.substring(content, 1, 12))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewire.functions.text import label_of, markdown_escape
 
@@ -88,3 +90,36 @@ def markdown_report(sections: DataFrame) -> DataFrame:
     per = sections.groupBy(order.alias("o"), head.alias("h")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "markdown"))), lambda x: x["markdown"]), "").alias("m"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "h", "m"))), lambda x: F.concat(x["h"], F.lit("\n\n"), x["m"])), "")
     return per.agg(F.concat(F.lit("# Informe de Noticias\n\n"), body).alias("markdown"))
+
+
+def write_progress(spark: SparkSession, path: str, progress: int, status: str = "processing") -> None:
+    """A run's progress as one small JSON file, replaced as a whole, in any file system of Spark's."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(conf).create(at, True)
+    try:
+        out.write(bytearray(json.dumps({"progress": progress, "status": status}).encode()))
+    finally:
+        out.close()
+
+
+def decoded_files(df: DataFrame, name: Column, encoded: Column) -> DataFrame:
+    """name, content, size of base64 texts, a page's capture as PDF among them; what is no base64 has null content."""
+    return df.select(name.alias("name"), F.try_to_binary(encoded, F.lit("base64")).alias("content")).withColumn("size", F.octet_length("content"))
+
+
+def converted_files(df: DataFrame, content: str, convert: Callable[[bytes], bytes]) -> DataFrame:
+    """df plus converted (bytes) and error: convert(content), the boundary to an image or PDF library, row by row; a failure is a row with its error."""
+    kind = T.StructType([T.StructField("converted", T.BinaryType()), T.StructField("error", T.StringType())])
+
+    @F.pandas_udf(kind)
+    def run(s: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x in s:
+            try:
+                rows.append((None if x is None else convert(x), None))
+            except Exception as e:
+                rows.append((None, f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(rows, columns=["converted", "error"])
+
+    return df.withColumn("_c", run(F.col(content))).select(*df.columns, "_c.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: How late a row may come; the batch rules have no notion of it.
@@ -83,3 +83,26 @@ def cache_hits(requests: DataFrame, key: str, ttl_seconds: int) -> DataFrame:
 def frames(batch_column: Column) -> Column:
     """A row's JSON frame."""
     return F.to_json(batch_column)
+
+
+class Progress(StreamingQueryListener):
+    """Tells report(event) how the session's streams go: a dict with query, batch, rows and status ('started', 'processing', 'done', 'failed').
+
+    The driver's own thread runs it, so a report should be short: a line to a socket or writers.write_progress().
+    """
+
+    def __init__(self, report: Callable[[dict], None]):
+        self.report = report
+
+    def onQueryStarted(self, event) -> None:
+        self.report({"query": event.name or str(event.id), "batch": -1, "rows": 0, "status": "started"})
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.report({"query": p.name or str(p.id), "batch": p.batchId, "rows": p.numInputRows, "status": "processing"})
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.report({"query": str(event.id), "batch": -1, "rows": 0, "status": "failed" if event.exception else "done"})
