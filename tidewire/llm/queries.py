@@ -118,6 +118,18 @@ r AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+_SQL4 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::VARCHAR[] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * k >= 90 * (x.n + y.n - k)),
+b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+r(id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT b.v, r.c FROM r JOIN b ON b.u = r.id WHERE r.c < b.v)
+SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(c) AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.id = d.doc_id GROUP BY d.doc_id
+"""
+
 _SQL5 = r"""
 WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 w AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS keep FROM p)
@@ -185,4 +197,4 @@ SELECT d.doc_id, coalesce(b.license, fl.license) AS license, coalesce(b.score, f
 FROM docs d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN fl ON fl.dir = d.dir
 """ % ", ".join("({}, '{}', '{}')".format(k, name, body.replace("'", "''")) for k, (name, body) in enumerate(license_scan.TEMPLATES))
 
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": _SQL1, "op2_mtree_topk": _SQL2, "op5_warc": _SQL5, "op7_substring_dedup": _SQL7, "op8_url_filter": _SQL8, "op9_line_dedup": _SQL9, "op10_license_scan": _SQL10}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": _SQL1, "op2_mtree_topk": _SQL2, "op4_ngram_jaccard": _SQL4, "op5_warc": _SQL5, "op7_substring_dedup": _SQL7, "op8_url_filter": _SQL8, "op9_line_dedup": _SQL9, "op10_license_scan": _SQL10}
