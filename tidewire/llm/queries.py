@@ -7,14 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, license_scan, warc_index
+from . import bpe_automaton, html_extraction, license_scan, warc_index
 from .decontaminate import build_index, contaminated, search
 from .line_dedup import drop_repeated_lines
 from .mtree_search import top_k
 from .ngram_join import jaccard_groups
+from .periodic_runs import collapse_runs
 from .quality import classify, fit
 from .substring_dedup import drop_repeated_passages
 from .url_filter import Rule, judge_urls
+from .whitening import whiten
 
 #: The rules that the URL query applies, as (verdict, host, path).
 URL_RULES = [Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/")]
@@ -81,6 +83,32 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(docs).select("doc_id", "license_scan.license", "license_scan.score", "license_scan.origin", "license_scan.directory")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_extraction.extract(_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where a tenth of the documents gets a tail that repeats, as the contract of operator 13 has it."""
+    words = docs.select("doc_id", "text", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("w"), F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    at = words.selectExpr("doc_id", "text", "w", "h", "size(w) as n", "h div 10 as g").selectExpr("*", "cast(g % n as int) as a")
+    at = at.selectExpr("*", "cast(1 + (n - a) div (3 + g % 8) as int) as p")
+    tail = F.expr("array_join(slice(concat(slice(w, 1, a), flatten(array_repeat(slice(w, a + 1, p), cast(1 + (n - a) div p as int)))), 1, n), ' ')")
+    return at.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), tail).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = collapse_runs(planted(_table(spark, sf_dir, "documents")))
+    lines = F.array_join(F.transform("periodic_runs.runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    runs = F.when(F.size("periodic_runs.runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    best = [f"periodic_runs.{c}" for c in ("n_runs", "start", "length", "period", "exponent_milli")]
+    return out.select("doc_id", *best, F.sha2(runs, 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_mtree_topk": op2_mtree_topk,
@@ -92,6 +120,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_line_dedup": op9_line_dedup,
     "op10_license_scan": op10_license_scan,
+    "op11_whitening": op11_whitening,
+    "op12_html": op12_html,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 _SQL1 = r"""
@@ -197,4 +228,35 @@ SELECT d.doc_id, coalesce(b.license, fl.license) AS license, coalesce(b.score, f
 FROM docs d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN fl ON fl.dir = d.dir
 """ % ", ".join("({}, '{}', '{}')".format(k, name, body.replace("'", "''")) for k, (name, body) in enumerate(license_scan.TEMPLATES))
 
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": _SQL1, "op2_mtree_topk": _SQL2, "op4_ngram_jaccard": _SQL4, "op5_warc": _SQL5, "op7_substring_dedup": _SQL7, "op8_url_filter": _SQL8, "op9_line_dedup": _SQL9, "op10_license_scan": _SQL10}
+_SQL12 = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') AS body FROM pages),
+b AS (SELECT page_id, url, list_transform(regexp_split_to_array(replace(body, '<br>', ' '), '</?(?:p|h1)>'), lambda x: trim(regexp_replace(
+  regexp_replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;?', '&', 'g'), '[\s\x0B\x{A0}]+', ' ', 'g'))) AS lines FROM a),
+t AS (SELECT page_id, url, coalesce(array_to_string(list_filter(lines, lambda x: x <> ''), chr(10)), '') AS text FROM b)
+SELECT page_id, url, text, length(text) AS n_chars FROM t
+"""
+
+_SQL13 = r"""
+WITH t AS (SELECT row_number() OVER () AS u, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+  xor(list_reduce([4294967295] || flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda acc, x: CASE WHEN x >= 0 THEN xor(acc, x::BIGINT) WHEN acc & 1 = 1 THEN xor(acc >> 1, 3988292384) ELSE acc >> 1 END), 4294967295) AS h FROM documents),
+g AS (SELECT *, (h // 10) % len(w) AS a, CASE WHEN h % 10 = 0 THEN 1 + (len(w) - (h // 10) % len(w)) // (3 + (h // 10) % 8) END AS p FROM t),
+x0 AS (SELECT u, p, a, unnest(w) AS word, unnest(generate_series(0, len(w) - 1)) AS i FROM g WHERE len(w) > 0),
+x AS (SELECT x0.u, x0.i, y.word FROM x0 JOIN x0 y ON y.u = x0.u AND y.i = CASE WHEN x0.p IS NULL OR x0.i < x0.a THEN x0.i ELSE x0.a + (x0.i - x0.a) % x0.p END),
+n AS (SELECT u, count(*) AS n FROM x GROUP BY u),
+l AS (SELECT u, n, q, greatest(24 - q, 2 * q) AS m FROM (SELECT u, n, unnest(generate_series(1, n // 3)) AS q FROM n WHERE n >= 24)),
+s AS (SELECT u, n, q, m, unnest(range(0, n - q, m // 4)) AS j FROM l),
+e AS (SELECT s.u, n, q, m, j FROM s JOIN x b ON b.u = s.u AND b.i = s.j JOIN x c ON c.u = s.u AND c.i = s.j + s.q WHERE b.word = c.word),
+c AS (SELECT DISTINCT e.u, e.n, e.q, e.m FROM e JOIN e f ON f.u = e.u AND f.q = e.q AND f.j = e.j + e.m // 4 JOIN e k ON k.u = e.u AND k.q = e.q AND k.j = e.j + 2 * (e.m // 4)),
+b AS (SELECT c.u, c.q, c.m, y.i FROM c JOIN x y ON y.u = c.u AND y.i < c.n - c.q JOIN x z ON z.u = c.u AND z.i = y.i + c.q WHERE y.word <> z.word
+  UNION ALL SELECT u, q, m, -1 FROM c UNION ALL SELECT u, q, m, n - q FROM c),
+r AS (SELECT u, start, length, min(q) AS period FROM (SELECT u, q, m, i + 1 AS start, lead(i) OVER (PARTITION BY u, q ORDER BY i) - i - 1 AS same FROM b) AS v, LATERAL (SELECT same + q AS length) WHERE same >= m GROUP BY ALL),
+o AS (SELECT u, count(*) AS n_runs, arg_max(struct_pack(start, length, period), struct_pack(e := length / period, s := -start, p := -period)) AS best,
+  string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs FROM r GROUP BY u),
+k AS (SELECT u, string_agg(word, ' ' ORDER BY i) AS kept FROM x WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.u = x.u AND x.i >= start + period AND x.i < start + length) GROUP BY u)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period, (1000 * best.length) // best.period AS exponent_milli,
+  sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN o USING (u) LEFT JOIN k USING (u)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": _SQL1, "op2_mtree_topk": _SQL2, "op4_ngram_jaccard": _SQL4, "op5_warc": _SQL5, "op7_substring_dedup": _SQL7, "op8_url_filter": _SQL8, "op9_line_dedup": _SQL9, "op10_license_scan": _SQL10, "op12_html": _SQL12, "op13_periodic_runs": _SQL13}
