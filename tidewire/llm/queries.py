@@ -95,7 +95,7 @@ def op12_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def planted(docs: DataFrame) -> DataFrame:
     """doc_id and text, where a tenth of the documents gets a tail that repeats, as the contract of operator 13 has it."""
     words = docs.select("doc_id", "text", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("w"), F.crc32(F.col("doc_id").cast("string")).alias("h"))
-    at = words.selectExpr("doc_id", "text", "w", "h", "size(w) as n", "h div 10 as g").selectExpr("*", "cast(g % n as int) as a")
+    at = words.selectExpr("doc_id", "text", "w", "h", "size(w) as n", "h div 10 as g").selectExpr("*", "cast(g % greatest(n, 1) as int) as a")
     at = at.selectExpr("*", "cast(1 + (n - a) div (3 + g % 8) as int) as p")
     tail = F.expr("array_join(slice(concat(slice(w, 1, a), flatten(array_repeat(slice(w, a + 1, p), cast(1 + (n - a) div p as int)))), 1, n), ' ')")
     return at.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), tail).otherwise(F.col("text")).alias("text"))
