@@ -1,4 +1,4 @@
-"""Chunkers: fixed token windows and sentence packing in plain expressions, recursive splitting as a UDF over whole texts."""
+"""Chunkers: fixed token windows in plain expressions, sentence packing and recursive splitting by vectorised UDFs over whole texts."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.functions.text import WS, strip_all, words
+from tidewire.functions.text import words
 
 
 def token_windows(df: DataFrame, text_col: str, size: int = 400, step: int = 350) -> DataFrame:
@@ -80,21 +80,8 @@ def _chunks(df: DataFrame, text_col: str, cut) -> DataFrame:
 
 
 def sentence_chunks(df: DataFrame, text_col: str, size: int = 512, overlap: int = 100) -> DataFrame:
-    """pack_sentences() in plain expressions: sentences are folded, one by one, into the chunks so far and the one being filled."""
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("now"))
-
-    def step(acc: Column, s: Column) -> Column:
-        now, w = acc["now"], words(acc["now"])
-        full = (now != "") & (F.char_length(now) + F.char_length(s) > size)
-        tail = F.array_join(F.slice(w, F.greatest(F.size(w) - (overlap // 5 - 1), F.lit(1)), overlap // 5), " ")
-        longer = F.when(now != "", F.concat(now, F.lit(" "), s)).otherwise(s)
-        return F.struct(F.when(full, F.concat(acc["out"], F.array(strip_all(now)))).otherwise(acc["out"]).alias("out"), F.when(full, F.concat(tail, F.lit(" "), s)).otherwise(longer).alias("now"))
-
-    finish = lambda acc: F.when(acc["now"] != "", F.concat(acc["out"], F.array(strip_all(acc["now"])))).otherwise(acc["out"])
-    packed = F.aggregate(F.split(t, f"(?<=[.!?]){WS}+", -1), start, step, finish)
-    cut = F.when(t == "", F.array().cast("array<string>")).when(F.char_length(t) <= size, F.array(t)).otherwise(packed)
-    return df.withColumn("_c", cut).select("*", F.size("_c").alias("total_chunks"), F.posexplode("_c").alias("chunk_index", "chunk")).drop("_c")
+    """pack_sentences() of each text: one pass over its sentences, as a fold in expressions would copy the chunks so far at each step."""
+    return _chunks(df, text_col, lambda t: pack_sentences(t, size, overlap))
 
 
 def recursive_chunks(df: DataFrame, text_col: str, size: int = 2000, overlap: int = 500) -> DataFrame:

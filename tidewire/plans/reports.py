@@ -150,8 +150,10 @@ def count_answer(context: DataFrame, question: str) -> DataFrame:
             found = found | F.lower("text").contains(key)
         hit = hit & F.when(event == name, found).otherwise(F.lit(True))
     rows = context.where(hit)
-    shown = F.struct("rank", F.concat(F.trim(F.left("text", F.lit(200))), F.lit("...")).alias("t"))
-    return rows.agg(event.alias("event"), F.count("*").alias("n"), questions.plural(event).alias("plural"), F.transform(F.slice(F.array_sort(F.collect_list(shown)), 1, 5), lambda x: x["t"]).alias("examples"))
+    # the first five alone are gathered: a top-k, whatever the number of rows
+    shown = rows.orderBy("rank").limit(5).select(F.struct("rank", F.concat(F.trim(F.left("text", F.lit(200))), F.lit("...")).alias("t")).alias("s"))
+    examples = shown.agg(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["t"]).alias("examples"))
+    return rows.agg(event.alias("event"), F.count("*").alias("n"), questions.plural(event).alias("plural")).join(F.broadcast(examples))
 
 
 def link_report(links: DataFrame, url: str, text: str, order: str, thresholds: dict | float = 0.85) -> dict[str, DataFrame]:
