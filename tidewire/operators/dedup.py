@@ -260,26 +260,64 @@ def components(edges: DataFrame) -> DataFrame:
     return of.join(of.groupBy("to").agg(F.min("id").alias("component")), "to").select("id", "component")
 
 
+#: Edges that one task of first_leaders() resolves at once, about.
+EDGES = 1 << 20
+
+
+def _greedy(u: list, v: list) -> set:
+    """The ends of edges (u < v) that join an earlier end, which joins none itself, going through them in order."""
+    out: set = set()
+    for a, b in sorted(zip(v, u, strict=True)):
+        if b not in out:
+            out.add(a)
+    return out
+
+
 def first_leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, leader: in the order of ids each node joins the first leader that it has an edge with, or becomes one itself.
 
-    nodes (id), edges (u < v) of similar pairs. Sequential by definition, yet worked out in rounds: a node all of whose earlier
-    neighbours are known to be no leaders is one, a node with an earlier leader is none. Each round is checkpointed.
+    nodes (id), edges (u < v) of similar pairs. Sequential by definition, but only within a connected component, and quick: up to EDGES edges
+    are gone through in order by one task. More are dealt to tasks by component, found by contraction in few rounds whatever the length
+    of a chain; a component of more than EDGES edges goes in ordered blocks of about so many, each with the leaders of those before.
     """
     checkpoints(nodes.sparkSession)
     pairs = edges.select("u", "v").distinct().checkpoint()
-    left = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct().checkpoint()
-    open_pairs, known = pairs, None
-    while not left.isEmpty():
-        waiting = open_pairs.select(F.col("v").alias("id")).distinct()
-        leaders = left.join(waiting, "id", "left_anti").checkpoint()
-        known = leaders if known is None else known.unionByName(leaders)
-        out = open_pairs.join(leaders.withColumnRenamed("id", "u"), "u", "left_semi").select(F.col("v").alias("id")).distinct().checkpoint()
-        gone = leaders.unionByName(out)
-        left = left.join(gone, "id", "left_anti").checkpoint()
-        open_pairs = open_pairs.join(gone.withColumnRenamed("id", "u"), "u", "left_anti").join(gone.withColumnRenamed("id", "v"), "v", "left_anti").checkpoint()
-    if known is None:
-        return nodes.select("id", F.col("id").alias("leader"))
-    joined = pairs.join(known.withColumnRenamed("id", "u"), "u").groupBy(F.col("v").alias("id")).agg(F.min("u").alias("leader"))
-    heads = known.withColumn("own", F.lit(True))
-    return nodes.join(joined, "id", "left").join(heads, "id", "left").select("id", F.when(F.col("own") | F.col("leader").isNull(), F.col("id")).otherwise(F.col("leader")).alias("leader"))
+    kind, total = pairs.schema["v"].dataType.simpleString(), pairs.count()
+
+    def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"id": sorted(_greedy(pdf["u"].tolist(), pdf["v"].tolist()))}, dtype=pdf["v"].dtype)
+
+    if total <= EDGES:
+        out = pairs.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(lambda pdf: resolve(pdf), f"id {kind}")
+    else:
+        of = components(pairs)
+        marked = pairs.join(of.select(F.col("id").alias("u"), "component"), "u").select("u", "v", "component").checkpoint()
+        large = marked.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > EDGES).select("component").checkpoint()
+        # small components are put together by hash, about EDGES / 4 edges to a task
+        small = marked.join(large, "component", "left_anti").withColumn("b", F.pmod(F.xxhash64("component"), F.lit(-(-total // EDGES) * 4)))
+        out = small.groupBy("b").applyInPandas(lambda pdf: resolve(pdf), f"id {kind}")
+        if not large.isEmpty():
+            out = out.unionByName(_in_blocks(marked.join(large, "component", "left_semi"), resolve, kind))
+    out = out.checkpoint()
+    heads = pairs.join(out.withColumnRenamed("id", "u"), "u", "left_anti")
+    joined = heads.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("leader"))
+    return nodes.join(joined, "id", "left").select("id", F.coalesce("leader", "id").alias("leader"))
+
+
+def _in_blocks(edges: DataFrame, resolve: Callable[[pd.DataFrame], pd.DataFrame], kind: str) -> DataFrame:
+    """id of the nodes that join an earlier leader, for edges of components of any size: ranges of v, one after another."""
+    n = max(1, -(-edges.count() // EDGES))
+    ranged = edges.select("u", "v").repartitionByRange(n, "v").withColumn("k", F.spark_partition_id()).checkpoint()
+    known: DataFrame | None = None
+    for k in range(n):
+        own = ranged.where(F.col("k") == k).select("u", "v")
+        inner = own.select("v").distinct()
+        # edges from earlier ranges: a leader there puts v out, any other says nothing
+        before = own.join(inner.withColumnRenamed("v", "u"), "u", "left_anti")
+        out = (before if known is None else before.join(known.withColumnRenamed("id", "u"), "u", "left_anti")).select(F.col("v").alias("id")).distinct().checkpoint()
+        left = own.join(inner.withColumnRenamed("v", "u"), "u", "left_semi")
+        left = left.join(out.withColumnRenamed("id", "u"), "u", "left_anti").join(out.withColumnRenamed("id", "v"), "v", "left_anti")
+        found = left.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(lambda pdf: resolve(pdf), f"id {kind}")
+        made = out.unionByName(found).checkpoint()
+        known = made if known is None else known.unionByName(made).checkpoint()
+    return known

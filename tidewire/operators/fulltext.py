@@ -1,8 +1,8 @@
 """Full-text search in Spanish over a written inverted index: stems with their positions, ranked by cover density.
 
 A text's words are runs of letters and digits in lower case, numbered from 0; stop words keep their number but are not indexed, others are
-as their stems. The index is a Parquet table of postings (bucket, stem, doc, at): a folder for each bucket of a stem's CRC-32 and,
-within it, ranges of (stem, doc), so a search reads the row groups of its own stems alone and a stem that stands in every document lies in many files.
+as their stems. The index is a Parquet table of postings (bucket, stem, doc, at): a folder for each bucket of a stem's CRC-32, its files
+sorted by stem, so a search reads the row groups of its own stems alone, and dealt out by document, so a stem that stands in every one lies in many files.
 Days are appended as they come.
 
 A document matches if it holds all stems of the query. Its rank is the sum over its covers, the shortest stretches that hold all stems, of
@@ -25,31 +25,49 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.stemming import STOP_WORDS, Stems
 
+from .joins import spread
+
 #: Fixed value: what an occurrence counts.
 WEIGHT = 0.1
 #: Folders of an index. More make a search read less and a small index have more files.
 BUCKETS = 32
 
+#: Postings that leave a Python worker together.
+ROWS = 50_000
+
 _WORD = re.compile(r"[^\W_]+")
 
 
 def postings(df: DataFrame, id_col: str, text_col: str, stop: Iterable[str] = STOP_WORDS) -> DataFrame:
     """doc, stem, at (array<int>, rising) of each row's text, in one pass without a shuffle."""
     own = frozenset(stop)
-    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).alias("t"))
+    rows = spread(df.where(F.col(id_col).isNotNull())).select(F.col(id_col).alias("doc"), F.col(text_col).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Stems(own)
         for batch in batches:
+            docs: list[int] = []
+            stems: list[str] = []
+            at: list[list[int]] = []
+
+            def full(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                out = pa.record_batch([batch.column("doc").take(pa.array(docs, pa.int32())), pa.array(stems, pa.string()), pa.array(at, pa.list_(pa.int32()))], names=["doc", "stem", "at"])
+                for held in (docs, stems, at):
+                    held.clear()
+                return out
+
             for k, text in enumerate(batch.column("t").to_pylist()):
                 places: dict[str, list[int]] = {}
                 for i, word in enumerate(_WORD.findall((text or "").lower())):
-                    s = known[word]
-                    if s:
+                    if s := known[word]:
                         places.setdefault(s, []).append(i)
-                if places:
-                    docs = batch.column("doc").take(pa.array([k] * len(places)))
-                    yield pa.record_batch([docs, pa.array(list(places), pa.string()), pa.array(list(places.values()), pa.list_(pa.int32()))], names=["doc", "stem", "at"])
+                docs.extend([k] * len(places))
+                stems.extend(places)
+                at.extend(places.values())
+                if len(docs) >= ROWS:
+                    yield full()
+            if docs:
+                yield full()
 
     kind = df.schema[id_col].dataType.simpleString()
     return rows.mapInArrow(run, f"doc {kind}, stem string, at array<int>")
@@ -62,9 +80,10 @@ def bucket_of(stem: str, buckets: int) -> int:
 def write_index(df: DataFrame, id_col: str, text_col: str, path: str, stop: Iterable[str] = STOP_WORDS, buckets: int = BUCKETS, append: bool = False) -> str:
     """Writes, or appends to, the index of df's texts; gives its path."""
     rows = postings(df, id_col, text_col, stop).withColumn("bucket", (F.crc32("stem") % buckets).cast("int"))
-    # ranges by stem and document: a frequent stem spreads over tasks and files, a file holds few stems
-    ranged = rows.repartitionByRange("bucket", "stem", "doc").sortWithinPartitions("bucket", "stem", "doc")
-    ranged.write.mode("append" if append else "overwrite").partitionBy("bucket").parquet(path)
+    # a bucket's postings are dealt out by document, so those of a frequent stem spread over tasks and files like any others
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(tasks, "bucket", F.pmod(F.xxhash64("doc"), F.lit(-(-tasks // buckets))))
+    dealt.sortWithinPartitions("bucket", "stem", "doc").write.mode("append" if append else "overwrite").partitionBy("bucket").parquet(path)
     return path
 
 

@@ -492,19 +492,3 @@ o AS (SELECT doc_id, i, 0 AS k, done AS chunk FROM r WHERE done IS NOT NULL UNIO
 SELECT o.doc_id, (row_number() OVER (PARTITION BY o.doc_id ORDER BY o.i, o.k) - 1)::INTEGER AS chunk_index, CASE WHEN length(s.text) > 512 THEN regexp_replace(o.chunk, '^{WS}+|{WS}+$', '', 'g') ELSE o.chunk END AS chunk FROM o JOIN s USING (doc_id)"""
 catalog.ORACLE["chunk_sentences"] = SENTENCES_SQL
 catalog.ORACLE["intent_router"] = INTENT_SQL
-
-#: Similar pairs by the cosine fitted to the two texts, and the greedy choice of leaders in order.
-GROUPS_SQL = f"""WITH RECURSIVE d AS (SELECT doc_id AS id, coalesce(source, '') = 'src1' AS post, {_terms('documents')} AS w FROM documents), f AS (SELECT id, term, count(*) AS c FROM (SELECT id, unnest(w) AS term FROM d) GROUP BY ALL),
-k AS (SELECT id, sum(c * c) AS own FROM f GROUP BY id), s AS (SELECT a.id AS u, b.id AS v, sum(a.c * b.c) AS dot, sum(a.c * a.c) AS x, sum(b.c * b.c) AS y FROM f a JOIN f b ON a.term = b.term AND a.id < b.id GROUP BY a.id, b.id),
-p AS (SELECT u, v, dot / (sqrt(x + (ku.own - x) * (ln(1.5) + 1) ** 2) * sqrt(y + (kv.own - y) * (ln(1.5) + 1) ** 2)) AS sim FROM s JOIN k ku ON ku.id = u JOIN k kv ON kv.id = v UNION ALL SELECT a.id, b.id, 1.0 FROM d a JOIN d b ON a.id < b.id AND len(a.w) = 0 AND len(b.w) = 0),
-e AS (SELECT u, v FROM p JOIN d a ON a.id = u JOIN d b ON b.id = v WHERE round(sim, 6) >= CASE WHEN a.post AND b.post THEN 0.85 ELSE 0.7 END),
-n AS (SELECT id, row_number() OVER (ORDER BY id) AS i, coalesce(list(u) FILTER (WHERE u IS NOT NULL), []) AS before FROM d LEFT JOIN e ON v = id GROUP BY id),
-r(i, leaders) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT n.i, CASE WHEN len(list_intersect(n.before, r.leaders)) = 0 THEN list_append(r.leaders, n.id) ELSE r.leaders END FROM r JOIN n ON n.i = r.i + 1),
-z AS (SELECT leaders FROM r ORDER BY i DESC LIMIT 1) SELECT id AS ord, coalesce(list_min(list_intersect(before, leaders)), id) AS component FROM n, z"""
-
-
-@query(GROUPS_SQL)
-def semantic_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Over all documents, one source standing for the posts."""
-    kind = F.when(F.coalesce("source", F.lit("")) == "src1", "facebook").otherwise("pdf")
-    return reports.semantic_groups(t(spark, d, "documents").select(c("doc_id").alias("ord"), kind.alias("source"), "text"))

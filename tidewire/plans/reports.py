@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewire.functions import questions, similarity, urls
+from tidewire.functions import questions, similarity, stemming, urls
 from tidewire.functions.dates import from_ddmmyyyy, question_date
 from tidewire.functions.text import ascii_terms, normalize_for_topics, whitespace_lower
 from tidewire.operators import dashboard, dedup, joins, retrieval, upsert
@@ -33,16 +33,20 @@ def nearest_day(points: DataFrame, day_number: str, day: str, first: Column, las
     return points.where(number.between(F.date_format(first, "yyyyMMdd").cast("int"), F.date_format(last, "yyyyMMdd").cast("int")))
 
 
-def semantic_groups(texts: DataFrame, order: str = "ord", posts: float = POSTS, others: float = OTHERS, stop: list[str] | None = None, stem: Callable[[Column], Column] | None = None) -> DataFrame:
+def stemmed_terms(text: Column) -> Column:
+    """The stems of a text's lower-case words, without ASCII punctuation and stop words."""
+    return stemming.stems(ascii_terms(text, []))
+
+
+def semantic_groups(texts: DataFrame, order: str = "ord", posts: float = POSTS, others: float = OTHERS, terms: Callable[[Column], Column] = stemmed_terms) -> DataFrame:
     """ord, component of texts (ord, source, text) that say the same: each text joins the first one before it, in order, that opened a
     group and is similar to it, or opens one itself; component is the ord of the one that opened it.
 
     Similarity is the TF-IDF cosine fitted to the two texts alone, see joins.pair_fitted(); two posts need posts, other pairs others.
     Texts without terms are similar to each other. Texts with equal terms count once.
-    stop: words left out; stem: a column function over array<string>, from the caller.
+    terms: what of a text is compared, by default the stems of its words without punctuation and stop words.
     """
-    words = ascii_terms(F.col("text"), stop or [])
-    rows = texts.select(F.col(order).alias("ord"), (F.coalesce("source", F.lit("")) == "facebook").alias("post"), (stem(words) if stem else words).alias("w"))
+    rows = texts.select(F.col(order).alias("ord"), (F.coalesce("source", F.lit("")) == "facebook").alias("post"), terms(F.col("text")).alias("w"))
     # texts with equal terms and of one kind fare alike: the first stands for them
     key = F.struct("post", F.xxhash64(F.lit(1), "w").alias("a"), F.xxhash64(F.lit(2), "w").alias("b"))
     keyed = rows.withColumn("key", key)
