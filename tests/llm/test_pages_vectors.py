@@ -44,6 +44,37 @@ def test_automaton_against_fnmatch():
         assert k == (min(fits, key=lambda i: (-size(i), i)) if fits else -1)
 
 
+@pytest.mark.parametrize("words", [1, 4, 256])
+def test_machines_against_fnmatch(monkeypatch, words):
+    """Rules in many machines, URLs in small slices: the same winners as rule by rule."""
+    monkeypatch.setattr(url_filter, "MACHINE_WORDS", words)
+    monkeypatch.setattr(url_filter, "STATE_BYTES", 256)
+    r = random.Random(words)
+    glob = lambda n: "".join(r.choice("ab.*?") for _ in range(n))
+    rules = [url_filter.Rule("block", glob(r.randint(0, 5)), "/" + glob(r.randint(0, 4))) for _ in range(150)]
+    hosts = ["".join(r.choice("ab.") for _ in range(r.randint(0, 7))) for _ in range(300)]
+    paths = ["/" * r.randint(0, 1) + "".join(r.choice("ab.") for _ in range(r.randint(0, 5))) for _ in range(300)]
+    machines = url_filter.Machines.of(rules)
+    size = lambda i: sum(s is not None and s != "*" for s in rules[i].symbols())
+    for h, p, k in zip(hosts, paths, machines.winners(hosts, paths).tolist(), strict=True):
+        fits = [i for i, x in enumerate(rules) if fnmatch.fnmatchcase("." + h, "*." + x.host) and fnmatch.fnmatchcase(p, x.path + "*")]
+        assert k == (min(fits, key=lambda i: (-size(i), i)) if fits else -1)
+    assert url_filter.Machines.of([]).winners(["a.b"], ["/"]).tolist() == [-1]
+
+
+def test_twenty_thousand_rules_in_bounded_memory():
+    import tracemalloc
+
+    rules = [url_filter.Rule("block", f"site{i}.{'com' if i % 2 else 'example'}", f"/p{i % 7}/") for i in range(20_000)]
+    tracemalloc.start()
+    machines = url_filter.Machines.of(rules)
+    hosts = [f"www.site{i}.{'com' if i % 2 else 'example'}" for i in range(0, 2000)]
+    won = machines.winners(hosts, [f"/p{i % 7}/x" for i in range(2000)]).tolist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert won == list(range(2000)) and peak < 400 << 20
+
+
 def test_warc(spark, monkeypatch):
     monkeypatch.setattr(warc_index, "BLOCK_LINES", 3)
     big, other = "é" * 700, "x" * 1000
@@ -316,3 +347,12 @@ def test_quality_cases(spark, docs, none):
     assert quality.classify(none, scorer).count() == 0 and quality.classify(docs, scorer).where("quality_model.keep").count() == docs.count()
     out = quality.classify(docs.withColumn("quality_model", docs["doc_id"]), quality.fit(docs)[1])
     assert out.columns == [*docs.columns, "quality_model"] and out.where("quality_model.score is null").count() == 0
+
+
+def test_vectors_without_components(spark):
+    """Empty vectors hold no null and no infinite component, so they take part: each meets the others with score 0."""
+    rows = [(0, [1.0, 2.0]), (50, []), (3, []), (7, []), (100, [0.5, 1.0]), (150, [])]
+    got = sorted(tuple(r) for r in mtree_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    score = lambda a, b: sum(int(256 * x // 1) * int(256 * y // 1) for x, y in zip(a, b, strict=True))
+    want = [(0, 1, 100, score([1, 2], [0.5, 1])), (50, 1, 3, 0), (50, 2, 7, 0), (50, 3, 150, 0), (100, 1, 0, score([1, 2], [0.5, 1])), (150, 1, 3, 0), (150, 2, 7, 0), (150, 3, 50, 0)]
+    assert got == want

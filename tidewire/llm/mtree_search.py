@@ -21,7 +21,7 @@ among the k best is scored in whole integers.
 
 Cases: a null vector, or one with a null, NaN or infinite component, or whose scaled component is infinite, takes no part, nor does a
 null id; rows that share an id are rows of their own: each is a candidate, and a query if the id says so, and only the very row is left
-out of its own candidates; vectors meet those of their own dimension only; ties go to the smaller id; fewer than k candidates give
+out of its own candidates; vectors meet those of their own dimension only, empty ones each other, with score 0; ties go to the smaller id; fewer than k candidates give
 fewer rows; a score beyond 64 bits ranks and shows as the nearest 64-bit integer. Further columns don't take part.
 """
 
@@ -216,7 +216,8 @@ class Tree:
         t, dim = cls.__new__(cls), space.dim
         nodes = np.frombuffer(r["nodes"], np.int64).reshape(-1, 3)
         t.space, t.spans, t.leaf = space, [(a, b) for a, b, _ in nodes.tolist()], [bool(x) for x in nodes[:, 2]]
-        t.ids, t.uids, t.x = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["uids"], np.int64), np.frombuffer(r["x"]).reshape(-1, dim)
+        t.ids, t.uids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["uids"], np.int64)
+        t.x = np.frombuffer(r["x"]).reshape(len(t.ids), dim)
         t.child, t.radius, t.parent = np.frombuffer(r["child"], np.int64), np.frombuffer(r["radius"]), np.frombuffer(r["parent"])
         t.routers = np.zeros((len(t.child), dim + 1))
         t.routers[np.frombuffer(r["inner"], np.int64)] = np.frombuffer(r["routers"]).reshape(-1, dim + 1)
@@ -311,7 +312,8 @@ def _one_dimension(rows: DataFrame, n: int, space: Space, every: int) -> DataFra
             for i in range(batch.num_rows):
                 r = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
                 tree = Tree.from_row(r, space)
-                uids, ids, q, floor = np.frombuffer(r["quids"], np.int64), np.frombuffer(r["qids"], np.int64), np.frombuffer(r["q"]).reshape(-1, dim), np.frombuffer(r["floor"])
+                uids, ids, floor = np.frombuffer(r["quids"], np.int64), np.frombuffer(r["qids"], np.int64), np.frombuffer(r["floor"])
+                q = np.frombuffer(r["q"]).reshape(len(ids), dim)
                 found = [tree.best(q[j], own, float(floor[j])) for j, own in enumerate(uids.tolist())]
                 yield pa.record_batch(
                     [pa.array([r["block"]] * len(uids), pa.int32()), pa.array(uids), pa.array(ids), pa.array([x.tobytes() for x in q], pa.binary()), pa.array([f for _, f in found], pa.float64()), pa.array([_hits(h) for h, _ in found], _HITS)],
@@ -335,7 +337,8 @@ def _one_dimension(rows: DataFrame, n: int, space: Space, every: int) -> DataFra
             for i in range(batch.num_rows):
                 r = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
                 blocks_, centers, reaches = np.frombuffer(r["blocks"], np.int32), np.frombuffer(r["centers"]).reshape(-1, dim + 1), np.frombuffer(r["reaches"])
-                homes, uids, ids, q, floor = np.frombuffer(r["homes"], np.int32), np.frombuffer(r["quids"], np.int64), np.frombuffer(r["qids"], np.int64), np.frombuffer(r["q"]).reshape(-1, dim), np.frombuffer(r["floor"])
+                homes, uids, ids, floor = np.frombuffer(r["homes"], np.int32), np.frombuffer(r["quids"], np.int64), np.frombuffer(r["qids"], np.int64), np.frombuffer(r["floor"])
+                q = np.frombuffer(r["q"]).reshape(len(ids), dim)
                 scaled = q * space.scale
                 q2 = (scaled * scaled).sum(axis=1)
                 bound = space.reach(q2, floor)

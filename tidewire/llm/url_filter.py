@@ -8,14 +8,18 @@ other than `*` owns m + 1 consecutive bits, its states; all rules' bits are pack
 with the carry from word to word, B[c] the states that c leads into and S the states where a `*` loops. A rule matches if its last
 state is set at the end. A batch of URLs is stepped together, one column of symbols at a time, so numpy does all rules of all URLs
 of the batch per step; columns are laid out COLUMNS at a time for the URLs that are that long, and the last few, very long ones go
-on alone as whole integers. Memory is so many bytes per symbol of the batch, whatever the longest URL.
+on alone as whole integers.
+
+Rules of any number are packed into machines of about MACHINE_WORDS words each, put together by the last label of their hosts; a URL goes
+through the machines that hold rules for its own label, or for any. URLs are stepped in slices of STATE_BYTES of states at most, so
+memory is that, besides some bytes per symbol of a batch and the masks, whatever the number of rules or the longest URL.
 
 The canonical URL of the host rules is "." + host + END + path: END is a symbol that no URL can hold, so `*` can't slip from the
 host into the path, and the leading dot makes `*.net` fit the domain itself and its subdomains alike.
 
 Cases: a null URL, or one without "://", has empty host and path and fits no rule; of the rules that fit, the one with most
-literal symbols wins, ties to the first given; no rule: verdict default. No shuffle, no state between rows. Compiled rules are part of the
-task, and compile() checks their size against MAX_BYTES.
+literal symbols wins, ties to the first given; no rule: verdict default. No shuffle, no state between rows. Compiled rules go to executors as a
+broadcast, whose size is that of the rules given: a few hundred bytes for each.
 """
 
 from __future__ import annotations
@@ -32,8 +36,8 @@ from .common import ascii_lower, ship
 
 #: The symbol between host and path; beyond every code point.
 END = 0x110000
-#: Bound of the compiled masks that travel with a task.
-MAX_BYTES = 256 << 20
+#: Words of a machine's masks, about, and bytes of the states of URLs that are stepped together, at most.
+MACHINE_WORDS, STATE_BYTES = 256, 32 << 20
 #: Columns of symbols that are laid out at a time, and the number of URLs left from which each goes on alone.
 COLUMNS, FEW = 512, 8
 
@@ -114,14 +118,12 @@ class Automaton:
 
 
 def compile_rules(rules: list[Rule]) -> Automaton:
-    """Masks for rules; a ValueError if they would be larger than MAX_BYTES."""
+    """Masks for rules, all in one machine."""
     parsed = [r.symbols() for r in rules]
     points = sorted({s for p in parsed for s in p if isinstance(s, int)})
     classes = {c: i + 1 for i, c in enumerate(points)}
     states = sum(sum(s != "*" for s in p) + 1 for p in parsed)
     words = max(1, -(-states // 64))
-    if (len(points) + 3) * words * 8 > MAX_BYTES:
-        raise ValueError(f"{len(rules)} rules need more than {MAX_BYTES} bytes of masks")
     bits = {k: np.zeros(words, dtype=np.uint64) for k in ("first", "loops")}
     into = np.zeros((len(points) + 1, words), dtype=np.uint64)
     finals, at = [], 0
@@ -142,19 +144,61 @@ def compile_rules(rules: list[Rule]) -> Automaton:
     return Automaton([r.name for r in rules], [r.verdict for r in rules], order, bits["first"], bits["loops"], np.array(finals, dtype=np.int64), into, classes)
 
 
+@dataclass
+class Machines:
+    """Rules of any number, as machines of bounded size; each with the numbers of its rules, and the last label of host that it serves (None: any)."""
+
+    machines: list[tuple[str | None, np.ndarray, Automaton]]
+    rank: np.ndarray  # of each rule, the strongest first
+
+    @classmethod
+    def of(cls, rules: list[Rule]) -> Machines:
+        # a rule that leaves its last label open may fit any host
+        label = lambda r: None if set("*?") & set(r.host.rpartition(".")[2]) else r.host.rpartition(".")[2]
+        bits = lambda r: sum(s != "*" for s in r.symbols()) + 1
+        machines, held, size = [], [], 0
+        by_label = sorted(range(len(rules)), key=lambda i: (label(rules[i]) is not None, label(rules[i]) or "", i))
+        for at, i in enumerate(by_label):
+            held.append(i)
+            size += bits(rules[i])
+            last = at + 1 == len(by_label) or label(rules[by_label[at + 1]]) != label(rules[i])
+            if last or size >= 64 * MACHINE_WORDS:
+                machines.append((label(rules[i]), np.array(held, dtype=np.int64), compile_rules([rules[k] for k in held])))
+                held, size = [], 0
+        strength = lambda i: (-sum(s is not None and s != "*" for s in rules[i].symbols()), i)
+        rank = np.empty(len(rules), dtype=np.int64)
+        rank[sorted(range(len(rules)), key=strength)] = np.arange(len(rules))
+        return cls(machines, rank)
+
+    def winners(self, hosts: list[str], paths: list[str]) -> np.ndarray:
+        """For each URL the number of the winning rule, or -1."""
+        end = chr(0x10FFFF)  # stands for END inside Python's strings; host and path are cleared of it first
+        texts = ["." + h.replace(end, "\ufffd") + end + p.replace(end, "\ufffd") for h, p in zip(hosts, paths, strict=True)]
+        labels = np.array([h.rpartition(".")[2] for h in hosts], dtype=object)
+        best = np.full(len(texts), len(self.rank), dtype=np.int64)
+        for label, numbers, machine in self.machines:
+            inner = Automaton(**{**machine.__dict__, "classes": {**machine.classes, ord(end): machine.classes.get(END, 0)}})
+            at = np.arange(len(texts)) if label is None else np.flatnonzero(labels == label)
+            step = max(1, STATE_BYTES // (8 * len(machine.first)))
+            for s in range(0, len(at), step):
+                some = at[s : s + step]
+                won = inner.step_all([texts[i] for i in some.tolist()])
+                best[some] = np.minimum(best[some], np.where(won >= 0, self.rank[numbers[won]], len(self.rank)))
+        of = np.append(np.argsort(self.rank), -1)
+        return of[best]
+
+
 def judge_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", default: str = "allow") -> DataFrame:
     """pages plus url_filter: struct<host, path, rule, verdict>; see the module's docstring."""
     ship(pages.sparkSession)
-    machine = compile_rules(rules)
-    end = chr(0x10FFFF)  # stands for END inside Python's strings; host and path are cleared of it first
+    shared = pages.sparkSession.sparkContext.broadcast((Machines.of(rules), [r.name for r in rules], [r.verdict for r in rules]))
 
     @F.pandas_udf("rule string, verdict string")
     def judged(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        inner = Automaton(**{**machine.__dict__, "classes": {**machine.classes, ord(end): machine.classes.get(END, 0)}})
+        machines, names, verdicts = shared.value
         for host, path in batches:
-            texts = ["." + h.replace(end, "�") + end + p.replace(end, "�") if h is not None else "" for h, p in zip(host, path, strict=True)]
-            won = inner.step_all(texts)
-            yield pd.DataFrame({"rule": [inner.names[k] if k >= 0 else None for k in won], "verdict": [inner.verdicts[k] if k >= 0 else default for k in won]})
+            won = machines.winners(host.fillna("").tolist(), path.fillna("").tolist()).tolist()
+            yield pd.DataFrame({"rule": [names[k] if k >= 0 else None for k in won], "verdict": [verdicts[k] if k >= 0 else default for k in won]})
 
     url = F.col(f"page.`{url_col}`")
     rest = F.when(F.instr(url, "://") > 0, F.substr(url, F.instr(url, "://") + 3)).otherwise(F.lit(""))
