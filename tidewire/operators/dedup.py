@@ -8,6 +8,7 @@ ordered chunks with the same result. Its work grows with rows x leaders; the che
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -15,10 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.similarity import RATIO_CHARS, block_ratio_of
-from tidewire.functions.text import char_ngrams
 from tidewire.functions.urls import netloc, signature
 
-from .joins import checkpoints, jaccard_pairs
+from .joins import checkpoints, gram_pairs
 
 
 def keep_first(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
@@ -61,26 +61,44 @@ def source_score(source: Column, relevance: Column, text: Column) -> Column:
     return base + F.when(n.between(100, 1000), 3.0).when(n > 1000, 2.0).otherwise(1.0)
 
 
-def signature_pairs(df: DataFrame, url_col: str, text_col: str, order: str, threshold: float = 0.85, compat_cap: int | None = None) -> DataFrame:
-    """Pairs (first, second, url, other, similarity) of rows with one host and one URL signature whose character 3-grams overlap enough.
+@dataclass
+class SignaturePairs:
+    """Similar rows of one host and URL signature: members (id, first: the smallest id of those with the same text, copies: their number)
+    and pairs (first, second, similarity) of different texts by their smallest ids."""
 
-    Equal texts overlap wholly however short. Rows meet in rare 3-grams (64-bit hashes), see joins.jaccard_pairs(). compat_cap keeps so
+    members: DataFrame
+    pairs: DataFrame
+
+    def links(self) -> DataFrame:
+        """id, first, n_links: how many other rows each is similar to, copies included."""
+        size = self.members.groupBy("first").agg(F.first("copies").alias("copies"))
+        ends = self.pairs.select(F.inline(F.array(F.struct(F.col("first").alias("a"), F.col("second").alias("b")), F.struct(F.col("second").alias("a"), F.col("first").alias("b")))))
+        others = ends.join(size.withColumnRenamed("first", "b"), "b").groupBy(F.col("a").alias("first")).agg(F.sum("copies").alias("others"))
+        return self.members.join(others, "first", "left").select("id", "first", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+
+
+def signature_pairs(df: DataFrame, url_col: str, text_col: str, order: str, threshold: float = 0.85, compat_cap: int | None = None) -> SignaturePairs:
+    """The rows of one host and one URL signature whose character 3-grams overlap enough, see joins.gram_pairs(). Rows without a host don't take part.
+
+    Equal texts are similar wholly, however short, and are not expanded into pairs: a group of copies is one row there. compat_cap keeps so
     many rows of each host before, as the older rule did.
     """
-    rows = df.select(F.col(order).alias("id"), F.col(url_col).alias("url"), F.col(text_col).alias("text"), netloc(F.col(url_col)).alias("host"), signature(F.col(url_col)).alias("sig")).where("host != ''")
+    rows = df.select(F.col(order).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), netloc(F.col(url_col)).alias("host"), signature(F.col(url_col)).alias("sig")).where("host != ''")
     if compat_cap is not None:
         w = Window.partitionBy("host").orderBy("id")
         rows = rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= compat_cap).drop("_rn")
-    # only rows that meet another are cut into n-grams
-    several = rows.groupBy("host", "sig").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    rows = rows.join(several, ["host", "sig"])
-    sets = rows.select("id", "host", "sig", F.transform(char_ngrams(F.col("text")), lambda g: F.xxhash64(g)).alias("grams"))
-    near = jaccard_pairs(sets, ["host", "sig"], threshold)
-    short = rows.where((F.char_length("text") < 3) & (threshold <= 1)).select("id", "host", "sig", "text")
-    equal = short.withColumnRenamed("id", "first").join(short.withColumnRenamed("id", "second"), ["host", "sig", "text"]).where("first < second").select("first", "second", F.lit(1.0).alias("similarity"))
-    named = rows.select("id", "url")
-    pairs = near.unionByName(equal).join(named.select(F.col("id").alias("first"), "url"), "first").join(named.select(F.col("id").alias("second"), F.col("url").alias("other")), "second")
-    return pairs.select("first", "second", "url", "other", "similarity")
+    keyed = rows.select("id", "text", F.xxhash64("host", "sig").alias("block"), F.struct("host", "sig").alias("place"), F.struct(F.xxhash64("host", "sig", "text").alias("a"), F.xxhash64(F.lit(7), "text", "sig", "host").alias("b")).alias("key"))
+    groups = keyed.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("block").alias("block"))
+    members = keyed.select("id", "key").join(groups.select("key", "first", "copies"), "key").select("id", "first", "copies")
+    # only texts that meet another one are cut into n-grams
+    several = groups.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block")
+    firsts = groups.join(several, "block", "left_semi").select(F.col("first").alias("id"))
+    met = keyed.join(firsts, "id", "left_semi")
+    near = gram_pairs(met.select("id", "block", "text"), threshold)
+    # a block is known by its hash: pairs are of one host and signature only if these are equal
+    place = lambda c: keyed.select(F.col("id").alias(c), F.col("place").alias(f"p_{c}"))
+    pairs = near.join(place("first"), "first").join(place("second"), "second").where("p_first = p_second").select("first", "second", "similarity")
+    return SignaturePairs(members, pairs)
 
 
 #: Rows of a block that leader clustering takes into one task; a larger block goes in chunks of CHUNK rows, each met with leaders in PIECES parts.

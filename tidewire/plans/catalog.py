@@ -320,12 +320,16 @@ def exact_dedup_keep_last(spark: SparkSession, d: str) -> DataFrame:
     return dedup.keep_last_in_place(t(spark, d, "documents").withColumn("k", dedup.text_key(c("text"))), "k", "doc_id").select("doc_id", "first_at")
 
 
-@query(f"""WITH {URLS}, s AS (SELECT page_id, netloc, html, array_to_string(list_concat([netloc], list_transform(list_filter(string_split(path, '/'), lambda p: p <> ''), lambda p: regexp_replace(p, '\\p{{Nd}}+', 'N', 'g'))), ':') AS sig FROM x WHERE netloc <> ''),
-g AS (SELECT page_id, netloc, sig, html, list_distinct(list_transform(generate_series(1, greatest(length(html) - 2, 0)), lambda i: substring(html, i, 3))) AS g FROM s),
-p AS (SELECT a.page_id AS first, b.page_id AS second, CASE WHEN a.html = b.html THEN 1.0 ELSE len(list_intersect(a.g, b.g))::DOUBLE / len(list_distinct(list_concat(a.g, b.g))) END AS similarity FROM g a JOIN g b ON a.netloc = b.netloc AND a.sig = b.sig AND a.page_id < b.page_id)
-SELECT first, second, round(similarity, 6) AS similarity FROM p WHERE similarity >= 0.85""")
+@query("""WITH s AS (SELECT doc_id, coalesce(source, '') || ':' || coalesce(lang, '') AS sig, coalesce(text, '') AS text FROM documents),
+g AS (SELECT doc_id, sig, text, list_distinct(list_transform(generate_series(1, greatest(length(text) - 2, 0)), lambda i: substring(text, i, 3))) AS g FROM s),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, CASE WHEN a.text = b.text THEN 1.0 WHEN least(len(a.g), len(b.g)) < 0.85 * greatest(len(a.g), len(b.g)) OR len(a.g) * len(b.g) = 0 THEN 0.0 ELSE len(list_intersect(a.g, b.g))::DOUBLE / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) END AS similarity FROM g a JOIN g b ON a.sig = b.sig AND a.doc_id < b.doc_id),
+e AS (SELECT u, v FROM p WHERE similarity >= 0.85), n AS (SELECT id, count(*) AS n FROM (SELECT u AS id FROM e UNION ALL SELECT v FROM e) GROUP BY id)
+SELECT s.doc_id, min(s.doc_id) OVER (PARTITION BY s.sig, s.text) AS first, coalesce(n.n, 0)::BIGINT AS n_links FROM s LEFT JOIN n ON n.id = s.doc_id""")
 def signature_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.signature_pairs(t(spark, d, "pages"), "url", "html", "page_id").select("first", "second", F.round("similarity", 6).alias("similarity"))
+    """Documents under an address of their source and language: those of one signature that overlap in 3-grams."""
+    address = F.concat(F.lit("https://"), F.coalesce("source", F.lit("")), F.lit(".example.org/"), F.coalesce("lang", F.lit("")), F.lit("/"), c("doc_id").cast("string"))
+    rows = t(spark, d, "documents").select("doc_id", address.alias("url"), "text")
+    return dedup.signature_pairs(rows, "url", "text", "doc_id").links().select(c("id").alias("doc_id"), "first", "n_links")
 
 
 @query()
