@@ -211,6 +211,40 @@ def test_license_texts_are_told_apart(spark):
     assert got == {f"{name}/{f}": name for name in full for f in ("LICENSE", "src/x.py")}
 
 
+_NOTICE = "This {what} is free software; you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation; either version {v} of the License, or (at your option) any later version."
+CONFUSABLE = [
+    ("This work is licensed under the GNU General Public License, version 2", "GPL-2.0"),
+    ("This work is licensed under the GNU General Public License, version 3.0", "GPL-3.0"),
+    (_NOTICE.format(what="program", name="GNU General Public License", v="2"), "GPL-2.0"),
+    (_NOTICE.format(what="program", name="GNU General Public License", v="3"), "GPL-3.0"),
+    (_NOTICE.format(what="library", name="GNU Lesser General Public License", v="2.1"), "LGPL-2.1"),
+    (_NOTICE.format(what="library", name="GNU Lesser General Public License", v="3"), "LGPL-3.0"),
+    (_NOTICE.format(what="program", name="GNU Affero General Public License", v="3"), "AGPL-3.0"),
+    (_NOTICE.format(what="library", name="GNU Library General Public License", v="2"), "LGPL-2.0"),
+    ("This work is licensed under a Creative Commons Attribution 3.0 Unported License", "CC-BY-3.0"),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License", "CC-BY-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License", "CC-BY-ND-4.0"),
+    ("Licensed under CC BY-NC-SA 3.0", "CC-BY-NC-SA-3.0"),
+    ("Licensed under CC BY 2.5", "CC-BY-2.5"),
+    ("This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0", "EPL-1.0"),
+    ("Eclipse Public License v 2.0", "EPL-2.0"),
+    ("Apache License Version 1.1", "Apache-1.1"),
+    ("Licensed under the Apache License, Version 2.0", "Apache-2.0"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.", "MPL-1.1"),
+    ("Released under the MIT License.", "MIT"),
+    ("This code is not released under the MIT License.", None),
+    ("This work is not licensed under the GNU General Public License, version 3", None),
+    ("This work is licensed under the GNU General Public License, version 9", None),
+]
+
+
+def test_confusable_licenses(spark):
+    """Versions and relatives are told apart, denials declare nothing."""
+    rows = [(i, None, t) for i, (t, _) in enumerate(CONFUSABLE)]
+    got = {r["doc_id"]: r["license_scan"]["license"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string").repartition(3)).collect()}
+    assert [(t, got[i]) for i, (t, _) in enumerate(CONFUSABLE)] == CONFUSABLE
+
+
 def test_license_ties_repeats_and_hot_directories(spark, monkeypatch):
     """Equal rows stay as often as they come; of equal files the smaller path speaks for the directory; a salted directory is answered as any other."""
     monkeypatch.setattr(license_scan, "HOT", 3)

@@ -3,7 +3,9 @@
 DataFrame functions only. Terms are weighted by tf * (ln((1 + N) / (1 + df)) + 1) with df counted over all documents for the templates'
 terms; any other term counts as unseen. A text's segments are its sentences and lines, its blank-line paragraphs and the whole; a
 segment's best template, at threshold or more, is what it declares, and of a text's segments the longest that declares something
-decides: a whole licence text is told from its relatives as a whole, whatever sentences they share. A file that as a whole matches a
+decides: a whole licence text is told from its relatives as a whole, whatever sentences they share. A segment fits a
+template only if it holds the version that the template names, no word of a relative (lesser, affero, nc, nd ..) that the template hasn't and, for
+short templates, no `not`. A file that as a whole matches a
 template, or is named as a licence and declares one, is a licence file of its directory.
 
 Only segments that can reach the threshold are compared: cos <= sqrt(share of the template's squared weight that the segment's terms
@@ -36,41 +38,61 @@ TERM = r"[a-z0-9]+(?:[.][0-9]+)*"
 #: A file name that is a licence's whatever its text.
 NAMED = r"(?i)(^|/)(licen[cs]e|copying|unlicense|notice)([._-][^/]*)?$"
 #: Public notices and licence texts, as (licence, template).
-TEMPLATES = [
+TEXTS = [
     ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. The software is provided \"as is\" and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness. In no event shall the author be liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of contract, negligence or other tortious action, arising out of or in connection with the use or performance of this software."),
-    ("AGPL-3.0", "licensed under the GNU Affero General Public License, version 3"),
     ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
     ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. This software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed. In no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. This software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed. In no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage."),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file"),
     ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0"),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("CC0-1.0", "dedicated to the public domain under CC0 1.0"),
     ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
-    ("EPL-2.0", "Eclipse Public License - v 2.0"),
-    ("GPL-2.0", "licensed under the GNU General Public License, version 2"),
     ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
-    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. The software is provided \"as is\" and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness. In no event shall the author be liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of contract, negligence or other tortious action, arising out of or in connection with the use or performance of this software."),
-    ("LGPL-3.0", "licensed under the GNU Lesser General Public License, version 3"),
     ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
     ("MIT", "Released under the MIT License"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. The software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
-    ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
 ]
+#: Families of licences, as (identifier, name, versions, how notices speak of them).
+_FREE = "This program is free software; you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation; either version {v} of the License, or (at your option) any later version."
+_GNU = ["licensed under the {name}, version {v}", "This work is licensed under the {name}, version {v}", "{name} Version {v}", _FREE, _FREE.replace("program", "library")]
+FAMILIES = [
+    ("GPL", "GNU General Public License", ["1", "2", "3"], _GNU),
+    ("LGPL", "GNU Lesser General Public License", ["2.1", "3"], _GNU),
+    ("LGPL", "GNU Library General Public License", ["2"], _GNU),
+    ("AGPL", "GNU Affero General Public License", ["3"], _GNU),
+    ("Apache", "Apache License", ["1.0", "1.1", "2.0"], ["Licensed under the {name}, Version {v}", "{name} Version {v}"]),
+    ("MPL", "Mozilla Public License", ["1.0", "1.1", "2.0"], ["subject to the terms of the {name}, v. {v}", "licensed under the {name}, version {v}", "{name} Version {v}"]),
+    ("EPL", "Eclipse Public License", ["1.0", "2.0"], ["This program and the accompanying materials are made available under the terms of the {name} v{v}", "licensed under the {name}, version {v}", "{name} v {v}"]),
+]
+_CC = ["This work is licensed under a Creative Commons {name} {v} International License", "This work is licensed under a Creative Commons {name} {v} Unported License", "Licensed under CC {code} {v}"]
+CREATIVE_COMMONS = [("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")]
+CC_VERSIONS = ["2.0", "2.5", "3.0", "4.0"]
+#: Words that tell relatives apart: a template that holds one of the first, but not one of the second, doesn't fit a segment that holds that.
+RELATIVES = [({"gnu"}, {"lesser", "affero"}), ({"cc", "creative"}, {"nc", "nd", "sa", "noncommercial", "noderivatives", "noderivs", "sharealike"})]
+#: A template of at most so many terms doesn't fit a segment that denies it.
+SHORT = 25
+_VERSION = re.compile(r"(?:version|\bv\.?|[Ll]icense,?|CC0|BY[A-Z-]*|Attribution[A-Za-z-]*) ?v?([0-9]+(?:[.][0-9]+)*)\b", re.I)
+
+
+def _grid() -> list[tuple[str, str]]:
+    """Short notices and titles of every version of every family; a version is written with and without `.0`."""
+    out = []
+    for short, name, versions, ways in FAMILIES:
+        for v in versions:
+            for written_as in dict.fromkeys([v, v.removesuffix(".0"), v if "." in v else f"{v}.0"]):
+                out += [(f"{short}-{v if '.' in v else v + '.0'}", way.format(name=name, v=written_as)) for way in ways]
+    return out + [(f"CC-{code}-{v}", way.format(code=code, name=name, v=v)) for code, name in CREATIVE_COMMONS for v in CC_VERSIONS for way in _CC]
+
+
+TEMPLATES = TEXTS + _grid()
 #: Bound of the templates' terms, which are literals of the plan and one side of broadcast joins.
 MAX_TERMS = 5000
 #: A directory with more files than this, and with more than one in this many of all, is salted.
@@ -92,6 +114,14 @@ def segments(text):
     )
 
 
+def telling(text: str) -> tuple[set[str], set[str]]:
+    """The terms that a segment must hold to fit a template, its version; and those it must not hold: words of its relatives, and a denial."""
+    own = set(re.findall(TERM, text.lower()))
+    must = {v for v in _VERSION.findall(text) if v in own}
+    never = {w for marks, words in RELATIVES if marks & own for w in words - own}
+    return must, never | ({"not"} - own if len(own) <= SHORT else set())
+
+
 def _weights(templates: list[tuple[str, str]], df: dict[str, int], n: int) -> list[tuple[str, int, str, float, float]]:
     """(licence, template's number, term, weight / norm, idf) of each template's terms."""
     rows = []
@@ -131,7 +161,10 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
     n = df.pop("", 0)
     weights = _weights(templates, df, n)
     marks = F.array(*[F.lit(t) for t in markers(weights, threshold)])
-    table = F.broadcast(spark.createDataFrame(weights, "license string, template int, term string, weight double, idf double"))
+    tells = [telling(text) for _, text in templates]
+    fits = [(*w, w[2] in tells[w[1]][0], False, len(tells[w[1]][0])) for w in weights]
+    fits += [(name, k, term, 0.0, 0.0, False, True, len(tells[k][0])) for k, (name, _) in enumerate(templates) for term in sorted(tells[k][1])]
+    table = F.broadcast(spark.createDataFrame(fits, "license string, template int, term string, weight double, idf double, must boolean, never boolean, need int"))
     idf = F.broadcast(spark.createDataFrame(sorted({(w[2], w[4]) for w in weights}), "term string, idf double"))
 
     # every row gets a key of its own from what it holds; rows equal in all of it declare the same
@@ -150,8 +183,8 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
     unseen = math.log(1 + n) + 1
     weighed = written(tf.join(idf, "term", "left").select(*segment, "term", (F.col("count") * F.coalesce("idf", F.lit(unseen))).alias("w")), "segments")
     norms = weighed.groupBy("k1", "k2", "at").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighed.join(table, "term").groupBy(*segment, "license", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    scored = dots.join(norms, ["k1", "k2", "at"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= threshold)
+    dots = weighed.join(table, "term").groupBy(*segment, "license", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"), F.count_if("must").alias("held"), F.max("never").alias("never"), F.first("need").alias("need"))
+    scored = dots.where((F.col("held") == F.col("need")) & ~F.col("never")).join(norms, ["k1", "k2", "at"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= threshold)
     best = F.min(F.struct((-F.col("n_terms")).alias("long"), (-F.col("score")).alias("down"), "template", "license"))
     declared = scored.groupBy("k1", "k2", "p").agg(best.alias("b"), F.max(F.col("kind") == "file").alias("whole"))
     declared = written(declared.select("k1", "k2", "p", F.col("b.license").alias("hl"), (-F.col("b.down")).alias("hs"), "whole"), "declared")

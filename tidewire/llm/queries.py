@@ -202,7 +202,7 @@ FROM j GROUP BY doc_id
 """
 
 _SQL10 = r"""
-WITH tpl AS (SELECT * FROM (VALUES %s) AS v(template, license, body)),
+WITH tpl AS (SELECT * FROM (VALUES %s) AS v(template, license, body, must, never)),
 tt AS (SELECT template, license, term, count(*) AS c FROM (SELECT template, license, unnest(regexp_extract_all(lower(body), '[a-z0-9]+(?:[.][0-9]+)*')) AS term FROM tpl) GROUP BY ALL),
 docs AS (SELECT doc_id, concat_ws('/', source, lang) AS dir, coalesce(text, '') AS text FROM documents),
 n AS (SELECT count(*) AS n FROM docs),
@@ -218,15 +218,18 @@ tf AS (SELECT doc_id, kind, ord, term, count(*) AS c FROM (SELECT doc_id, kind,
 sw AS (SELECT tf.*, c * coalesce(idf, ln(1 + n) + 1) AS w FROM tf CROSS JOIN n LEFT JOIN idf USING (term)),
 nm AS (SELECT ord, sqrt(sum(w * w)) AS norm FROM sw GROUP BY ord),
 nt AS (SELECT ord, sum(c) AS n_terms FROM tf GROUP BY ord),
-sc AS (SELECT doc_id, kind, license, template, any_value(n_terms) AS n_terms, round(sum(w * weight) / any_value(norm), 6) AS score FROM sw JOIN w USING (term) JOIN nm USING (ord) JOIN nt USING (ord) GROUP BY doc_id, kind, ord, license, template),
-g AS (SELECT *, bool_or(kind = 'file') OVER (PARTITION BY doc_id) AS whole FROM sc WHERE score >= 0.7),
+sc AS (SELECT doc_id, kind, ord, license, template, any_value(n_terms) AS n_terms, round(sum(w * weight) / any_value(norm), 6) AS score FROM sw JOIN w USING (term) JOIN nm USING (ord) JOIN nt USING (ord) GROUP BY doc_id, kind, ord, license, template),
+st AS (SELECT ord, list(term) AS terms FROM tf GROUP BY ord),
+g AS (SELECT sc.*, bool_or(kind = 'file') OVER (PARTITION BY doc_id) AS whole FROM sc JOIN tpl USING (template) JOIN st USING (ord) WHERE score >= 0.7 AND list_has_all(terms, must) AND NOT list_has_any(terms, never)),
 b AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n_terms DESC, score DESC, template) = 1),
 fl AS (SELECT dir, license, score FROM b JOIN docs USING (doc_id) WHERE whole QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, dir || '/' || doc_id::VARCHAR || '.txt') = 1)
 SELECT d.doc_id, coalesce(b.license, fl.license) AS license, coalesce(b.score, fl.score) AS score,
   CASE WHEN b.license IS NOT NULL THEN 'header' WHEN fl.license IS NOT NULL THEN 'directory' END AS origin,
   CASE WHEN b.license IS NULL AND fl.license IS NOT NULL THEN d.dir END AS directory
 FROM docs d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN fl ON fl.dir = d.dir
-""" % ", ".join("({}, '{}', '{}')".format(k, name, body.replace("'", "''")) for k, (name, body) in enumerate(license_scan.TEMPLATES))
+""" % ", ".join(
+    "({}, '{}', '{}', {}::VARCHAR[], {}::VARCHAR[])".format(k, name, body.replace("'", "''"), *(str(sorted(x)) for x in license_scan.telling(body))) for k, (name, body) in enumerate(license_scan.TEMPLATES)
+)
 
 _SQL12 = r"""
 WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') AS body FROM pages),
