@@ -1,8 +1,9 @@
 """Full-text search in Spanish over a written inverted index: stems with their positions, ranked by cover density.
 
 A text's words are runs of letters and digits in lower case, numbered from 0; stop words keep their number but are not indexed, others are
-as their stems. The index is a Parquet table of postings (bucket, stem, doc, at): a folder for each bucket of a stem's CRC-32, its files
-sorted by stem, so a search reads the row groups of its own stems alone, and dealt out by document, so a stem that stands in every one lies in many files.
+as their stems. The index is a Parquet table of postings (bucket, stem, doc, at) in segments, one of each task's documents: a folder for each
+bucket of a stem's CRC-32, its files sorted by stem, so a search reads the row groups of its own stems alone, and a stem that stands in every
+document lies in as many files as there are segments.
 Days are appended as they come.
 
 A document matches if it holds all stems of the query. Its rank is the sum over its covers, the shortest stretches that hold all stems, of
@@ -29,8 +30,8 @@ from .joins import spread
 
 #: Fixed value: what an occurrence counts.
 WEIGHT = 0.1
-#: Folders of an index. More make a search read less and a small index have more files.
-BUCKETS = 32
+#: Folders of an index. More make a search read less and each segment have more files.
+BUCKETS = 8
 
 #: Postings that leave a Python worker together.
 ROWS = 50_000
@@ -80,10 +81,8 @@ def bucket_of(stem: str, buckets: int) -> int:
 def write_index(df: DataFrame, id_col: str, text_col: str, path: str, stop: Iterable[str] = STOP_WORDS, buckets: int = BUCKETS, append: bool = False) -> str:
     """Writes, or appends to, the index of df's texts; gives its path."""
     rows = postings(df, id_col, text_col, stop).withColumn("bucket", (F.crc32("stem") % buckets).cast("int"))
-    # a bucket's postings are dealt out by document, so those of a frequent stem spread over tasks and files like any others
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(tasks, "bucket", F.pmod(F.xxhash64("doc"), F.lit(-(-tasks // buckets))))
-    dealt.sortWithinPartitions("bucket", "stem", "doc").write.mode("append" if append else "overwrite").partitionBy("bucket").parquet(path)
+    # each task writes a segment of its own documents, so postings are sorted where they are made and never shuffled
+    rows.sortWithinPartitions("bucket", "stem", "doc").write.mode("append" if append else "overwrite").option("compression", "zstd").partitionBy("bucket").parquet(path)
     return path
 
 
@@ -94,7 +93,7 @@ def query_stems(query: str, stop: Iterable[str] = STOP_WORDS) -> list[str]:
 
 
 def read_postings(spark: SparkSession, path: str, stems: list[str], buckets: int = BUCKETS) -> DataFrame:
-    """doc, stem, at of the stems given: their buckets' folders and, in these, their row groups."""
+    """doc, stem, at of the stems given: of their buckets' folders the row groups that may hold them."""
     hit = F.col("bucket").isin(sorted({bucket_of(s, buckets) for s in stems})) & F.col("stem").isin(stems)
     return spark.read.parquet(path).where(hit if stems else F.lit(False)).select("doc", "stem", "at")
 
