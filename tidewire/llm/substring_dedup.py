@@ -1,8 +1,8 @@
-"""Substring deduplication by prefix-partitioned suffix trees over words.
+"""Substring deduplication: windows of words dealt to groups by an anchor, and found equal within a group by sorting their hashes.
 
-The passages sought are windows of `window` words that stand at two places or more. Each subtree stands for a suffix tree cut off at
-that depth, below which nothing more has to be told apart. It is not built: its leaves, the hashes of whole windows, are sorted, equal
-ones are the repeats, and runs of such windows along a document are the maximal repeats.
+The passages sought are windows of `window` words that stand at two places or more. A group stands for a subtree of a suffix tree cut off at
+that depth, below which nothing more has to be told apart. Suffix trees are not built (the README says why): a group's leaves, the hashes of
+whole windows, are sorted, equal ones are the repeats, and runs of such windows along a document are the maximal repeats.
 
 Suffixes are dealt to subtrees by content. The least of the hashes of all PREFIX-word sequences that start in a window's first
 window - PREFIX + 1 places is the window's anchor; equal windows have equal anchors, wherever they stand, and consecutive windows
@@ -11,8 +11,9 @@ windows is sent once with its anchor instead of each suffix with a path of its o
 
 Groups fit into memory: anchors are counted over all documents first, and dealt to groups of about GROUP_MB of leaves; an anchor
 that alone has more leaves than half a group is dealt by the hash of the whole window, so its leaves spread over all groups while equal windows
-still meet. There are at most twice as many such anchors as groups, and never more than MAX_HEAVY: beyond that the limit rises with
-the text, so what comes to the driver and is broadcast has a bound of 8 bytes times MAX_HEAVY.
+still meet. There are at most twice as many such anchors as groups, and never more than MAX_HEAVY, so what comes to the driver and is
+broadcast has a bound of 8 bytes times MAX_HEAVY. For that, the limit rises with the text beyond 2.5 TB; at some 25 TB a group of one
+anchor may have 12 million leaves, which an executor of 3 GB still sorts.
 
 A leaf is sent as the 48-bit hash of its path of `window` words; with the 64-bit anchor that makes 112 bits. Each task first builds
 the subtrees of its own batch: of windows that stand twice in it one leaf goes on, so a passage in a third of all documents sends as
