@@ -322,8 +322,8 @@ def exact_dedup_keep_last(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH s AS (SELECT doc_id, coalesce(source, '') || ':' || coalesce(lang, '') AS sig, coalesce(text, '') AS text FROM documents),
 x AS (SELECT DISTINCT doc_id, sig, unnest(list_transform(generate_series(1, length(text) - 2), lambda i: substring(text, i, 3))) AS g FROM s WHERE length(text) > 2), m AS (SELECT doc_id, count(*) AS m FROM x GROUP BY doc_id), y AS (SELECT x.*, m FROM x JOIN m USING (doc_id)),
-i AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k, any_value(a.m) + any_value(b.m) AS both FROM y a JOIN y b ON a.sig = b.sig AND a.g = b.g AND a.doc_id < b.doc_id AND a.m >= 0.85 * b.m AND b.m >= 0.85 * a.m GROUP BY a.doc_id, b.doc_id),
-e AS (SELECT u, v FROM i WHERE k::DOUBLE / (both - k) >= 0.85 UNION SELECT a.doc_id, b.doc_id FROM s a JOIN s b ON a.sig = b.sig AND a.text = b.text AND a.doc_id < b.doc_id),
+i AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k, any_value(a.m) + any_value(b.m) AS total FROM y a JOIN y b ON a.sig = b.sig AND a.g = b.g AND a.doc_id < b.doc_id AND a.m >= 0.85 * b.m AND b.m >= 0.85 * a.m GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT u, v FROM i WHERE k::DOUBLE / (total - k) >= 0.85 UNION SELECT a.doc_id, b.doc_id FROM s a JOIN s b ON a.sig = b.sig AND a.text = b.text AND a.doc_id < b.doc_id),
 n AS (SELECT id, count(*) AS n FROM (SELECT u AS id FROM e UNION ALL SELECT v FROM e) GROUP BY id)
 SELECT s.doc_id, min(s.doc_id) OVER (PARTITION BY s.sig, s.text) AS first, coalesce(n.n, 0)::BIGINT AS n_links FROM s LEFT JOIN n ON n.id = s.doc_id""")
 def signature_dedup(spark: SparkSession, d: str) -> DataFrame:
