@@ -96,6 +96,7 @@ def question_date(question: Column) -> Column:
     s = F.trim(F.lower(F.coalesce(question, F.lit(""))))
     month = F.create_map(*[x for k, v in MONTHS.items() for x in (F.lit(k), F.lit(v))])
     number = lambda name: F.try_element_at(month, name)
+    # The wordings below, which must be those that questions are matched by.
     word, year = r"([\p{L}\p{N}_]+)", r"(?:\s+de\s+(\d{4}))?"
     nothing = F.lit(None).cast("string")
     two = lambda c: F.lpad(c, 2, "0")
