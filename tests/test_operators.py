@@ -104,3 +104,9 @@ def test_as_of(spark):
     left = spark.createDataFrame([("a", 5), ("a", 1), ("b", 9)], "k string, t int")
     right = spark.createDataFrame([("a", 2, 20), ("a", 5, 50), ("b", 10, 1)], "k string, t int, v int")
     assert sorted((r["k"], r["t"], r["right_v"]) for r in joins.as_of(left, right, "k", "t", ["v"]).collect()) == [("a", 1, None), ("a", 5, 50), ("b", 9, None)]
+
+
+def test_cache_is_fresh_to_the_microsecond(spark):
+    late = spark.createDataFrame([("y", "1", dt.datetime(2025, 1, 1, 0, 0, 0, 170000), 60), ("z", "1", dt.datetime(2025, 1, 1), 60)], "key string, content string, stored_at timestamp, expiry_seconds long")
+    assert [r["key"] for r in upsert.cache_fresh(late, F.lit("2025-01-01 00:01:00")).collect()] == ["y"]
+    assert upsert.cache_fresh(late, F.lit("2025-01-01 00:01:00.170000")).count() == 0

@@ -67,8 +67,10 @@ def cache_put(cache: DataFrame, entries: DataFrame, now: Column, ttl_seconds: in
 
 
 def cache_fresh(cache: DataFrame, now: Column) -> DataFrame:
-    """Entries that haven't expired."""
-    return cache.where(F.unix_timestamp(now.cast("timestamp")) < F.unix_timestamp("stored_at") + F.col("expiry_seconds"))
+    """Entries that haven't expired, to the microsecond."""
+    age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("stored_at").cast("timestamp"))
+    # a whole number of seconds is over the age if it is over its whole seconds; micros of the expiry could overflow
+    return cache.where(F.floor(age / 1_000_000) < F.col("expiry_seconds"))
 
 
 def with_cached(df: DataFrame, key: Column, cache: DataFrame, now: Column, column: str) -> DataFrame:
