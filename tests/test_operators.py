@@ -1,6 +1,7 @@
 """Operators on small fixtures."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -110,3 +111,54 @@ def test_cache_is_fresh_to_the_microsecond(spark):
     late = spark.createDataFrame([("y", "1", dt.datetime(2025, 1, 1, 0, 0, 0, 170000), 60), ("z", "1", dt.datetime(2025, 1, 1), 60)], "key string, content string, stored_at timestamp, expiry_seconds long")
     assert [r["key"] for r in upsert.cache_fresh(late, F.lit("2025-01-01 00:01:00")).collect()] == ["y"]
     assert upsert.cache_fresh(late, F.lit("2025-01-01 00:01:00.170000")).count() == 0
+
+
+def test_leaders_by_bounds(spark):
+    """The bounds of the ratio leave out no leader that a text joins, in either order, with popular characters and without."""
+    r = random.Random(11)
+    for size, letters in ((30, "abcde "), (400, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.,ñé "), (900, "aaaaabcd efghijklmnop")):
+        base = ["".join(r.choice(letters) for _ in range(size)) for _ in range(3)]
+        texts = []
+        for _ in range(45):
+            t = list(r.choice(base))
+            for _ in range(r.choice([0, 1, 5, size // 12, size // 8, size // 4])):
+                t[r.randrange(len(t))] = r.choice(letters)
+            texts.append("".join(t)[: r.choice([size, size, size * 3 // 4])])
+        for absorb in (False, True):
+            fast, plain = dedup._Leaders(0.85, None, absorb), []
+            for i, t in enumerate([*texts, "", texts[0], ""]):
+                pairs = ((n, dedup.block_ratio_of(x, t) if absorb else dedup.block_ratio_of(t, x)) for n, x in plain if x and t)
+                want = next(((n, s) for n, s in pairs if s >= 0.85), None)
+                assert fast.first(t) == want
+                if want is None:
+                    fast.add(i, t)
+                    plain.append((i, t))
+
+
+def test_leaders_compare_few_texts(spark, monkeypatch):
+    """Different texts of like lengths and letters are told apart by their n-grams, without their ratio."""
+    r, tried = random.Random(2), []
+    monkeypatch.setattr(dedup, "block_ratio_of", lambda a, b: tried.append(1) or 0.0)
+    words = ["".join(r.choice("etaoinshrdlucmfwypvbgkjqxz") for _ in range(r.randint(3, 9))) for _ in range(3000)]
+    leaders = dedup._Leaders(0.85, None, False)
+    for i in range(60):
+        text = " ".join(r.choice(words) for _ in range(300))
+        assert leaders.first(text) is None
+        leaders.add(i, text)
+    assert len(tried) < 20
+
+
+def test_leader_cluster_apart(spark):
+    """By a value that similar texts share the result is the same, and texts of different values are never compared."""
+    given = [(x, i, t) for i, (x, t) in enumerate(zip("xxyxx" * 30, ["ab1", "ab2", "cd", "", None, "zz", "ab1"] * 30, strict=False))] + [(None, 200, "ab1"), (None, 201, "ab1"), (None, 202, "ab3")]
+    rows = spark.createDataFrame(given, "block string, ord int, text string").repartition(3)
+    alike = lambda a, b: 1.0 if a[:2] == b[:2] else 0.0
+
+    def checked(a, b):
+        assert a[:2] == b[:2]
+        return 1.0
+
+    for absorb in (False, True):
+        whole = sorted(map(str, dedup.leader_cluster(rows, "block", "ord", "text", 0.85, similarity=alike, absorb=absorb).collect()))
+        for most in (dedup.MAX_BLOCK, 1):
+            assert sorted(map(str, dedup.leader_cluster(rows, "block", "ord", "text", 0.85, similarity=checked, absorb=absorb, max_block=most, apart=lambda c: F.left(c, F.lit(2))).collect())) == whole
