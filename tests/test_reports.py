@@ -154,3 +154,10 @@ def test_media(spark):
     assert got[0]["n"].startswith("img_1_") and all(r["a"]["width"] * r["a"]["height"] <= 1_000_000 for r in got)
     assert media.bounded_settings(9, 5) == (5, 10)
     assert rows.select(media.prompt_for(F.col("t"), {"image/png": "a"}, "z").alias("p"), media.backoff_seconds(F.lit(3)).alias("b")).first()[:] == ("a", 8)
+
+
+def test_link_categories_compare_no_texts(spark, monkeypatch):
+    monkeypatch.setattr(reports.dedup, "leader_cluster", lambda *a, **k: pytest.fail("texts are compared"))
+    links = spark.createDataFrame([(0, "https://x.pe/a.pdf", ""), (1, "https://x.pe/a", "")], "ord int, url string, body string")
+    report = reports.link_report(links, "url", "body", "ord")
+    assert sum(r["n"] for r in report["categories"].collect()) == report.classified.count() == 2
