@@ -162,3 +162,22 @@ def test_leader_cluster_apart(spark):
         whole = sorted(map(str, dedup.leader_cluster(rows, "block", "ord", "text", 0.85, similarity=alike, absorb=absorb).collect()))
         for most in (dedup.MAX_BLOCK, 1):
             assert sorted(map(str, dedup.leader_cluster(rows, "block", "ord", "text", 0.85, similarity=checked, absorb=absorb, max_block=most, apart=lambda c: F.left(c, F.lit(2))).collect())) == whole
+
+
+def test_chunks_leave_as_they_come(spark, monkeypatch):
+    """A worker gives chunks in parts of bounded size, with all columns, whatever a batch holds."""
+    monkeypatch.setattr(chunking, "TOGETHER", 3000)
+    rows = spark.createDataFrame([(i, None if i % 9 == 0 else f"Frase {i}. " * (i * 7 % 200), {"k": i}) for i in range(120)], "i long, text string, m map<string,int>").coalesce(1)
+    sizes = []
+    given = type(rows).mapInArrow
+
+    def counted(self, run, schema):
+        sizes.append(schema)
+        return given(self, run, schema)
+
+    monkeypatch.setattr(type(rows), "mapInArrow", counted)
+    for chunks, cut in ((chunking.sentence_chunks, chunking.pack_sentences), (chunking.recursive_chunks, chunking.split_recursively)):
+        got = sorted((r["i"], r["chunk_index"], r["total_chunks"], r["chunk"], r["m"]["k"]) for r in chunks(rows, "text").collect())
+        want = [(r["i"], k, len(x), y, r["i"]) for r in rows.collect() for x in [cut(r["text"] or "")] for k, y in enumerate(x)]
+        assert got == want
+    assert len(sizes) == 2

@@ -1,11 +1,14 @@
-"""Chunkers: fixed token windows in plain expressions, sentence packing and recursive splitting by vectorised UDFs over whole texts."""
+"""Chunkers: fixed token windows in plain expressions, sentence packing and recursive splitting over whole texts in Arrow batches."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewire.functions.text import words
 
@@ -74,9 +77,27 @@ def split_recursively(text: str, size: int = 2000, overlap: int = 500, marks: tu
     return out
 
 
+#: Characters of chunks that leave a Python worker together, about.
+TOGETHER = 1 << 20
+
+
 def _chunks(df: DataFrame, text_col: str, cut) -> DataFrame:
-    split = F.pandas_udf(lambda s: s.fillna("").map(cut), "array<string>")
-    return df.withColumn("_c", split(F.col(text_col))).select("*", F.size("_c").alias("total_chunks"), F.posexplode("_c").alias("chunk_index", "chunk")).drop("_c")
+    """df plus chunk_index, total_chunks, chunk. Chunks leave the worker as they come, so it holds some texts' at a time, not a batch's."""
+    kind, at = df.schema, df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column("row")
+            texts, first, held, size = rows.field(at), 0, [], 0
+            for i in range(len(rows)):
+                held.append(cut(texts[i].as_py() or ""))
+                size += sum(map(len, held[-1]))
+                if size >= TOGETHER or i + 1 == len(rows):
+                    yield pa.record_batch([rows.slice(first, len(held)), pa.array(held, pa.list_(pa.string()))], names=["row", "_c"])
+                    first, held, size = i + 1, [], 0
+
+    out = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")).mapInArrow(run, T.StructType([T.StructField("row", kind), T.StructField("_c", T.ArrayType(T.StringType()))]))
+    return out.select("row.*", F.size("_c").alias("total_chunks"), F.posexplode("_c").alias("chunk_index", "chunk"))
 
 
 def sentence_chunks(df: DataFrame, text_col: str, size: int = 512, overlap: int = 100) -> DataFrame:
