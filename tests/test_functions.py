@@ -100,3 +100,9 @@ def test_intents(spark):
     assert [r["intent"] for r in values(spark, questions.intent, asked)][:5] == ["SMALLTALK", "PRESENTACION", "COUNT_QUERY", "SMALLTALK", "DATE_QUERY"]
     assert values(spark, questions.is_smalltalk, ["hola que tal", "muchas gracias", "informe de cortes en piura", None]) == [True, True, False, False]
     assert values(spark, questions.is_count_question, ["Cuántos cortes", "hola"]) == [True, False]
+
+
+def test_count_char_ngrams(spark):
+    given = ["", "ab", "abc", "abcabc", "aaaa", "x😀y😀x😀y", None, "ñandú ñandú"]
+    rows = spark.createDataFrame([(t,) for t in given], "t string")
+    assert [r[0] for r in rows.select(text.count_char_ngrams(F.col("t"))).collect()] == [len({t[i : i + 3] for i in range(len(t) - 2)}) if t else 0 for t in given]
