@@ -112,3 +112,9 @@ def test_frames_and_config(spark):
 
 def test_page_schema_is_valid(spark):
     assert spark.createDataFrame([], f"x {HTML_PAGE}").schema["x"].dataType["relevance"].dataType.simpleString() == "double"
+
+
+def test_clean_items_clean_once(spark, tmp_path):
+    """Each text is cleaned once, at one place of the plan, and no join brings a page's description."""
+    plan = ingest.clean_items(docs(spark, tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("artículo anterior") <= 4

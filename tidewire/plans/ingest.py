@@ -25,34 +25,35 @@ def _row(**own) -> list[Column]:
     return out
 
 
-def texts_of(docs: DataFrame) -> DataFrame:
-    """file, day and TEXTS: the four sections of documents as rows, in a union of narrow branches without a shuffle.
+def texts_of(docs: DataFrame, described: bool = False) -> DataFrame:
+    """file, day and TEXTS, where described also a page's description: the four sections of documents as rows, in a union of narrow branches without a shuffle.
 
     Texts that are empty and images with an error are left out; an image's name falls back to its file, its URL, its key.
     """
     base = docs.select("file", "day", "extracted_content.*")
+    about = lambda c: [c.cast("string").alias("description")] if described else []
     pdf = base.select("file", "day", F.explode("pdf_paragraphs").alias("section", "ps")).select("file", "day", "section", F.explode("ps").alias("p"))
-    pdf = pdf.select("file", "day", *_row(source=F.lit("pdf"), source_key=F.col("section"), section=F.col("section"), text=F.col("p.text"), url=F.col("p.metadata.url"), title=F.col("p.metadata.description"), page=F.col("p.page"), relevance_score=F.lit(1.0)))
+    pdf = pdf.select("file", "day", *_row(source=F.lit("pdf"), source_key=F.col("section"), section=F.col("section"), text=F.col("p.text"), url=F.col("p.metadata.url"), title=F.col("p.metadata.description"), page=F.col("p.page"), relevance_score=F.lit(1.0)), *about(F.lit(None)))
     html = base.select("file", "day", F.explode("html_pages").alias("k", "h"))
-    html = html.select("file", "day", *_row(source=F.lit("html"), source_key=F.col("k"), text=F.col("h.text"), url=F.col("k"), title=F.col("h.metadata.title"), page=F.col("h.page"), relevance_score=F.coalesce("h.relevance", F.lit(0.0))))
+    html = html.select("file", "day", *_row(source=F.lit("html"), source_key=F.col("k"), text=F.col("h.text"), url=F.col("k"), title=F.col("h.metadata.title"), page=F.col("h.page"), relevance_score=F.coalesce("h.relevance", F.lit(0.0))), *about(F.col("h.metadata.description")))
     image = base.select("file", "day", F.explode("image_texts").alias("k", "i")).where(~_has(F.col("i.error")))
     name = F.coalesce(F.nullif("i.image_filename", F.lit("")), F.nullif("i.file", F.lit("")), F.nullif("i.url", F.lit("")), F.nullif("k", F.lit("")), F.lit("unknown_image"))
-    image = image.select("file", "day", *_row(source=F.lit("image"), source_key=F.col("k"), text=F.coalesce(F.nullif("i.extracted_text", F.lit("")), F.col("i.text")), url=F.col("i.url"), title=name, relevance_score=F.lit(0.5)))
+    image = image.select("file", "day", *_row(source=F.lit("image"), source_key=F.col("k"), text=F.coalesce(F.nullif("i.extracted_text", F.lit("")), F.col("i.text")), url=F.col("i.url"), title=name, relevance_score=F.lit(0.5)), *about(F.lit(None)))
     fb = base.select("file", "day", F.explode("facebook_texts").alias("k", "f"))
-    fb = fb.select("file", "day", *_row(source=F.lit("facebook"), source_key=F.col("k"), section=F.lit("post"), text=F.col("f.extracted_text"), url=F.col("k"), relevance_score=F.lit(0.4)))
+    fb = fb.select("file", "day", *_row(source=F.lit("facebook"), source_key=F.col("k"), section=F.lit("post"), text=F.col("f.extracted_text"), url=F.col("k"), relevance_score=F.lit(0.4)), *about(F.lit(None)))
     return pdf.unionByName(html).unionByName(image).unionByName(fb).where(_has(F.col("text")))
 
 
 def clean_items(docs: DataFrame) -> DataFrame:
     """Texts without boilerplate: pages need a title that says something and get their description in front; images and posts
     need over 50 characters."""
-    described = docs.select("file", F.explode("extracted_content.html_pages").alias("k", "h")).select("file", F.col("k").alias("source_key"), F.lit("html").alias("source"), F.col("h.metadata.description").alias("description"))
-    rows = texts_of(docs).withColumn("clean", clean_boilerplate(F.col("text"))).where("clean != ''")
+    # a row for each text that is left, by explode: a filter on the cleaned text would clean it once more, and so would each use of it
+    left = F.filter(F.array(clean_boilerplate(F.col("text"))), lambda x: x != "")
+    rows = texts_of(docs, described=True).withColumn("clean", F.explode(left)).drop("text")
     titled = (F.coalesce(F.col("title"), F.lit("")) != "OneDrive") & (F.char_length(F.coalesce(F.col("title"), F.lit(""))) >= 5)
     long_enough = F.when(F.col("source") == "html", titled).when(F.col("source").isin("image", "facebook"), F.char_length("clean") > 50).otherwise(True)
-    joined = rows.where(long_enough).join(described, ["file", "source_key", "source"], "left")
     useful = (F.char_length("description") > 20) & (F.col("description") != F.col("title"))
-    return joined.withColumn("text", F.when(useful, F.concat_ws("\n\n", "description", "clean")).otherwise(F.col("clean"))).drop("clean", "description")
+    return rows.where(long_enough).withColumn("text", F.when(useful, F.concat_ws("\n\n", "description", "clean")).otherwise(F.col("clean"))).drop("clean", "description")
 
 
 def points_of(docs: DataFrame, section: str | None = "CONTENIDO_INICIAL", size: int = 400, step: int = 350) -> DataFrame:
