@@ -98,3 +98,15 @@ def test_index_takes_days_as_they_come(spark, path):
 def test_empty_index(spark, path):
     fulltext.write_index(spark.createDataFrame([], "id long, text string"), "id", "text", path)
     assert fulltext.postings(spark.createDataFrame([], "id long, text string"), "id", "text").count() == 0
+
+
+def test_figures_count_documents_of_several_rows_once(spark, tmp_path, monkeypatch):
+    """Rows of one id are one document, in one segment or several; what is put together by document is theirs alone."""
+    rows = spark.createDataFrame([(1, "agua agua luz"), (2, "agua"), (1, "agua gas"), (3, ""), (4, None)], "i long, t string")
+    path = fulltext.write_index(rows.coalesce(1), "i", "t", str(tmp_path / "x"))
+    fulltext.write_index(spark.createDataFrame([(2, "luz agua"), (5, "gas")], "i long, t string"), "i", "t", path, append=True)
+    held, given = [], fulltext.kept
+    monkeypatch.setattr(fulltext, "kept", lambda df: held.append(given(df)) or held[-1])
+    stem = lambda w: fulltext.query_stems(w)[0]
+    assert {tuple(r) for r in fulltext.stem_figures(spark, path).collect()} == {(stem("agua"), 2, 5), (stem("luz"), 2, 2), (stem("gas"), 2, 2)}
+    assert sorted(r["doc"] for r in held[0].collect()) == [1, 2]

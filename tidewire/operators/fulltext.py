@@ -2,7 +2,7 @@
 
 A text's words are runs of letters and digits in lower case, numbered from 0; stop words keep their number but are not indexed, others are
 as their stems. The index is a Parquet table of postings (bucket, stem, doc, at) in segments, one of each task's documents: a folder for each
-bucket of a stem's CRC-32, its files sorted by stem, so a search reads the row groups of its own stems alone, and a stem that stands in every
+bucket of a stem's CRC-32, its files sorted by stem (a row of the empty stem marks each indexed row), so a search reads the row groups of its own stems alone, and a stem that stands in every
 document lies in as many files as there are segments.
 Days are appended as they come.
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.stemming import STOP_WORDS, Stems
 
-from .joins import spread
+from .joins import kept, spread
 
 #: Fixed value: what an occurrence counts.
 WEIGHT = 0.1
@@ -39,8 +39,8 @@ ROWS = 50_000
 _WORD = re.compile(r"[^\W_]+")
 
 
-def postings(df: DataFrame, id_col: str, text_col: str, stop: Iterable[str] = STOP_WORDS) -> DataFrame:
-    """doc, stem, at (array<int>, rising) of each row's text, in one pass without a shuffle."""
+def postings(df: DataFrame, id_col: str, text_col: str, stop: Iterable[str] = STOP_WORDS, mark: bool = False) -> DataFrame:
+    """doc, stem, at (array<int>, rising) of each row's text, in one pass without a shuffle; mark: and a row of the empty stem for each row that has stems."""
     own = frozenset(stop)
     rows = spread(df.where(F.col(id_col).isNotNull())).select(F.col(id_col).alias("doc"), F.col(text_col).alias("t"))
 
@@ -62,6 +62,8 @@ def postings(df: DataFrame, id_col: str, text_col: str, stop: Iterable[str] = ST
                 for i, word in enumerate(_WORD.findall((text or "").lower())):
                     if s := known[word]:
                         places.setdefault(s, []).append(i)
+                if mark and places:
+                    places[""] = []
                 docs.extend([k] * len(places))
                 stems.extend(places)
                 at.extend(places.values())
@@ -80,7 +82,7 @@ def bucket_of(stem: str, buckets: int) -> int:
 
 def write_index(df: DataFrame, id_col: str, text_col: str, path: str, stop: Iterable[str] = STOP_WORDS, buckets: int = BUCKETS, append: bool = False) -> str:
     """Writes, or appends to, the index of df's texts; gives its path."""
-    rows = postings(df, id_col, text_col, stop).withColumn("bucket", (F.crc32("stem") % buckets).cast("int"))
+    rows = postings(df, id_col, text_col, stop, mark=True).withColumn("bucket", (F.crc32("stem") % buckets).cast("int"))
     # each task writes a segment of its own documents, so postings are sorted where they are made and never shuffled
     rows.sortWithinPartitions("bucket", "stem", "doc").write.mode("append" if append else "overwrite").option("compression", "zstd").partitionBy("bucket").parquet(path)
     return path
@@ -130,6 +132,14 @@ def search(spark: SparkSession, path: str, query: str, k: int, stop: Iterable[st
 
 
 def stem_figures(spark: SparkSession, path: str) -> DataFrame:
-    """stem, n_docs, n_occurrences of an index."""
-    each = spark.read.parquet(path).groupBy("stem", "doc").agg(F.sum(F.size("at")).alias("n"))
-    return each.groupBy("stem").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_occurrences"))
+    """stem, n_docs, n_occurrences of an index.
+
+    A document of one row has one posting a stem, so these are summed per stem where they are read; only those of documents of several
+    rows, which their marks tell, are first put together.
+    """
+    rows = spark.read.parquet(path)
+    repeated = kept(rows.where("stem = ''").groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc"))
+    said = rows.where("stem != ''").select("stem", "doc", F.size("at").cast("long").alias("n"))
+    once = said.join(repeated, "doc", "left_anti").groupBy("stem").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n"))
+    again = said.join(repeated, "doc", "left_semi").groupBy("stem", "doc").agg(F.sum("n").alias("n")).groupBy("stem").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n"))
+    return once.unionByName(again).groupBy("stem").agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("n_occurrences"))
