@@ -1,13 +1,16 @@
 """Composite reports on small fixtures."""
 
 import datetime as dt
+import random
 import zlib
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 from test_ingest import docs
 
-from tidewire.functions import media
+from tidewire.functions import media, similarity
+from tidewire.operators import fitted
 from tidewire.plans import ingest, reports
 from tidewire.sources import pdf, writers
 
@@ -161,3 +164,37 @@ def test_link_categories_compare_no_texts(spark, monkeypatch):
     links = spark.createDataFrame([(0, "https://x.pe/a.pdf", ""), (1, "https://x.pe/a", "")], "ord int, url string, body string")
     report = reports.link_report(links, "url", "body", "ord")
     assert sum(r["n"] for r in report["categories"].collect()) == report.classified.count() == 2
+
+
+@pytest.mark.parametrize("chunk, heavy, ranked", [(8192, 512, 1 << 18), (30, 8, 25), (17, 4, 1 << 18)])
+def test_semantic_groups_against_brute_force(spark, monkeypatch, chunk, heavy, ranked):
+    """By one chunk, and by many with few terms compared densely or numbered."""
+    for name, value in (("CHUNK", chunk), ("HEAVY", heavy), ("ROWS", 16 if chunk < 100 else 512), ("RANKED", ranked)):
+        monkeypatch.setattr(fitted, name, value)
+    r = random.Random(chunk)
+    words = [f"w{i}" for i in range(60)]
+    said = [[words[min(59, int(r.expovariate(0.12)))] for _ in range(r.randint(0, 14))] for _ in range(140)]
+    said += [list(x) for x in said[:12]] + [["w0"] * 5000 + ["w1"], [], ["w0"] * 5000]
+    r.shuffle(said)
+    # far from 0 and more than 53 bits, so that neighbours are equal as doubles
+    rows = [((1 << 62) + i, r.choice(["facebook", "pdf", None]), " ".join(w)) for i, w in enumerate(said)]
+    got = {x["ord"]: x["component"] for x in reports.semantic_groups(spark.createDataFrame(rows, "ord long, source string, text string").repartition(3), terms=lambda c: F.filter(F.split(c, " "), lambda w: w != "")).collect()}
+    leaders, want = [], {}
+    for i, source, text in rows:
+        need = lambda s, source=source: 0.85 if source == s == "facebook" else 0.7
+        want[i] = next((j for j, s, t in leaders if round(similarity.pair_cosine_of(text.split(), t.split()), 6) >= need(s)), i)
+        if want[i] == i:
+            leaders.append((i, source, text))
+    assert got == want and 20 < len(leaders) < 120
+
+
+def test_semantic_groups_keep_no_pairs(spark, tmp_path):
+    """Texts of everyday words are all similar; what is kept for them grows with the texts, not with their pairs."""
+    r = random.Random(2)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, "pdf", " ".join(r.sample(words, 34))) for i in range(700)]
+    folder = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    before = size()
+    assert {x["component"] for x in reports.semantic_groups(spark.createDataFrame(rows, "ord long, source string, text string")).collect()} == {0}
+    assert size() - before < 3 * sum(len(t) for _, _, t in rows)
