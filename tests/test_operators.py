@@ -181,3 +181,15 @@ def test_chunks_leave_as_they_come(spark, monkeypatch):
         want = [(r["i"], k, len(x), y, r["i"]) for r in rows.collect() for x in [cut(r["text"] or "")] for k, y in enumerate(x)]
         assert got == want
     assert len(sizes) == 2
+
+
+def test_leader_cluster_of_whole_texts(spark):
+    """What stands behind the first thousands of characters counts, as does its length; and counts of over 15 bits."""
+    r = random.Random(8)
+    words = lambda n: " ".join("".join(r.choice("aaaeeeiiooubcdfghjklmnpqrstvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.,:;!?") for _ in range(r.randint(2, 9))) for _ in range(n))
+    head, tail, other = words(1100), words(900), words(900)
+    texts = [head + tail, head + other, words(1100) + tail, head[:300] + "x" + head[300:] + tail, head, "ab " * 12_000, "ab " * 11_999]
+    labels = dedup.leader_cluster(spark.createDataFrame(list(enumerate(texts)), "ord int, text string").withColumn("block", F.lit(0)), "block", "ord", "text", 0.85)
+    got = {x["ord"]: (x["leader"], x["similarity"]) for x in labels.collect()}
+    assert {k: v for k, (v, _) in got.items()} == {0: 0, 1: 1, 2: 2, 3: 0, 4: 4, 5: 5, 6: 5}
+    assert got[3][1] == dedup.block_ratio_of(texts[3], texts[0])
