@@ -193,3 +193,36 @@ def test_leader_cluster_of_whole_texts(spark):
     got = {x["ord"]: (x["leader"], x["similarity"]) for x in labels.collect()}
     assert {k: v for k, (v, _) in got.items()} == {0: 0, 1: 1, 2: 2, 3: 0, 4: 4, 5: 5, 6: 5}
     assert got[3][1] == dedup.block_ratio_of(texts[3], texts[0])
+
+
+def test_leaders_by_index(spark, monkeypatch):
+    """Runs and bands of lengths leave out no leader, at any threshold, and unrelated texts are not gone through n-gram by n-gram."""
+    monkeypatch.setattr(dedup._Postings, "LAST", 3)
+    monkeypatch.setattr(dedup._Postings, "FACTOR", 2)
+    r = random.Random(5)
+    letters = "aaaeeeiiooubcdfghjklmnpqrstvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.,:;!? "
+    base = ["".join(r.choice(letters) for _ in range(n)) for n in (4, 60, 210, 230, 260, 300, 330, 380)]
+    texts = []
+    for _ in range(90):
+        t = list(r.choice(base))
+        for _ in range(r.choice([0, 1, len(t) // 20, len(t) // 12, len(t) // 6])):
+            t[r.randrange(len(t))] = r.choice(letters)
+        texts.append("".join(t)[: r.choice([len(t), len(t), len(t) * 4 // 5, len(t) * 3 // 4])])
+    for need, absorb in ((0.85, False), (0.85, True), (0.6, False), (0.999, True), (1.0, False)):
+        fast, plain = dedup._Leaders(need, None, absorb), []
+        for i, t in enumerate(texts):
+            pairs = ((n, dedup.block_ratio_of(x, t) if absorb else dedup.block_ratio_of(t, x)) for n, x in plain if 2 * min(len(x), len(t)) >= need * (len(x) + len(t)) - 1e-6)
+            want = next(((n, s) for n, s in pairs if s >= need), None)
+            assert fast.first(t) == want
+            if want is None:
+                fast.add(i, t)
+                plain.append((i, t))
+    many = dedup._Leaders(0.85, None, False)
+    words = ["".join(r.choice(letters[:30]) for _ in range(r.randint(3, 9))) for _ in range(3000)]
+    said = lambda: ". ".join(" ".join(r.choice(words) for _ in range(9)).capitalize() for _ in range(30))
+    for i in range(80):
+        many.add(i, said())
+    looked, given = [], dedup._Postings.shared
+    monkeypatch.setattr(dedup._Postings, "shared", lambda *x: looked.append(given(*x)) or looked[-1])
+    assert many.first(said()) is None
+    assert 0 < sum(x.sum() for x in looked) < 80 * 1900 / 20
