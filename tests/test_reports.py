@@ -5,6 +5,8 @@ import random
 import zlib
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_ingest import docs
@@ -198,3 +200,27 @@ def test_semantic_groups_keep_no_pairs(spark, tmp_path):
     before = size()
     assert {x["component"] for x in reports.semantic_groups(spark.createDataFrame(rows, "ord long, source string, text string")).collect()} == {0}
     assert size() - before < 3 * sum(len(t) for _, _, t in rows)
+
+
+@pytest.mark.parametrize("few", [1, 10**9])
+def test_similar_blocks(monkeypatch, few):
+    """Pairs worked out one by one or by the block, as by the formula; texts of other terms than the frequent ones are told apart by their bound."""
+    monkeypatch.setattr(fitted, "FEW", few)
+    r = random.Random(3)
+    said = [[r.randrange(30) if r.random() < 0.7 else 600 + r.randrange(200) for _ in range(r.randint(1, 60))] for _ in range(60)]
+    said += [x + [900] for x in said[:20]]
+
+    def part(texts):
+        known = [sorted(set(x)) for x in texts]
+        own = [float(sum(x.count(k) ** 2 for k in ks)) for x, ks in zip(texts, known, strict=True)]
+        columns = [pa.array(range(len(texts))), pa.array([i % 2 == 0 for i in range(len(texts))]), pa.array(own), pa.array(known, pa.list_(pa.int64())), pa.array([[x.count(k) for k in ks] for x, ks in zip(texts, known, strict=True)], pa.list_(pa.int32()))]
+        (one,) = fitted._Vectors(pa.table(columns, names=["id", "post", "own", "k", "c"])).parts(np.arange(len(texts)), 1000)
+        return one
+
+    x = part(said)
+    got = fitted._similar(x, x, 0.85, 0.7)
+    want = [[round(similarity.pair_cosine_of(said[i], said[j]), 6) >= (0.85 if i % 2 == j % 2 == 0 else 0.7) for j in x.ids] for i in x.ids]
+    assert got.tolist() == want and 80 < got.sum() < 3000
+    alone = part([[0, 1, 2, *range(1000 + 40 * i, 1040 + 40 * i)] for i in range(60)])
+    monkeypatch.setattr(fitted, "_reached", lambda *a: pytest.fail("worked out"))
+    assert not fitted._similar(alone, part([[0, 1, 2, *range(9000 + 40 * i, 9040 + 40 * i)] for i in range(60)]), 0.85, 0.7).any()
